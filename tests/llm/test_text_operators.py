@@ -154,7 +154,7 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, per_block):
     monkeypatch.setattr(vector_search, "QUERIES_PER_BLOCK", 3)
     rng = np.random.default_rng(0)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(120)]
-    rows += [(0, rows[3][1]), (7, rows[7][1]), (200, None), (201, []), (202, [1.0, None, 0, 0, 0, 0]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (250, [1.0, 2.0]), (251, [0.5, 0.5])]
+    rows += [(0, rows[3][1]), (7, rows[7][1]), (200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (250, [1.0, 2.0]), (251, [0.5, 0.5])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     got = sorted(map(tuple, vector_search.search(df, df.where("vec_id % 50 = 0"), 5).collect()))
     use = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
