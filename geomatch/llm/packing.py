@@ -23,45 +23,74 @@ from pyspark.sql import DataFrame
 from .textbytes import bounded_batches
 from .token_counts import CACHE_ENTRIES, pieces
 
+#: Fixed value: the splitting pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 BUFFER_TOKENS = 4_000_000
 WINDOW = 2048
 
 
 class Tokenizer:
-    """ids of a text as little-endian unsigned 32-bit bytes, by the tokenizers library.
+    """ids of a text as little-endian unsigned 32-bit bytes.
 
-    The library sees each new piece between safe boundaries once; joined, the pieces' ids are
-    the ids of the text. Texts with a special string go to the library whole.
+    Texts fall into pieces at safe boundaries; each piece is encoded once and joined from a
+    bounded cache. New pieces go through the rank file of the same vocabulary, which gives the
+    same ids several times faster than the library that reads the .json file; tests compare the
+    two. Texts with a special string go to the latter whole.
     """
 
     def __init__(self, path: str):
+        import base64
         import os
 
+        import tiktoken
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        self.fast = None
+        if os.path.exists(ranks):
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+            self.opens = np.zeros(len(table), bool)
+            self.opens[[n for token, n in table.items() if token.startswith(b" ")]] = True
         self.cache: dict[str, bytes] = {}
 
+    def encode(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def learn(self, new: list[str]) -> None:
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        """Encodes all pieces without inner spaces in one call; the tokens that open with a space part them again."""
+        plain = [p for p in new if p and " " not in p] if self.fast else []
+        if plain:
+            ids = self.fast.encode_to_numpy(" " + " ".join(plain)).astype("<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(plain):
+                raw = ids.tobytes()
+                for p, lo, hi in zip(plain, (4 * cuts).tolist(), [*(4 * cuts[1:]).tolist(), len(raw)], strict=True):
+                    self.cache[p] = raw[lo:hi]
+        for p in new:
+            if p not in self.cache:
+                self.cache[p] = self.encode(" " + p)
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = pieces(text)
+        first, *rest = pieces(text)
         try:
-            return b"".join(map(self.cache.__getitem__, parts))
+            return self.encode(first) + b"".join(map(self.cache.__getitem__, rest))
         except KeyError:
-            new = set(parts) - self.cache.keys()
+            new = {p for p in rest if p not in self.cache}
             if len(self.cache) + len(new) > CACHE_ENTRIES:
                 self.cache.clear()
-                new = set(parts)
+                new = set(rest)
             self.learn(list(new))
-            return b"".join([self.cache[p] for p in parts])
+            return self.encode(first) + b"".join([self.cache[p] for p in rest])
 
 
 class CapacityTree:

@@ -28,16 +28,20 @@ from .textbytes import bounded_batches
 SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_ODD_SPACE = re.compile(r" (?=\s|$)")
+_RARE_SPACE = re.compile("[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PIECES = re.compile(r" (?=\S)")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 NEVER = np.int64(1 << 40)
 
 
 def pieces(text: str) -> list[str]:
-    """Cuts before each space that a non-space follows; no token of a byte-level split crosses those."""
-    parts = _PIECES.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
+    """Cuts before each space that a non-space follows; no token of a byte-level split crosses those.
+
+    A piece but the first has lost the space before it.
+    """
+    if "  " in text or " \n" in text or " \t" in text or text.endswith(" ") or _RARE_SPACE.search(text):
+        return _PIECES.split(text)
+    return text.split(" ")
 
 
 class Vocabulary:
@@ -71,29 +75,32 @@ class Vocabulary:
         out = lengths.copy()
         symbols = self.of_byte[np.frombuffer(b"".join(sequences), np.uint8)]
         owner = np.repeat(np.arange(len(sequences)), lengths)
+        rank, made = self.ranked(symbols, owner, np.arange(len(symbols)))
         while len(symbols) > 1:
-            same = owner[:-1] == owner[1:]
-            rank, made = self.pairs(symbols[:-1], symbols[1:])
-            rank = np.where(same, rank, NEVER)
-            starts = np.flatnonzero(np.r_[True, ~same])
-            lowest = np.minimum.reduceat(np.r_[rank, NEVER], starts)
-            own = np.repeat(lowest, np.diff(np.r_[starts, len(symbols)]))
-            hit = (rank == own[:-1]) & (rank < NEVER)
-            if not hit.any():
-                break
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(symbols)]))
             # in a run of equal pairs (a a a) every other place merges, from the left
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero((rank == lowest) & (rank < NEVER))
+            if not len(at):
+                break
             run = np.r_[True, np.diff(at) > 1]
-            nth = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
-            at = at[nth % 2 == 0]
+            at = at[(np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0]
             symbols[at] = made[at]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
             np.subtract.at(out, owner[at], 1)
-            keep &= own < NEVER  # sequences without a pair are done
-            symbols, owner = symbols[keep], owner[keep]
+            keep = lowest < NEVER  # sequences without a pair are done
+            keep[at + 1] = False
+            moved = np.cumsum(keep)[at] - 1
+            symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
+            changed = np.unique(np.r_[moved, np.maximum(moved - 1, 0)])
+            rank[changed], made[changed] = self.ranked(symbols, owner, changed)
         return out
 
+    def ranked(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and product of the pairs that begin at the places given."""
+        after = np.minimum(at + 1, max(0, len(symbols) - 1))
+        rank, made = self.pairs(symbols[at], symbols[after])
+        return np.where((after > at) & (owner[at] == owner[after]), rank, NEVER), made
+
 
 class Counter:
     def __init__(self, path: str):
@@ -106,31 +113,38 @@ class Counter:
         distinct = list({w for words in split for w in words})
         counts = dict(zip(distinct, self.vocab.count([w.encode("utf-8") for w in distinct]).tolist(), strict=True))
         for p, words in zip(new, split, strict=True):
-            self.cache[p] = sum(counts[w] for w in words)
+            self.cache[p] = sum(map(counts.__getitem__, words))
 
     def __call__(self, texts: list[str | None]) -> list[int]:
-        parted: list[list[str]] = []
-        extra = []
-        for t in texts:
-            t = t or ""
-            if self.cut and self.cut.search(t):
-                parts = self.cut.split(t)
-                extra.append(len(parts) - 1)
-                parted.append([p for x in parts for p in pieces(x)])
-            else:
-                extra.append(0)
-                parted.append(pieces(t))
-        out = []
-        for lo in range(0, len(parted), 64):
-            some = parted[lo : lo + 64]
-            new = {p for ps in some for p in ps if p not in self.cache}
-            if len(self.cache) + len(new) > CACHE_ENTRIES:
-                self.cache.clear()
-                new = {p for ps in some for p in ps}
-            if new:
-                self.learn(list(new))
-            out += [sum(map(self.cache.__getitem__, ps)) + e for ps, e in zip(some, extra[lo : lo + 64], strict=True)]
-        return out
+        firsts: list[str] = []  # texts' own beginnings, which no space precedes
+        of: list[int] = []
+        rests: list[list[str]] = []
+        extra = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            parts = self.cut.split(t) if t and self.cut and self.cut.search(t) else [t or ""]
+            extra[i] = len(parts) - 1
+            for x in parts:
+                own = pieces(x)
+                firsts.append(own[0])
+                of.append(i)
+                rests.append(own[1:])
+        seen = self.cache
+        new = {p for ps in rests for p in ps if p not in seen}
+        if len(seen) + len(new) > CACHE_ENTRIES:
+            seen.clear()
+            new = {p for ps in rests for p in ps}
+        if new:
+            # the cache answers for a piece with its space
+            before, self.cache = self.cache, {}
+            self.learn([" " + p for p in new])
+            before.update((p[1:], n) for p, n in self.cache.items())
+            self.cache = before
+        split = [SPLIT.findall(p) for p in firsts]
+        starts = dict.fromkeys(w for words in split for w in words)
+        starts = dict(zip(starts, self.vocab.count([w.encode("utf-8") for w in starts]).tolist(), strict=True))
+        for i, words, ps in zip(of, split, rests, strict=True):
+            extra[i] += sum(map(starts.__getitem__, words)) + sum(map(self.cache.__getitem__, ps))
+        return extra.tolist()
 
 
 _counters: dict[str, Counter] = {}
