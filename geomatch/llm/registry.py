@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import queries_text
+from . import queries_models, queries_text
 
 
 def queries() -> dict:
-    return dict(queries_text.QUERIES)
+    return queries_text.QUERIES | queries_models.QUERIES
 
 
 def oracle_sql() -> dict:
