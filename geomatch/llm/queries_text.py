@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, packing, token_counts, vector_search
+from . import chat, decontamination, html_extraction, packing, token_counts, vector_search
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -109,6 +109,10 @@ from turns group by conv_id
 """
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), window=2048, end_id=1, with_ids=False)
     return packed.drop("ids")
@@ -118,5 +122,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
 
-QUERIES = {"op3_vector_search": op3_vector_search, "op4_decontamination": op4_decontamination, "op5_chat_formatting": op5_chat_formatting, "op8_packing": op8_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op3_vector_search": op3_vector_search, "op4_decontamination": op4_decontamination, "op5_chat_formatting": op5_chat_formatting, "op7_html_extraction": op7_html_extraction, "op8_packing": op8_packing, "op10_token_counts": op10_token_counts}
 ORACLES = {"op3_vector_search": OP3_SQL, "op5_chat_formatting": OP5_SQL}
