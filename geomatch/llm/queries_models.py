@@ -1,11 +1,11 @@
-"""Queries over trained models: toxicity, language and personal data."""
+"""Queries over trained models, and the n-gram join."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pii, toxicity
+from . import language_id, ngram_join, pii, toxicity
 from .queries_text import table
 
 THRESHOLD = 0.3
@@ -28,15 +28,23 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def spans_text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     # the counts are of the base spans, as base_sha256 is; spans lists those of the field too
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op9_pii": op9_pii}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op6_ngram_join": op6_ngram_join, "op9_pii": op9_pii}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import queries_models, queries_text
 
 
 def queries() -> dict:
-    return queries_text.QUERIES | queries_models.QUERIES
+    return queries_text.QUERIES | queries_models.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return dict(queries_text.ORACLES)
+    return queries_text.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
