@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from geomatch.plans import queries_scalar
+
+QUERIES: dict = dict(queries_scalar.Q)
+ORACLES: dict = dict(queries_scalar.SQL)
