@@ -12,8 +12,10 @@ pivots: within 1 - t it is linked and closed, its nearest pivot being the centre
 cell. Members still open give the next round's pivots, until none is open. By the triangle
 inequality a link between two closed members x, y with y in the cell of q puts x within
 2 (1 - t) of q: these windows hold copies of the boundary members. Where a window member is not yet
-in the component of q, it becomes a pivot of its own against the members linked to q. So every link
-is found, or joins classes that are connected already; copies are never expanded into all pairs.
+in the component of q, it becomes a pivot of its own against the members of the cell. Classes first
+meet in one region each, then recursively in those regions that still hold several components. So
+every link is found, or joins classes that are connected already; copies are never expanded into
+all pairs.
 
 Rows of a region are dealt by (region, block of pivots, salt), with at most ``BLOCK`` pivots and
 about ``SALT_ROWS`` members in one group, so that a hot region spreads over tasks. Sets are taken
@@ -186,7 +188,7 @@ def classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, wanted: Bits | None = None) -> DataFrame:
-    """(h, sig) of the prefix n-grams of every set; with ``wanted``, of those it lets pass, and of sets that have enough of them."""
+    """(h, sig, n) of the prefix n-grams of every set; with ``wanted``, of those it lets pass, and of sets that have enough of them."""
     sent = docs.sparkSession.sparkContext.broadcast((heavy, Bits(_bit_words(heavy, 20), 20), wanted))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +208,9 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, wanted: B
                 keep &= wanted.test(h)
                 held = np.bincount(row[keep], minlength=len(sig))
                 keep &= (held >= least_shared(size))[row]
-            yield pa.RecordBatch.from_arrays([as_long(h[keep]), as_long(sig[row[keep]])], ["h", "sig"])
+            yield pa.RecordBatch.from_arrays([as_long(h[keep]), as_long(sig[row[keep]]), pa.array(size[row[keep]].astype(np.int32))], ["h", "sig", "n"])
 
-    return docs.mapInArrow(run, "h long, sig long")
+    return docs.mapInArrow(run, "h long, sig long, n int")
 
 
 def _bit_words(h: np.ndarray, bits: int) -> np.ndarray:
@@ -218,13 +220,27 @@ def _bit_words(h: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def crowded(rows: DataFrame) -> DataFrame:
+    """rows with size, how many members their region has, without those of a single one."""
+    return rows.join(rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region")
+
+
 def regions(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(region, sig): the classes that share a prefix n-gram with the least class that holds it."""
+    """(region, sig, size): the classes that share a prefix n-gram with the least class that holds it.
+
+    Two classes that link share ``least_shared`` prefix n-grams at least, in whatever regions. So
+    each class may leave the last of its regions, in one order of all, as long as it leaves fewer
+    shared n-grams than that: the first region that two such classes share is kept by both. The
+    order puts regions of many members last.
+    """
     seeds = prefixes(docs, n, percent, heavy).groupBy("h").agg(F.min("sig").alias("region"), F.max("sig").alias("top")).where("region <> top").select("h", "region")
     seeds = written(seeds, "seeds")
     wanted = bits_of(seeds, "h")
-    found = written(prefixes(docs, n, percent, heavy, wanted).join(seeds, "h").select("region", "sig").distinct(), "regions")
-    return found.join(found.groupBy("region").count().where("count > 1").select("region"), "region", "left_semi")
+    found = prefixes(docs, n, percent, heavy, wanted).join(seeds, "h").groupBy("region", "sig").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    found = crowded(written(found, "regions"))
+    rest = F.sum("shared").over(Window.partitionBy("sig").orderBy("size", "region").rowsBetween(0, Window.unboundedFollowing))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * EXTRA / 100))
+    return written(crowded(found.where("n is not null").withColumn("_rest", rest).where(F.col("_rest") >= need).select("region", "sig")), "members")
 
 
 def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
@@ -241,52 +257,94 @@ def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
     return written(found.dropDuplicates(["sig"]), "sets")
 
 
+HOME, JOINED, NEAR = 1, 2, 0
+FOUND = ["region", "sig", "pivot", "kind"]
+
+
+class Group:
+    """The pivots of one (region, block, salt), and what its members turn out to be."""
+
+    def __init__(self, region: int, percent: int):
+        self.region, self.percent, self.window = region, percent, max(0, 2 * percent - 100)
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.flat = None
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.near: list[tuple[int, int, int]] = []
+
+    def ready(self) -> None:
+        flat = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.up = list(range(len(self.ids)))
+
+    def top(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def member(self, sig: int, x: np.ndarray) -> None:
+        if self.flat is None:
+            self.ready()
+        lo, hi = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        n = hi - lo
+        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(self.owner[at], minlength=len(self.ids))
+        union = self.sizes + len(x) - shared
+        other = np.array([p != sig for p in self.ids])
+        linked = np.flatnonzero((100 * shared >= self.percent * union) & other)
+        home = -1
+        if len(linked):
+            # the nearest pivot is the centre of the member's cell; the others are joined with it
+            home = int(linked[np.argmax(shared[linked] / union[linked])])
+            self.rows.append((self.region, sig, self.ids[home], HOME))
+            for k in linked.tolist():
+                if self.top(k) != self.top(home):
+                    self.up[self.top(k)] = self.top(home)
+                    self.rows.append((self.region, self.ids[k], self.ids[home], JOINED))
+        far = np.flatnonzero((100 * shared >= self.window * union) & (100 * shared < self.percent * union) & (shared > 0) & other)
+        self.near += [(sig, home, k) for k in far.tolist()]
+
+    def close(self) -> list[tuple[int, int, int, int]]:
+        """Windows matter only where the member is not joined with the pivot by what this group found."""
+        apart = [(self.region, sig, self.ids[k], NEAR) for sig, home, k in self.near if home < 0 or self.top(home) != self.top(k)]
+        return self.rows + apart
+
+
 def compare(rows: DataFrame, percent: int) -> DataFrame:
-    """(region, sig, pivot, linked) for pivots and members within twice the link distance.
+    """(region, sig, pivot, kind): HOME links a member to its nearest pivot, JOINED are pivots with a
+    common member, NEAR is within twice the link distance but not joined.
 
     ``rows``: (region, block, salt, is_pivot, sig, set). The rows of a group lie together, its
-    pivots first; members pass in chunks.
+    pivots first; members pass one by one.
     """
     dealt = rows.repartition("region", "block", "salt").sortWithinPartitions("region", "block", "salt", F.desc("is_pivot"), "sig")
-    window = max(0, 2 * percent - 100)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, flat, owner = None, [], None, None
-        out: list[tuple] = []
+        key, group = None, None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                cols = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["region", "sig", "pivot", "linked"])
-                out.clear()
+        def result(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            cols = list(zip(*found, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], FOUND)
 
         for b in batches:
+            out = []
             for region, block, salt, is_pivot, sig, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (region, block, salt) != key:
-                    key, own, flat = (region, block, salt), [], None
-                x = np.frombuffer(raw, np.uint64)
+                    out += group.close() if group else []
+                    key, group = (region, block, salt), Group(region, percent)
                 if is_pivot:
-                    own.append((sig, x))
-                    continue
-                if not own:
-                    continue
-                if flat is None:
-                    flat = np.concatenate([s for _, s in own])
-                    owner = np.repeat(np.arange(len(own)), [len(s) for _, s in own])
-                    order = np.argsort(flat, kind="stable")
-                    flat, owner = flat[order], owner[order]
-                    sizes = np.array([len(s) for _, s in own])
-                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-                n = hi - lo
-                at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                shared = np.bincount(owner[at], minlength=len(own))
-                union = sizes + len(x) - shared
-                for k in np.flatnonzero(100 * shared >= window * union).tolist():
-                    if own[k][0] != sig and shared[k]:
-                        out.append((region, sig, own[k][0], bool(100 * shared[k] >= percent * union[k])))
-            yield from flush()
-
-    return dealt.select("region", "block", "salt", "is_pivot", "sig", "set").mapInArrow(run, "region long, sig long, pivot long, linked boolean")
+                    group.ids.append(sig)
+                    group.sets.append(np.frombuffer(raw, np.uint64))
+                elif group.ids:
+                    group.member(sig, np.frombuffer(raw, np.uint64))
+            yield result(out)
+        yield result(group.close() if group else [])
+
+    return dealt.select("region", "block", "salt", "is_pivot", "sig", "set").mapInArrow(run, "region long, sig long, pivot long, kind int")
 
 
 def grouped(pivots: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -302,33 +360,65 @@ def grouped(pivots: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     return compare(both.join(sets, "sig"), percent)
 
 
-def class_links(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(a, b): links between classes; those left out join classes that the others connect."""
-    members = written(regions(docs, n, percent, heavy), "members")
-    sets = sets_of(docs, n, members.select("sig").distinct())
-    near, opened, k = None, members, PIVOTS
+def with_root(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """df with the root of a column's class, which is the class itself where nothing links to it."""
+    named = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
+
+
+def pivot_join(members: DataFrame, opened: DataFrame, known: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that connect all members (region, sig) of linking sets, given the pairs known.
+
+    ``opened`` are the members that may become pivots; of two members that link and are not yet
+    connected, one at least must be among them.
+    """
+    found, k = None, PIVOTS
     while True:
         order = Window.partitionBy("region").orderBy("sig")
         pivots = written(opened.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("region", "sig"), "pivots")
-        left = members.join(pivots.select("region").distinct(), "region", "left_semi")
-        got = written(grouped(pivots, left, sets, percent), "near")
-        near = got if near is None else near.unionByName(got)
-        done = got.where("linked").select("region", "sig").unionByName(pivots)
-        opened = written(opened.join(done, ["region", "sig"], "left_anti"), "open")
+        own = members.join(pivots.select("region").distinct(), "region", "left_semi").select("region", "sig")
+        got = written(grouped(pivots, own, sets, percent), "near")
+        found = got if found is None else found.unionByName(got)
+        done = got.where(F.col("kind") == HOME).select("region", "sig").unionByName(pivots).distinct()
+        opened = written(opened.select("region", "sig").join(done, ["region", "sig"], "left_anti"), "open")
         if opened.isEmpty():
             break
         k *= 4
-    links = near.where("linked").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct()
-    roots = components(links)
+    pairs = found.where(F.col("kind") != NEAR).select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = written(pairs if known is None else pairs.unionByName(known).distinct(), "links")
     # windows: within twice the distance of a pivot, but not of its component
-    root = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    apart = root(root(near.where("not linked").select("sig", "pivot").distinct(), "sig"), "pivot").where("sig_root <> pivot_root").select(F.col("pivot").alias("region"), "sig")
+    near = found.where(F.col("kind") == NEAR).select("sig", "pivot").distinct()
+    if near.isEmpty():
+        return pairs
+    roots = components(pairs)
+    apart = with_root(with_root(near, roots, "sig"), roots, "pivot").where("sig_root <> pivot_root").select(F.col("pivot").alias("region"), "sig")
     apart = written(apart, "windows")
     if apart.isEmpty():
-        return links
-    cell = near.where("linked").select(F.col("pivot").alias("region"), "sig").distinct().join(apart.select("region").distinct(), "region", "left_semi")
-    more = grouped(apart, cell, sets, percent).where("linked").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
-    return written(links.unionByName(more).distinct(), "links")
+        return pairs
+    cell = found.where(F.col("kind") == HOME).select(F.col("pivot").alias("region"), "sig").distinct().join(apart.select("region").distinct(), "region", "left_semi")
+    more = grouped(apart, cell, sets, percent).where(F.col("kind") != NEAR).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
+    return written(pairs.unionByName(more).distinct(), "links")
+
+
+def class_links(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
+    """(a, b): pairs of classes that have the components of all links.
+
+    First every class meets the largest of its regions only, so that its set is sent once. Of the
+    other regions, only those that still hold several components are joined, and there members
+    of the region's largest component need not be pivots.
+    """
+    members = regions(docs, n, percent, heavy)
+    sets = sets_of(docs, n, members.select("sig").distinct())
+    first = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), "region"))).where("_r = 1").select("region", "sig")
+    first = written(first, "first")
+    pairs = pivot_join(first, first, None, sets, percent)
+    rooted = with_root(members.select("region", "sig"), components(pairs), "sig")
+    parts = rooted.groupBy("region", "sig_root").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("region").agg(F.max(F.struct("size", "sig_root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("region", F.col("top.sig_root").alias("top"))
+    mixed = written(rooted.join(largest, "region"), "mixed")
+    if mixed.isEmpty():
+        return pairs
+    return pivot_join(mixed.select("region", "sig"), mixed.where("sig_root <> top").select("region", "sig"), pairs, sets, percent)
 
 
 def named_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
