@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -122,12 +123,12 @@ def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 20
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"frame_id": [], "tile": [], "h": [], "inliers": []})
+        none = pd.DataFrame({"frame_id": [], "tile": [], "h": [], "inliers": []}, dtype=object)
         pdf = pdf.sort_values(["x", "y", "u", "v"], kind="stable")
         src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
         if len(pdf) < 4:
             return none
-        rng = np.random.default_rng([seed, *(abs(hash(str(k))) % 1 for k in key), len(pdf)])
+        rng = np.random.default_rng([seed, *map(zlib.crc32, (str(k).encode() for k in key))])
 
         def near(h: np.ndarray) -> np.ndarray:
             p = np.c_[src, np.ones(len(src))] @ h.T

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geomatch.plans import queries_scalar
+from geomatch.plans import queries_ops, queries_scalar
 
-QUERIES: dict = dict(queries_scalar.Q)
-ORACLES: dict = dict(queries_scalar.SQL)
+QUERIES: dict = queries_scalar.Q | queries_ops.Q
+ORACLES: dict = queries_scalar.SQL | queries_ops.SQL
