@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,38 +14,46 @@ GRAVITY = np.array([0.0, 0.0, -9.81])
 
 
 def skew(v: np.ndarray) -> np.ndarray:
-    x, y, z = v
-    return np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    """Cross-product matrices of vectors, (..., 3) to (..., 3, 3)."""
+    out = np.zeros((*v.shape[:-1], 3, 3))
+    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        out[..., j, k], out[..., k, j] = -v[..., i], v[..., i]
+    return out
+
+
+def _angle(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    angle = np.linalg.norm(v, axis=-1)[..., None, None]
+    return angle, np.maximum(angle, 1e-12)
 
 
 def rotation(v: np.ndarray) -> np.ndarray:
-    """Rotation matrix of a rotation vector."""
-    angle = np.linalg.norm(v)
-    if angle < 1e-12:
-        return np.eye(3) + skew(v)
-    k = skew(v / angle)
-    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
+    """Rotation matrices of rotation vectors."""
+    angle, safe = _angle(v)
+    k = skew(v)
+    return np.eye(3) + np.sin(safe) / safe * k + 2 * (np.sin(safe / 2) / safe) ** 2 * (k @ k)
 
 
 def right_jacobian(v: np.ndarray) -> np.ndarray:
-    angle = np.linalg.norm(v)
-    if angle < 1e-4:
-        return np.eye(3)
+    """The identity for angles under 1e-4."""
+    angle, safe = _angle(v)
     k = skew(v)
-    return np.eye(3) - (1 - np.cos(angle)) / angle**2 * k + (angle - np.sin(angle)) / angle**3 * k @ k
+    full = np.eye(3) - (1 - np.cos(safe)) / safe**2 * k + (safe - np.sin(safe)) / safe**3 * (k @ k)
+    return np.where(angle < 1e-4, np.eye(3), full)
 
 
 def quaternion(m: np.ndarray) -> np.ndarray:
-    """w, x, y, z of a rotation matrix, w >= 0."""
-    q = np.array([1 + m[0, 0] + m[1, 1] + m[2, 2], 1 + m[0, 0] - m[1, 1] - m[2, 2], 1 - m[0, 0] + m[1, 1] - m[2, 2], 1 - m[0, 0] - m[1, 1] + m[2, 2]])
+    """w, x, y, z of rotation matrices, w >= 0."""
+    d = [m[..., i, i] for i in range(3)]
+    q = np.stack([1 + d[0] + d[1] + d[2], 1 + d[0] - d[1] - d[2], 1 - d[0] + d[1] - d[2], 1 - d[0] - d[1] + d[2]], -1)
     q = np.sqrt(np.maximum(q, 0)) / 2
-    q[1:] *= np.where(np.array([m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1]]) < 0, -1, 1)
-    return q / np.linalg.norm(q)
+    turn = np.stack([m[..., 2, 1] - m[..., 1, 2], m[..., 0, 2] - m[..., 2, 0], m[..., 1, 0] - m[..., 0, 1]], -1)
+    q[..., 1:] *= np.where(turn < 0, -1, 1)
+    return q / np.linalg.norm(q, axis=-1, keepdims=True)
 
 
 def matrix(q: np.ndarray) -> np.ndarray:
-    w, v = q[0], np.asarray(q[1:])
-    return np.eye(3) + 2 * w * skew(v) + 2 * skew(v) @ skew(v)
+    k = skew(q[..., 1:])
+    return np.eye(3) + 2 * q[..., :1, None] * k + 2 * k @ k
 
 
 @dataclass
@@ -55,68 +64,98 @@ class Noise:
     gyro_walk: float = 0.00001
 
 
-@dataclass
 class Fold:
-    """Increments of position, velocity and rotation in the first sample's frame, with the Jacobians
-    by bias and the covariance in the order rotation, velocity, position, gyro bias, acc bias."""
-
-    acc_bias: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    gyro_bias: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    noise: Noise = field(default_factory=Noise)
-    dt: float = 0.0
-
-    def __post_init__(self):
-        self.p, self.v, self.r = np.zeros(3), np.zeros(3), np.eye(3)
-        self.mean_acc, self.mean_gyro = np.zeros(3), np.zeros(3)
-        self.j = {k: np.zeros((3, 3)) for k in ("r_bg", "v_bg", "v_ba", "p_bg", "p_ba")}
-        self.cov = np.zeros((15, 15))
-
-    def add(self, acc: np.ndarray, gyro: np.ndarray, dt: float) -> None:
+    """Increments of position, velocity and rotation of m windows in step, each in the frame of its
+    first sample, with the Jacobians by bias and the covariances in the order rotation, velocity,
+    position, gyro bias, acc bias."""
+
+    def __init__(self, m: int = 1, acc_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0, 0.0), noise: Noise = Noise()):
+        self.acc_bias, self.gyro_bias, self.noise = np.asarray(acc_bias, float), np.asarray(gyro_bias, float), noise
+        self.dt = np.zeros(m)
+        self.p, self.v, self.mean_acc, self.mean_gyro = (np.zeros((m, 3)) for _ in range(4))
+        self.r = np.broadcast_to(np.eye(3), (m, 3, 3)).copy()
+        self.j = {k: np.zeros((m, 3, 3)) for k in ("r_bg", "v_bg", "v_ba", "p_bg", "p_ba")}
+        self.cov = np.zeros((m, 15, 15))
+
+    def add(self, acc: np.ndarray, gyro: np.ndarray, dt: np.ndarray) -> None:
+        """One sample for each window; where dt is not positive the window stays as it is."""
+        acc, gyro, dt = np.atleast_2d(acc), np.atleast_2d(gyro), np.maximum(np.atleast_1d(dt), 0.0)
         a, w = acc - self.acc_bias, gyro - self.gyro_bias
-        r, total = self.r, self.dt + dt
-        world = r @ a
-        self.mean_acc = (self.dt * self.mean_acc + world * dt) / total
-        self.mean_gyro = (self.dt * self.mean_gyro + w * dt) / total
-        self.p = self.p + self.v * dt + world * (dt * dt / 2)
-        self.v = self.v + world * dt
-        turn, right, ra = rotation(w * dt), right_jacobian(w * dt), r @ skew(a)
-        j = self.j
-        j["p_ba"] = j["p_ba"] + j["v_ba"] * dt - r * (dt * dt / 2)
-        j["p_bg"] = j["p_bg"] + j["v_bg"] * dt - ra @ j["r_bg"] * (dt * dt / 2)
-        j["v_ba"] = j["v_ba"] - r * dt
-        j["v_bg"] = j["v_bg"] - ra @ j["r_bg"] * dt
-        j["r_bg"] = turn.T @ j["r_bg"] - right * dt
-        move = np.eye(9)
-        move[:3, :3], move[3:6, :3], move[6:, :3], move[6:, 3:6] = turn.T, -ra * dt, -ra * (dt * dt / 2), np.eye(3) * dt
-        drive = np.zeros((9, 6))
-        drive[:3, :3], drive[3:6, 3:], drive[6:, 3:] = right * dt, r * dt, r * (dt * dt / 2)
+        r, t, t3 = self.r, dt[:, None], dt[:, None, None]
+        half = t3 * t3 / 2
+        world = (r @ a[..., None])[..., 0]
+        total = np.where(self.dt + dt > 0, self.dt + dt, 1.0)[:, None]
+        self.mean_acc = (self.dt[:, None] * self.mean_acc + world * t) / total
+        self.mean_gyro = (self.dt[:, None] * self.mean_gyro + w * t) / total
+        self.p = self.p + self.v * t + world * (t * t / 2)
+        self.v = self.v + world * t
+        turn, right, ra, j = rotation(w * t), right_jacobian(w * t), r @ skew(a), self.j
+        back = np.swapaxes(turn, -1, -2)
+        j["p_ba"] = j["p_ba"] + j["v_ba"] * t3 - r * half
+        j["p_bg"] = j["p_bg"] + j["v_bg"] * t3 - ra @ j["r_bg"] * half
+        j["v_ba"] = j["v_ba"] - r * t3
+        j["v_bg"] = j["v_bg"] - ra @ j["r_bg"] * t3
+        j["r_bg"] = back @ j["r_bg"] - right * t3
+        m = len(dt)
+        move = np.broadcast_to(np.eye(9), (m, 9, 9)).copy()
+        move[:, :3, :3], move[:, 3:6, :3], move[:, 6:, :3], move[:, 6:, 3:6] = back, -ra * t3, -ra * half, np.eye(3) * t3
+        drive = np.zeros((m, 9, 6))
+        drive[:, :3, :3], drive[:, 3:6, 3:], drive[:, 6:, 3:] = right * t3, r * t3, r * half
         n = self.noise
-        self.cov[:9, :9] = move @ self.cov[:9, :9] @ move.T + drive @ np.diag([n.gyro**2] * 3 + [n.acc**2] * 3) @ drive.T
-        self.cov[9:, 9:] += np.diag([n.gyro_walk**2] * 3 + [n.acc_walk**2] * 3) * dt
-        u, _, vt = np.linalg.svd(r @ turn)
-        self.r = u @ vt
-        self.dt = total
+        white, walk = np.diag([n.gyro**2] * 3 + [n.acc**2] * 3), np.diag([n.gyro_walk**2] * 3 + [n.acc_walk**2] * 3)
+        self.cov[:, :9, :9] = move @ self.cov[:, :9, :9] @ np.swapaxes(move, -1, -2) + drive @ white @ np.swapaxes(drive, -1, -2)
+        self.cov[:, 9:, 9:] += walk * t3
+        q = quaternion(r @ turn)  # a rotation again, whatever was rounded
+        self.r = matrix(q)
+        self.dt = self.dt + dt
 
 
 SCHEMA = "dt double, samples long, p array<double>, v array<double>, q array<double>, mean_acc array<double>, mean_gyro array<double>, r_bg array<double>, v_bg array<double>, v_ba array<double>, p_bg array<double>, p_ba array<double>, cov array<double>"
+CHUNK = 50_000
 
 
 def preintegrate(imu: DataFrame, acc_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0, 0.0), noise: Noise = Noise()) -> DataFrame:
-    """A row for each (stream_id, window_id) of imu with dt (see with_dt); windows are short, so one is one group."""
-    kinds = {f.name: f.dataType.simpleString() for f in imu.schema}
+    """A row for each (stream_id, window_id) of imu with dt (see with_dt).
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = Fold(np.array(acc_bias), np.array(gyro_bias), noise)
-        pdf = pdf.sort_values("ts_ns", kind="stable")
-        for w, a, dt in zip(pdf[["w_x", "w_y", "w_z"]].to_numpy(float), pdf[["a_x", "a_y", "a_z"]].to_numpy(float), pdf["dt"].to_numpy(float), strict=True):
-            if dt > 0:
-                fold.add(a, w, dt)
-        flat = lambda m: [np.asarray(m).ravel().tolist()]
-        out = {"stream_id": [key[0]], "window_id": [key[1]], "dt": [fold.dt], "samples": [len(pdf)], "p": flat(fold.p), "v": flat(fold.v), "q": flat(quaternion(fold.r)), "mean_acc": flat(fold.mean_acc), "mean_gyro": flat(fold.mean_gyro)}
+    Windows lie together in their partition, in order; a task folds about CHUNK samples of whole
+    windows at a time, all windows in step.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in imu.schema}
+    cols = ["stream_id", "window_id", "ts_ns", "dt", "w_x", "w_y", "w_z", "a_x", "a_y", "a_z"]
+    ordered = imu.select(*cols).repartition("stream_id", "window_id").sortWithinPartitions("stream_id", "window_id", "ts_ns")
+
+    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
+        new = (pdf["stream_id"] != pdf["stream_id"].shift()) | (pdf["window_id"] != pdf["window_id"].shift())
+        window = (new.cumsum() - 1).to_numpy()
+        starts = np.flatnonzero(new.to_numpy())
+        sizes = np.diff(np.r_[starts, len(pdf)])
+        place = np.arange(len(pdf)) - starts[window]
+        fold = Fold(len(starts), acc_bias, gyro_bias, noise)
+        w, a, dt = pdf[["w_x", "w_y", "w_z"]].to_numpy(float), pdf[["a_x", "a_y", "a_z"]].to_numpy(float), pdf["dt"].to_numpy(float)
+        for k in range(int(sizes.max(initial=0))):
+            at = np.flatnonzero(place == k)
+            now = [np.zeros((len(starts), 3)), np.zeros((len(starts), 3)), np.zeros(len(starts))]
+            for full, own in zip(now, (a, w, dt), strict=True):
+                full[window[at]] = own[at]
+            fold.add(*now)
+        flat = lambda m: list(np.asarray(m).reshape(len(starts), -1))
+        out = {"stream_id": pdf["stream_id"].to_numpy()[starts], "window_id": pdf["window_id"].to_numpy()[starts], "dt": fold.dt, "samples": sizes, "p": flat(fold.p), "v": flat(fold.v), "q": flat(quaternion(fold.r)), "mean_acc": flat(fold.mean_acc), "mean_gyro": flat(fold.mean_gyro)}
         return pd.DataFrame(out | {k: flat(m) for k, m in fold.j.items()} | {"cov": flat(fold.cov)})
 
-    cols = ["stream_id", "window_id", "ts_ns", "dt", "w_x", "w_y", "w_z", "a_x", "a_y", "a_z"]
-    return imu.select(*cols).groupBy("stream_id", "window_id").applyInPandas(run, f"stream_id {kinds['stream_id']}, window_id {kinds['window_id']}, {SCHEMA}")
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            held.append(pdf)
+            if sum(map(len, held)) >= CHUNK:
+                rows = pd.concat(held, ignore_index=True)
+                last = (rows["stream_id"] == rows["stream_id"].iloc[-1]) & (rows["window_id"] == rows["window_id"].iloc[-1])
+                if not last.all():
+                    yield folded(rows[~last])
+                held = [rows[last]]
+        if held and sum(map(len, held)):
+            yield folded(pd.concat(held, ignore_index=True))
+
+    return ordered.mapInPandas(run, f"stream_id {kinds['stream_id']}, window_id {kinds['window_id']}, {SCHEMA}")
 
 
 # ---- quaternions and 3x3 products as columns ---------------------------------------------------

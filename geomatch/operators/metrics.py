@@ -116,6 +116,18 @@ def solve_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
+def exact_homographies(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Models through 4 pairs each, for a stack of quadruples, and which of them exist."""
+    n = len(src)
+    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
+    zero, one = np.zeros_like(x), np.ones_like(x)
+    a = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1)], 1)
+    ok = np.abs(np.linalg.det(a)) > 1e-9
+    a[~ok] = np.eye(8)
+    h = np.linalg.solve(a, np.concatenate([u, v], 1)[..., None])[..., 0]
+    return np.c_[h, np.ones(n)].reshape(n, 3, 3), ok & np.isfinite(h).all(1)
+
+
 def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 200, seed: int = 0) -> DataFrame:
     """(frame_id, tile, h, inliers) by seeded RANSAC; groups of under 4 pairs, or without a model, are left out.
 
@@ -131,17 +143,17 @@ def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 20
         rng = np.random.default_rng([seed, *map(zlib.crc32, (str(k).encode() for k in key))])
 
         def near(h: np.ndarray) -> np.ndarray:
-            p = np.c_[src, np.ones(len(src))] @ h.T
+            """Of one model or a stack of them: which pairs are inliers."""
+            p = np.c_[src, np.ones(len(src))] @ np.swapaxes(h, -1, -2)
             with np.errstate(all="ignore"):
-                return np.hypot(*(p[:, :2] / p[:, 2:] - dst).T) < threshold
-
-        best = np.zeros(len(pdf), bool)
-        for _ in range(trials):
-            pick = rng.choice(len(pdf), 4, replace=False)
-            h = solve_homography(src[pick], dst[pick])
-            if h is not None and np.isfinite(h).all() and near(h).sum() > best.sum():
-                best = near(h)
-        if best.sum() < 4:
+                off = p[..., :2] / p[..., 2:] - dst
+                return np.hypot(off[..., 0], off[..., 1]) < threshold
+
+        pick = np.argpartition(rng.random((trials, len(pdf))), min(4, len(pdf) - 1), axis=1)[:, :4]
+        h, ok = exact_homographies(src[pick], dst[pick])
+        counts = np.where(ok, near(h).sum(-1), 0)
+        best = near(h[counts.argmax()])
+        if counts.max() < 4:
             return none
         h = solve_homography(src[best], dst[best])
         if h is None:
