@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from geomatch.llm import components as cc
 from geomatch.llm import ngram_join
+from geomatch.llm.textbytes import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -95,27 +96,30 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)}
 
 
-def test_pipeline_stages(spark, small):
+def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    columns = docs.columns
-    rows = docs.select("doc_id", "text").collect()
+    kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, small)
-        assert out.columns == columns, name
-    near = corpus_pipeline.drop_near_duplicates(spark, docs, small)
-    want = {c for n, c in brute([(r.doc_id, r.text) for r in rows]).values()}
-    assert {r.doc_id for r in near.select("doc_id").collect()} == want
-    final = corpus_pipeline.run(spark, small)
-    assert {"doc_id", "sequence_id", "offset", "length", "ids"} <= set(final.columns) and final.count() > 0
+        rows = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
+        kept = written(stage(spark, kept, small), "test")
+        assert kept.columns == docs.columns, name
+        if name == "near duplicates":
+            assert {r.doc_id for r in kept.select("doc_id").collect()} == {c for _, c in brute(rows).values()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, small)
+    assert {"doc_id", "sequence_id", "offset", "length", "ids"} <= set(packed.columns)
+    assert packed.select("doc_id").distinct().count() == kept.count()
 
 
 def test_pipeline_stages_on_odd_rows(spark, small):
     odd = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", "en", "s", 0, 1), (2, "mail a@b.cd now", None, "s", 15, 1), (2, "mail a@b.cd now", None, "s", 15, 1), (3, "w " * 60_000, "en", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long, score int")
-    for docs in (odd.drop("score"), odd.limit(0).drop("score")):
-        n = docs.count()
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            out = stage(spark, docs, small).collect()
-            assert len(out) == (n if name != "near duplicates" else max(0, n - 1)), name
-        assert corpus_pipeline.pack_sequences(spark, docs, small).count() >= n
-    masked = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.mask_personal_data(spark, odd.drop("score"), small).collect()}
+    docs = odd.drop("score")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small).collect()
+        assert len(out) == (n - 1 if name == "near duplicates" else n), name
+    assert corpus_pipeline.pack_sequences(spark, docs, small).count() >= n
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "near duplicates":
+            assert stage(spark, docs.limit(0), small).count() == 0
+    masked = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.mask_personal_data(spark, docs, small).collect()}
     assert masked[2] == ("mail <email> now", 16)
