@@ -234,13 +234,13 @@ def regions(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFra
     order puts regions of many members last.
     """
     seeds = prefixes(docs, n, percent, heavy).groupBy("h").agg(F.min("sig").alias("region"), F.max("sig").alias("top")).where("region <> top").select("h", "region")
-    seeds = written(seeds, "seeds")
+    seeds = written(seeds, "seeds", compact=True)
     wanted = bits_of(seeds, "h")
     found = prefixes(docs, n, percent, heavy, wanted).join(seeds, "h").groupBy("region", "sig").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    found = crowded(written(found, "regions"))
+    found = crowded(written(found, "regions", compact=True))
     rest = F.sum("shared").over(Window.partitionBy("sig").orderBy("size", "region").rowsBetween(0, Window.unboundedFollowing))
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * EXTRA / 100))
-    return written(crowded(found.where("n is not null").withColumn("_rest", rest).where(F.col("_rest") >= need).select("region", "sig")), "members")
+    return written(crowded(found.where("n is not null").withColumn("_rest", rest).where(F.col("_rest") >= need).select("region", "sig")), "members", compact=True)
 
 
 def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
@@ -366,65 +366,74 @@ def with_root(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
 
-def pivot_join(members: DataFrame, opened: DataFrame, known: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs that connect all members (region, sig) of linking sets, given the pairs known.
+def pivot_rounds(members: DataFrame, opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What comparisons with pivots find (see compare), until no member (region, sig) is open.
 
-    ``opened`` are the members that may become pivots; of two members that link and are not yet
-    connected, one at least must be among them.
+    ``opened`` are the members that may become pivots.
     """
     found, k = None, PIVOTS
     while True:
         order = Window.partitionBy("region").orderBy("sig")
-        pivots = written(opened.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("region", "sig"), "pivots")
+        pivots = written(opened.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("region", "sig"), "pivots", compact=True)
         own = members.join(pivots.select("region").distinct(), "region", "left_semi").select("region", "sig")
-        got = written(grouped(pivots, own, sets, percent), "near")
+        got = written(grouped(pivots, own, sets, percent), "near", compact=True)
         found = got if found is None else found.unionByName(got)
         done = got.where(F.col("kind") == HOME).select("region", "sig").unionByName(pivots).distinct()
-        opened = written(opened.select("region", "sig").join(done, ["region", "sig"], "left_anti"), "open")
+        opened = written(opened.select("region", "sig").join(done, ["region", "sig"], "left_anti"), "open", compact=True)
         if opened.isEmpty():
-            break
+            return found
         k *= 4
-    pairs = found.where(F.col("kind") != NEAR).select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = written(pairs if known is None else pairs.unionByName(known).distinct(), "links")
-    # windows: within twice the distance of a pivot, but not of its component
+
+
+def as_pairs(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind") != NEAR).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
+
+
+def window_pairs(found: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(a, b) between the cell of a pivot and members within twice its distance, not yet of its component."""
     near = found.where(F.col("kind") == NEAR).select("sig", "pivot").distinct()
-    if near.isEmpty():
-        return pairs
-    roots = components(pairs)
     apart = with_root(with_root(near, roots, "sig"), roots, "pivot").where("sig_root <> pivot_root").select(F.col("pivot").alias("region"), "sig")
-    apart = written(apart, "windows")
+    apart = written(apart, "windows", compact=True)
     if apart.isEmpty():
-        return pairs
+        return None
     cell = found.where(F.col("kind") == HOME).select(F.col("pivot").alias("region"), "sig").distinct().join(apart.select("region").distinct(), "region", "left_semi")
-    more = grouped(apart, cell, sets, percent).where(F.col("kind") != NEAR).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
-    return written(pairs.unionByName(more).distinct(), "links")
+    return as_pairs(grouped(apart, cell, sets, percent))
 
 
-def class_links(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(a, b): pairs of classes that have the components of all links.
+def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
+    """(node, root): the components of all links, of the classes that have one.
 
-    First every class meets the largest of its regions only, so that its set is sent once. Of the
-    other regions, only those that still hold several components are joined, and there members
+    First every class meets the largest of its regions only, so that its set is sent once. Of
+    all regions, only those that still hold several components are joined, and there members
     of the region's largest component need not be pivots.
     """
     members = regions(docs, n, percent, heavy)
     sets = sets_of(docs, n, members.select("sig").distinct())
     first = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), "region"))).where("_r = 1").select("region", "sig")
-    first = written(first, "first")
-    pairs = pivot_join(first, first, None, sets, percent)
-    rooted = with_root(members.select("region", "sig"), components(pairs), "sig")
+    first = written(first, "first", compact=True)
+    pairs = written(as_pairs(pivot_rounds(first, first, sets, percent)).distinct(), "links", compact=True)
+    roots = components(pairs)
+    rooted = with_root(members.select("region", "sig"), roots, "sig")
     parts = rooted.groupBy("region", "sig_root").agg(F.count("*").alias("size"))
     largest = parts.groupBy("region").agg(F.max(F.struct("size", "sig_root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("region", F.col("top.sig_root").alias("top"))
-    mixed = written(rooted.join(largest, "region"), "mixed")
+    mixed = written(rooted.join(largest, "region"), "mixed", compact=True)
     if mixed.isEmpty():
-        return pairs
-    return pivot_join(mixed.select("region", "sig"), mixed.where("sig_root <> top").select("region", "sig"), pairs, sets, percent)
+        return roots
+    found = pivot_rounds(mixed.select("region", "sig"), mixed.where("sig_root <> top").select("region", "sig"), sets, percent)
+    # with the components known so far in place of the pairs they came from
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    pairs = written(as_pairs(found).unionByName(known).distinct(), "links", compact=True)
+    roots = components(pairs)
+    more = window_pairs(found, roots, sets, percent)
+    if more is None:
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def named_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sig, n_shingles) of every row, and (sig, component_id, root) of every class."""
     rows, heavy = classes(docs, n)
-    roots = components(class_links(docs.select("text"), n, percent, heavy))
+    roots = class_roots(docs.select("text"), n, percent, heavy)
     # sums by class come before the joins, so that a class of many copies is one row in them
     own = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     known = own.join(roots, own["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")

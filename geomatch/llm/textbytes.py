@@ -37,10 +37,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+
+    ``compact`` is for tables of few bytes a row after a shuffle: as many tasks write them as can
+    run at once, not one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if compact:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
