@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 
 import duckdb
@@ -57,7 +56,7 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 1
     names = set(entry.queries())
     assert set(registry.QUERIES) <= names and set(entry.oracle_sql()) <= names
-    if importlib.util.find_spec("geomatch.llm"):
+    if entry._llm():
         assert {"pipeline"} <= names
 
 
