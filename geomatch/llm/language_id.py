@@ -111,12 +111,16 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, lang
     spark = docs.sparkSession
     bounded_batches(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(learn).where("lang is not null and doc_id is not null")
-    names = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    names = sorted(sizes)
     if not names:
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     per = max(50, min(per_language, 6000 // len(names)))
-    picked = known.where(F.col("lang").isin(names)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).select("doc_id").distinct()
+    # a share of each language by hash, several times what is needed, before rows of a language meet
+    share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, 6 * per / sizes[n]))])
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    picked = known.where(F.col("lang").isin(names)).where(drawn).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).select("doc_id").distinct()
     # at most 6000 ids (50 a language at least) are broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isin(names)).join(F.broadcast(picked), "doc_id").limit(2 * per * len(names))
 
@@ -126,12 +130,12 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, lang
                 x = histograms(data, offsets).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    got = sample.mapInArrow(run, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang"], kind="stable")
-    x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), -1).astype(np.float32)
+    got = sample.mapInArrow(run, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(len(got), -1).astype(np.float32)
     codes = codewords(len(names))
     if len(names) == 1:
         return Model(names, codes, np.zeros((x.shape[1], 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
-    target = codes[np.searchsorted(names, got["lang"].to_numpy(str))]
+    target = codes[np.searchsorted(names, np.array(got.column("lang").to_pylist(), str))]
     w, b = fit_bits(x, target)
     wrong = np.clip(((x @ w + b) * target <= 0).mean(0), 1e-3, 0.499)
     trust = np.log((1 - wrong) / wrong)

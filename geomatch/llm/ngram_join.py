@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -121,9 +121,9 @@ class Bits:
 def bits_of(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> Bits:
     """The set bits, gathered as 2**(bits - 6) words at most, whatever the number of hashes."""
     at = F.shiftrightunsigned(column, 64 - bits)
-    words = hashes.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    words = hashes.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).view(np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bit").to_numpy().view(np.uint64)
     return Bits(out, bits)
 
 
@@ -183,8 +183,8 @@ def classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             yield counts()
 
     both = written(docs.mapInArrow(run, "doc_id long, sig long, n_shingles long, h long, sets long"), "classes")
-    heavy = both.where("h is not null").groupBy("h").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= HEAVY_COUNT).orderBy(F.desc("sets"), "h").limit(HEAVY_LIMIT).select("h").toPandas()
-    return both.where("n_shingles is not null").select("doc_id", "sig", "n_shingles"), np.sort(heavy["h"].to_numpy(np.int64).view(np.uint64))
+    heavy = both.where("h is not null").groupBy("h").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= HEAVY_COUNT).orderBy(F.desc("sets"), "h").limit(HEAVY_LIMIT).select("h").toArrow()
+    return both.where("n_shingles is not null").select("doc_id", "sig", "n_shingles"), np.sort(heavy.column("h").to_numpy().view(np.uint64))
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, wanted: Bits | None = None) -> DataFrame:

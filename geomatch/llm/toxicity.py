@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
     sums = picked.mapInArrow(occurring, "h long, positive boolean").groupBy("h").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
     np_, nu = float(min(n_pos, positives)), float(unlabelled)
     lift = F.log((F.col("p") + 0.5) / np_) - F.log((F.col("u") + 0.5) / nu)
-    chosen = sums.where("p >= 5").withColumn("z", lift / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))).where("z > 5").orderBy(F.desc("z"), "h").limit(n_features).select("h").toPandas()
-    keys = np.sort(chosen["h"].to_numpy(np.int64).view(np.uint64))
+    chosen = sums.where("p >= 5").withColumn("z", lift / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))).where("z > 5").orderBy(F.desc("z"), "h").limit(n_features).select("h").toArrow()
+    keys = np.sort(chosen.column("h").to_numpy().view(np.uint64))
     blank = Model(keys, np.zeros(2 * len(keys)), 0.0)
     sent = spark.sparkContext.broadcast(blank)
 
@@ -162,14 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (k.astype(np.int32), rate)]
                 yield pa.RecordBatch.from_arrays([rows.column("positive"), *lists], ["positive", "k", "rate"])
 
-    got = picked.mapInArrow(selected, "positive boolean, k array<int>, rate array<double>").toPandas()
-    positive = got["positive"].to_numpy(bool)
-    sizes = got["k"].map(len).to_numpy(np.int64)
-    doc = np.repeat(np.arange(len(got)), sizes)
-    feature = np.concatenate([np.zeros(0, np.int64), *got["k"]]).astype(np.int64)
+    got = picked.mapInArrow(selected, "positive boolean, k array<int>, rate array<double>").toArrow()
+    positive = got.column("positive").to_numpy().astype(bool)
+    sizes = pc.list_value_length(got.column("k")).to_numpy()
+    doc = np.repeat(np.arange(len(positive)), sizes)
+    feature = pc.list_flatten(got.column("k")).to_numpy().astype(np.int64)
     if not len(keys) or not positive.any() or positive.all():
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    rate = np.concatenate([np.zeros(0), *got["rate"]])
+    rate = pc.list_flatten(got.column("rate")).to_numpy()
     w, b = fit_risk(np.r_[doc, doc], np.r_[feature, feature + len(keys)], np.r_[np.ones(len(rate)), rate], positive, 2 * len(keys), prior)
     return Model(keys, w, b)
 
