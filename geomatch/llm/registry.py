@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return queries_text.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return queries_text.ORACLES | queries_models.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
