@@ -366,22 +366,23 @@ def with_root(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
 
-def pivot_rounds(members: DataFrame, opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """What comparisons with pivots find (see compare), until no member (region, sig) is open.
+def pivot_rounds(members: DataFrame, opened: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What comparisons with pivots find (see compare), until no member (region, sig) is open; and all pivots.
 
     ``opened`` are the members that may become pivots.
     """
-    found, k = None, PIVOTS
+    found, used, k = None, None, PIVOTS
     while True:
         order = Window.partitionBy("region").orderBy("sig")
         pivots = written(opened.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("region", "sig"), "pivots", compact=True)
         own = members.join(pivots.select("region").distinct(), "region", "left_semi").select("region", "sig")
         got = written(grouped(pivots, own, sets, percent), "near", compact=True)
         found = got if found is None else found.unionByName(got)
+        used = pivots if used is None else used.unionByName(pivots)
         done = got.where(F.col("kind") == HOME).select("region", "sig").unionByName(pivots).distinct()
         opened = written(opened.select("region", "sig").join(done, ["region", "sig"], "left_anti"), "open", compact=True)
         if opened.isEmpty():
-            return found
+            return found, used
         k *= 4
 
 
@@ -389,15 +390,20 @@ def as_pairs(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") != NEAR).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
 
 
-def window_pairs(found: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(a, b) between the cell of a pivot and members within twice its distance, not yet of its component."""
-    near = found.where(F.col("kind") == NEAR).select("sig", "pivot").distinct()
+def window_pairs(found: DataFrame, pivots: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(a, b) between the cell of a pivot and members within twice its distance, not yet of its component.
+
+    Pivots have met all members, so they count in no cell; a pivot without a cell needs no window.
+    """
+    cell = found.where(F.col("kind") == HOME).select("region", "sig", "pivot").join(pivots, ["region", "sig"], "left_anti")
+    cell = written(cell.select(F.col("pivot").alias("region"), "sig").distinct(), "cells", compact=True)
+    centres = cell.select(F.col("region").alias("pivot")).distinct()
+    near = found.where(F.col("kind") == NEAR).select("sig", "pivot").distinct().join(centres, "pivot", "left_semi")
     apart = with_root(with_root(near, roots, "sig"), roots, "pivot").where("sig_root <> pivot_root").select(F.col("pivot").alias("region"), "sig")
     apart = written(apart, "windows", compact=True)
     if apart.isEmpty():
         return None
-    cell = found.where(F.col("kind") == HOME).select(F.col("pivot").alias("region"), "sig").distinct().join(apart.select("region").distinct(), "region", "left_semi")
-    return as_pairs(grouped(apart, cell, sets, percent))
+    return as_pairs(grouped(apart, cell.join(apart.select("region").distinct(), "region", "left_semi"), sets, percent))
 
 
 def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
@@ -411,7 +417,7 @@ def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> Dat
     sets = sets_of(docs, n, members.select("sig").distinct())
     first = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), "region"))).where("_r = 1").select("region", "sig")
     first = written(first, "first", compact=True)
-    pairs = written(as_pairs(pivot_rounds(first, first, sets, percent)).distinct(), "links", compact=True)
+    pairs = written(as_pairs(pivot_rounds(first, first, sets, percent)[0]).distinct(), "links", compact=True)
     roots = components(pairs)
     rooted = with_root(members.select("region", "sig"), roots, "sig")
     parts = rooted.groupBy("region", "sig_root").agg(F.count("*").alias("size"))
@@ -419,12 +425,12 @@ def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> Dat
     mixed = written(rooted.join(largest, "region"), "mixed", compact=True)
     if mixed.isEmpty():
         return roots
-    found = pivot_rounds(mixed.select("region", "sig"), mixed.where("sig_root <> top").select("region", "sig"), sets, percent)
+    found, pivots = pivot_rounds(mixed.select("region", "sig"), mixed.where("sig_root <> top").select("region", "sig"), sets, percent)
     # with the components known so far in place of the pairs they came from
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     pairs = written(as_pairs(found).unionByName(known).distinct(), "links", compact=True)
     roots = components(pairs)
-    more = window_pairs(found, roots, sets, percent)
+    more = window_pairs(found, pivots, roots, sets, percent)
     if more is None:
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
