@@ -26,7 +26,9 @@ from .textbytes import bounded_batches, text_slices
 from .toxicity import lowered
 
 DIM_BITS = 12
-PER_LANGUAGE, LANGUAGES = 600, 64
+PER_LANGUAGE = 600
+#: Rows to learn from: about so many, more if a language would have under LEAST, up to LARGEST in all.
+ROWS, LEAST, LARGEST = 6000, 20, 20_000
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[65:91] = np.arange(97, 123)
@@ -52,6 +54,16 @@ def histograms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def most_alike(c: np.ndarray, rows: int = 1024) -> int:
+    """The largest product of two different rows."""
+    most = -c.shape[1]
+    for k in range(0, len(c), rows):
+        like = c[k : k + rows] @ c.T
+        like[np.arange(len(like)), np.arange(k, k + len(like))] = -np.inf
+        most = max(most, int(like.max()))
+    return most
+
+
 def codewords(n: int) -> np.ndarray:
     """n distinct rows of +1 and -1: all splits for up to 5 languages, else seeded random ones."""
     if n <= 5:
@@ -63,7 +75,7 @@ def codewords(n: int) -> np.ndarray:
     best, widest = None, -1
     for _ in range(50):
         c = rng.integers(0, 2, (n, width)) * 2 - 1
-        apart = (width - (c @ c.T)[~np.eye(n, dtype=bool)].max()) // 2
+        apart = (width - most_alike(c.astype(np.float32))) // 2
         if apart > widest and (np.abs(c.sum(0)) < n).all():
             best, widest = c, apart
     return best
@@ -82,7 +94,8 @@ class Model:
         if len(self.names) == 1:
             return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x))
         z = np.clip(x @ self.weights + self.bias, -6, 6)
-        loss = (np.exp(-self.codes[None, :, :] * z[:, None, :]) * self.trust).sum(2)
+        up, down = (self.codes > 0).T.astype(float), (self.codes < 0).T.astype(float)
+        loss = (np.exp(-z) * self.trust) @ up + (np.exp(z) * self.trust) @ down
         share = np.exp(-(loss - loss.min(1, keepdims=True)))
         share /= share.sum(1, keepdims=True)
         order = np.argsort(-share, axis=1, kind="stable")
@@ -105,24 +118,24 @@ def fit_bits(x: np.ndarray, target: np.ndarray, steps: int = 150, rate: float =
     return w, b
 
 
-def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
-    """``learn`` is a condition on doc_id that holds for the rows to learn from; at most ``languages``
-    languages, the most frequent ones, are learned."""
+def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model | None:
+    """``learn`` is a condition on doc_id that holds for the rows to learn from; every language of
+    them is learned, only the rows drawn of each are bounded."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(learn).where("lang is not null and doc_id is not null")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     names = sorted(sizes)
     if not names:
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    per = max(50, min(per_language, 6000 // len(names)))
+    per = max(1, min(per_language, max(ROWS // len(names), min(LEAST, LARGEST // len(names)))))
     # a share of each language by hash, several times what is needed, before rows of a language meet
-    share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, 6 * per / sizes[n]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    picked = known.where(F.col("lang").isin(names)).where(drawn).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).select("doc_id").distinct()
-    # at most 6000 ids (50 a language at least) are broadcast
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isin(names)).join(F.broadcast(picked), "doc_id").limit(2 * per * len(names))
+    shares = spark.createDataFrame([(n, min(1.0, 6 * per / sizes[n])) for n in names], "lang string, _share double")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)
+    picked = known.join(F.broadcast(shares), "lang").where(drawn).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).select("doc_id").distinct()
+    # at most LARGEST ids (or one a language) are broadcast
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").join(F.broadcast(picked), "doc_id").limit(2 * per * len(names))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -112,3 +112,14 @@ def test_language_cases(spark):
 def test_codewords_are_apart(n):
     c = language_id.codewords(n)
     assert len({tuple(r) for r in c}) == n and set(c.ravel()) == {-1, 1}
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(1)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(5)] for _ in range(80)]
+    rows = [(100 * i + k, " ".join(rng.choices(w, k=30)), f"l{i:02}") for i, w in enumerate(words) for k in range(12 if i < 64 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.col("doc_id") % 3 != 0)
+    assert len(model.names) == 80
+    rare = language_id.predict(docs.where("doc_id % 3 = 0 and lang >= 'l64'"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in rare) >= 0.9 * len(rare) > 0
