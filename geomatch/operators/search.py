@@ -100,17 +100,21 @@ def candidates(queries: DataFrame, priors: DataFrame, points: DataFrame, k: int,
     return local.unionByName(everywhere.select("query_id", "id", "score", "rank", F.lit("global").alias("mode")))
 
 
-def ann(queries: DataFrame, points: DataFrame, k: int, distance: float = 1.3, bucket: float = 2.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate top-k: random-projection buckets give the pairs, exact cosines the ranks."""
+def ann(queries: DataFrame, points: DataFrame, k: int, bucket: float = 2.0, tables: int = 4, seed: int = 42) -> DataFrame:
+    """Approximate top-k: random-projection buckets give the pairs, at any distance, exact cosines the
+    ranks; queries that meet fewer than k points there are searched exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     unit = lambda df, key: df.select(F.col(key), array_to_vector(l2_normalize(F.col("vector"))).alias("features"), "vector")
     q, p = unit(queries, "query_id"), unit(points, "id")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(p)
-    pairs = model.approxSimilarityJoin(q, p, distance)
+    pairs = model.approxSimilarityJoin(q, p, float("inf"))
     score = F.round(cosine(F.col("datasetA.vector"), F.col("datasetB.vector")), DECIMALS)
-    return ranked(pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), score.alias("score")), k)
+    hits = ranked(pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), score.alias("score")), k).persist()
+    full = hits.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    return hits.join(full, "query_id", "left_semi").unionByName(knn(short, points, k))
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -86,6 +86,18 @@ def test_ann_recall(spark, small):
     assert search.recall(exact, exact).first().recall == 1
 
 
+def test_ann_gives_k_hits_to_isolated_queries(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 0.05, (60, 8)) + np.eye(8)[0]
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    q = spark.createDataFrame([(1, v[0].tolist()), (2, (-v[1]).tolist()), (3, np.eye(8)[3].tolist())], "query_id long, vector array<double>")
+    for bucket in (2.0, 0.05):
+        got, want = ({k: [r.id for r in rows if r.query_id == k] for k in (1, 2, 3)} for rows in (search.ann(q, p, 5, bucket=bucket).orderBy("rank").collect(), search.knn(q, p, 5).orderBy("rank").collect()))
+        assert all(len(x) == 5 for x in got.values())
+        if bucket == 0.05:
+            assert got[2] == want[2]
+
+
 def test_query_chunks_give_the_same_hits(spark, small, monkeypatch):
     q, p = fx.queries(spark, small).select("query_id", "vector"), fx.points(spark, small).select("id", "vector")
     want = sorted(map(tuple, search.knn(q, p, 3).collect()))
