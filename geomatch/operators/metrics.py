@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from geomatch.functions.geo import apply_homography
 from geomatch.functions.vectors import cosine
 
+#: Of fit_homography: pairs of a group that models are drawn from, and pairs of a group in one task at a time.
+POOL, PART = 4096, 4096
+
 
 def cumulative_hits(first_hit: DataFrame, k: int = 5, depth: Column | None = None) -> DataFrame:
     """rank1..rankk in percent from (query_id, first_hit), null where nothing was hit."""
@@ -100,22 +103,45 @@ def count_inliers(matches: DataFrame, threshold: float = 10.0) -> DataFrame:
     return matches.groupBy("frame_id", "tile").agg(F.count_if(off < threshold).alias("inliers"), F.count("*").alias("matches"))
 
 
-def solve_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """Least squares of the linear equations of point pairs, coordinates centred and scaled first."""
+def solve_homography(m: np.ndarray) -> np.ndarray | None:
+    """Least squares of the linear equations of point pairs, coordinates centred and scaled first.
+
+    ``m`` is the sum over the pairs of the products of all two of their ``monomials``.
+    """
 
-    def scaled(p: np.ndarray) -> np.ndarray:
-        mid, spread = p.mean(0), max(p.std(), 1e-9)
+    def scaled(first: int, second: int) -> np.ndarray:
+        n = m[8, 8]
+        mid = np.array([m[first, 8], m[second, 8]]) / n
+        every = mid.mean()
+        spread = max(np.sqrt(max((m[first, first] + m[second, second]) / (2 * n) - every**2, 0.0)), 1e-9)
         return np.array([[1 / spread, 0, -mid[0] / spread], [0, 1 / spread, -mid[1] / spread], [0, 0, 1]])
 
-    s, t = scaled(src), scaled(dst)
-    a = np.c_[src, np.ones(len(src))] @ s.T
-    b = np.c_[dst, np.ones(len(dst))] @ t.T
-    zero = np.zeros_like(a)
-    rows = np.vstack([np.hstack([a, zero, -b[:, :1] * a]), np.hstack([zero, a, -b[:, 1:2] * a])])
-    h = np.linalg.inv(t) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ s
+    s, t = scaled(2, 5), scaled(6, 7)
+    both = np.kron(s, t)  # monomials of the scaled coordinates
+    m = both @ m @ both.T
+    at = lambda k: [k, 3 + k, 6 + k]
+    u, v, one = (m[np.ix_(at(0), at(0))], m[np.ix_(at(1), at(1))], m[np.ix_(at(2), at(2))])
+    a_u, a_v = m[np.ix_(at(2), at(0))], m[np.ix_(at(2), at(1))]
+    zero = np.zeros((3, 3))
+    normal = np.block([[one, zero, -a_u], [zero, one, -a_v], [-a_u.T, -a_v.T, u + v]])
+    h = np.linalg.inv(t) @ np.linalg.eigh(normal)[1][:, 0].reshape(3, 3) @ s
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
+def monomials(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """x, y and 1 times u, v and 1 of each pair."""
+    one = np.ones((len(src), 1))
+    return (np.hstack([src, one])[:, :, None] * np.hstack([dst, one])[:, None, :]).reshape(len(src), 9)
+
+
+def near(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray:
+    """Of one model or a stack of them: which pairs are inliers."""
+    p = np.c_[src, np.ones(len(src))] @ np.swapaxes(h, -1, -2)
+    with np.errstate(all="ignore"):
+        off = p[..., :2] / p[..., 2:] - dst
+        return np.hypot(off[..., 0], off[..., 1]) < threshold
+
+
 def exact_homographies(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Models through 4 pairs each, for a stack of quadruples, and which of them exist."""
     n = len(src)
@@ -131,37 +157,82 @@ def exact_homographies(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np
 def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 200, seed: int = 0) -> DataFrame:
     """(frame_id, tile, h, inliers) by seeded RANSAC; groups of under 4 pairs, or without a model, are left out.
 
-    A group is one frame and tile, so a few thousand rows at most.
+    The quadruples of a group are drawn from its POOL pairs of lowest hash. The models through them
+    meet all pairs of the group in parts of about PART pairs, and parts meet in sums only.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"frame_id": [], "tile": [], "h": [], "inliers": []}, dtype=object)
+    kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
+    key = f"frame_id {kinds['frame_id']}, tile {kinds['tile']}"
+    # null names are names too; joins are by text
+    by = ["_f", "_t"]
+    names = [F.to_json(F.struct(F.col(c).alias("k")), {"ignoreNullFields": "false"}).alias(a) for c, a in (("frame_id", "_f"), ("tile", "_t"))]
+    pairs = matches.select("frame_id", "tile", *[F.col(c).cast("double").alias(c) for c in "xyuv"], *names)
+    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *"xyuv"), *"xyuv")
+    pool = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= POOL).drop("_n")
+
+    def draw(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "u", "v"], kind="stable")
         src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
+        out = pdf[["frame_id", "tile", "_f", "_t"]].head(1)
         if len(pdf) < 4:
-            return none
-        rng = np.random.default_rng([seed, *map(zlib.crc32, (str(k).encode() for k in key))])
-
-        def near(h: np.ndarray) -> np.ndarray:
-            """Of one model or a stack of them: which pairs are inliers."""
-            p = np.c_[src, np.ones(len(src))] @ np.swapaxes(h, -1, -2)
-            with np.errstate(all="ignore"):
-                off = p[..., :2] / p[..., 2:] - dst
-                return np.hypot(off[..., 0], off[..., 1]) < threshold
-
+            return out.head(0).assign(models=None, middle=None)
+        rng = np.random.default_rng([seed, *(zlib.crc32(str(pdf[c].iloc[0]).encode()) for c in ("frame_id", "tile"))])
         pick = np.argpartition(rng.random((trials, len(pdf))), min(4, len(pdf) - 1), axis=1)[:, :4]
         h, ok = exact_homographies(src[pick], dst[pick])
-        counts = np.where(ok, near(h).sum(-1), 0)
-        best = near(h[counts.argmax()])
-        if counts.max() < 4:
-            return none
-        h = solve_homography(src[best], dst[best])
-        if h is None:
-            return none
-        return pd.DataFrame({"frame_id": [key[0]], "tile": [key[1]], "h": [h.ravel().tolist()], "inliers": [int(near(h).sum())]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
-    return matches.groupBy("frame_id", "tile").applyInPandas(run, f"frame_id {kinds['frame_id']}, tile {kinds['tile']}, h array<double>, inliers long")
+        h[~ok] = np.nan
+        return out.assign(models=[h.ravel().tolist()], middle=[np.r_[src.mean(0), dst.mean(0)].tolist()])
+
+    drawn = pool.groupBy(*by).applyInPandas(draw, f"{key}, _f string, _t string, models array<double>, middle array<double>").persist()
+    parts = pairs.groupBy(*by).agg(F.ceil(F.count("*") / PART).alias("_parts")).where(F.col("_parts") >= 1)
+    # pairs are dealt to the parts of their group in turn, so that equal ones part too
+    dealt = pairs.withColumn("_id", F.monotonically_increasing_id()).join(parts, by).withColumn("_part", F.pmod("_id", "_parts")).select(*by, "_part", *"xyuv")
+    sent = drawn.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).select(*by, "_part", "models")
+
+    def score(names: tuple, pdf: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if not len(models) or not len(pdf):
+            return pd.DataFrame({"_f": [], "_t": [], "trial": [], "n": []}).astype({"_f": object, "_t": object, "trial": "int64", "n": "int64"})
+        h = np.asarray(models["models"].iloc[0], float).reshape(-1, 3, 3)
+        src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
+        n = sum(near(h, src[k : k + PART], dst[k : k + PART], threshold).sum(-1) for k in range(0, len(src), PART))
+        return pd.DataFrame({"_f": names[0], "_t": names[1], "trial": np.arange(len(h)), "n": n})
+
+    counts = dealt.groupBy(*by, "_part").cogroup(sent.groupBy(*by, "_part")).applyInPandas(score, "_f string, _t string, trial long, n long")
+    counts = counts.groupBy(*by, "trial").agg(F.sum("n").alias("n"))
+    best = counts.groupBy(*by).agg(F.max_by("trial", F.struct("n", -F.col("trial"))).alias("trial"), F.max("n").alias("n")).where("n >= 4")
+    model = drawn.join(best, by).select("frame_id", "tile", *by, F.slice("models", (F.col("trial") * 9 + 1).cast("int"), F.lit(9)).alias("model"), "middle")
+
+    def moments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for names, g in pdf.groupby(by, sort=False):
+                h, mid = np.asarray(g["model"].iloc[0], float).reshape(3, 3), np.asarray(g["middle"].iloc[0], float)
+                src, dst = g[["x", "y"]].to_numpy(float), g[["u", "v"]].to_numpy(float)
+                of = near(h, src, dst, threshold)
+                a = monomials(src[of] - mid[:2], dst[of] - mid[2:])
+                rows.append((*names, *(a.T @ a).ravel()))
+            yield pd.DataFrame(rows, columns=[*by, *[f"m{k}" for k in range(81)]])
+
+    met = pairs.select(*by, *"xyuv").join(model.select(*by, "model", "middle"), by)
+    sums = met.mapInPandas(moments, "_f string, _t string, " + ", ".join(f"m{k} double" for k in range(81))).groupBy(*by).agg(F.array(*[F.sum(f"m{k}") for k in range(81)]).alias("m"))
+
+    def solve(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            hs = []
+            for m, mid in zip(pdf["m"], pdf["middle"], strict=True):
+                h = solve_homography(np.asarray(m, float).reshape(9, 9))
+                if h is not None:
+                    x, y, u, v = mid
+                    h = np.array([[1, 0, u], [0, 1, v], [0, 0, 1]]) @ h @ np.array([[1, 0, -x], [0, 1, -y], [0, 0, 1]])
+                    h = h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+                hs.append(None if h is None else h.ravel().tolist())
+            yield pdf[["frame_id", "tile", *by]].assign(h=hs)
+
+    solved = model.join(sums, by).select("frame_id", "tile", *by, "m", "middle").mapInPandas(solve, f"{key}, _f string, _t string, h array<double>").where("h is not null")
+    at = lambda k: F.get("h", F.lit(k))
+    w = at(6) * F.col("x") + at(7) * F.col("y") + at(8)
+    off = [F.try_divide(at(k) * F.col("x") + at(k + 1) * F.col("y") + at(k + 2), w) - F.col(c) for k, c in ((0, "u"), (3, "v"))]
+    hit = F.coalesce(F.hypot(*off) < threshold, F.lit(False))
+    inliers = pairs.select(*by, *"xyuv").join(solved.select(*by, "h"), by).groupBy(*by).agg(F.count_if(hit).alias("inliers"))
+    return solved.join(inliers, by).select("frame_id", "tile", "h", "inliers")
 
 
 def epoch_summary(steps: DataFrame) -> DataFrame:

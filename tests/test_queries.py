@@ -160,6 +160,21 @@ def test_homography_is_found_among_outliers(spark):
     assert r.tile == "t" and r.inliers == 40 and np.allclose(np.reshape(r.h, (3, 3)), h, atol=1e-4)
 
 
+def test_homography_of_a_large_group_is_fitted_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    h = np.array([[0.9, 0.02, 5], [0.01, 1.05, -2], [1e-4, -1e-4, 1]])
+    src = rng.uniform(0, 200, (900, 2))
+    p = np.c_[src, np.ones(900)] @ h.T
+    dst = p[:, :2] / p[:, 2:]
+    dst[::3] += rng.uniform(50, 100, (300, 2))
+    monkeypatch.setattr(metrics, "POOL", 100)
+    monkeypatch.setattr(metrics, "PART", 150)
+    rows = spark.createDataFrame([(None, "t", *map(float, [*a, *b])) for a, b in zip(src, dst, strict=True)], "frame_id long, tile string, x double, y double, u double, v double")
+    (r,) = metrics.fit_homography(rows, 3.0).collect()
+    assert r.frame_id is None and r.inliers == 600 and np.allclose(np.reshape(r.h, (3, 3)), h, atol=1e-4)
+    assert "FlatMapCoGroupsInPandas" in metrics.fit_homography(rows, 3.0)._jdf.queryExecution().toString()
+
+
 def test_iterated_nms_finds_more(spark, small):
     g = fx.grid(spark, small)
     once, more = (keypoints.grid_nms(g, 2, k).where("is_max").count() for k in (0, 2))
