@@ -11,11 +11,11 @@ A region is split by pivots, more in each round. Every member is compared with t
 pivots: within 1 - t it is linked and closed, its nearest pivot being the centre of its Voronoi
 cell. Members still open give the next round's pivots, until none is open. By the triangle
 inequality a link between two closed members x, y with y in the cell of q puts x within
-2 (1 - t) of q: these windows hold copies of the boundary members. Where a window member is not yet
-in the component of q, it becomes a pivot of its own against the members of the cell. Classes first
-meet in one region each, then recursively in those regions that still hold several components. So
-every link is found, or joins classes that are connected already; copies are never expanded into
-all pairs.
+1 - t and the cell's radius of q: these windows hold copies of the boundary members, of those only
+that are not yet in the component of q. A window member then becomes a pivot of its own against the
+members of the cell. Classes first meet in one region each, then recursively in those regions that
+still hold several components. So every link is found, or joins classes that are connected already;
+copies are never expanded into all pairs.
 
 Rows of a region are dealt by (region, block of pivots, salt), with at most ``BLOCK`` pivots and
 about ``SALT_ROWS`` members in one group, so that a hot region spreads over tasks. Sets are taken
@@ -31,6 +31,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .textbytes import Spans, bounded_batches, byte_table, mix, row_of, text_sli
 
 WORDS = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
 HEAVY_COUNT, HEAVY_LIMIT, LOCAL_COUNT = 64, 1_000_000, 4
-FILTER_BITS = 26
+MOST_BITS = 28
 EXTRA = 15
 PIVOTS, BLOCK, SALT_ROWS = 16, 64, 1024
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -118,8 +119,10 @@ class Bits:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bits_of(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> Bits:
-    """The set bits, gathered as 2**(bits - 6) words at most, whatever the number of hashes."""
+def bits_of(hashes: DataFrame, column: str, bits: int | None = None) -> Bits:
+    """The set bits: eight a hash, between 2**20 and 2**MOST_BITS, gathered as words of 64 each."""
+    if bits is None:
+        bits = min(MOST_BITS, max(20, (8 * hashes.count()).bit_length()))
     at = F.shiftrightunsigned(column, 64 - bits)
     words = hashes.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
@@ -220,9 +223,9 @@ def _bit_words(h: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """rows with size, how many members their region has, without those of a single one."""
-    return rows.join(rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region")
+def sizes_of(rows: DataFrame) -> DataFrame:
+    """(region, size) of the regions of more than one member; written, so that Spark can split the joins of hot regions with it."""
+    return written(rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes", compact=True)
 
 
 def regions(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
@@ -231,21 +234,33 @@ def regions(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFra
     Two classes that link share ``least_shared`` prefix n-grams at least, in whatever regions. So
     each class may leave the last of its regions, in one order of all, as long as it leaves fewer
     shared n-grams than that: the first region that two such classes share is kept by both. The
-    order puts regions of many members last.
+    order puts first the regions that hold large parts of few sets, so that most sets keep one.
     """
     seeds = prefixes(docs, n, percent, heavy).groupBy("h").agg(F.min("sig").alias("region"), F.max("sig").alias("top")).where("region <> top").select("h", "region")
     seeds = written(seeds, "seeds", compact=True)
     wanted = bits_of(seeds, "h")
     found = prefixes(docs, n, percent, heavy, wanted).join(seeds, "h").groupBy("region", "sig").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    found = crowded(written(found, "regions", compact=True))
-    rest = F.sum("shared").over(Window.partitionBy("sig").orderBy("size", "region").rowsBetween(0, Window.unboundedFollowing))
+    found = written(found, "regions", compact=True)
+    part = F.sum(F.col("shared") / F.col("n"))
+    worth = written(found.groupBy("region").agg(F.count("*").alias("size"), part.alias("part")).where("size > 1").select("region", (F.col("part") / F.col("size") / F.col("size")).alias("worth")), "worth", compact=True)
+    rest = F.sum("shared").over(Window.partitionBy("sig").orderBy(F.desc("worth"), "region").rowsBetween(0, Window.unboundedFollowing))
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * EXTRA / 100))
-    return written(crowded(found.where("n is not null").withColumn("_rest", rest).where(F.col("_rest") >= need).select("region", "sig")), "members", compact=True)
+    kept = written(found.join(worth, "region").withColumn("_rest", rest).where(F.col("_rest") >= need).select("region", "sig"), "kept", compact=True)
+    return written(kept.join(sizes_of(kept), "region"), "members", compact=True)
 
 
-def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
-    """(sig, set) of the classes in needed (sig); set holds the sorted hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits_of(needed, "sig", 24))
+def first_regions(members: DataFrame) -> DataFrame:
+    """(sig, region, salts, is_pivot): every class in the largest of its regions, and whether it is one of the first pivots there."""
+    own = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), "region"))).where("_r = 1").select("region", "sig")
+    own = written(own, "first", compact=True)
+    pivots = first_pivots(own, PIVOTS).withColumn("is_pivot", F.lit(True))
+    sizes = sizes_of(own).select("region", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts"))
+    return written(own.join(sizes, "region").join(pivots, ["region", "sig"], "left").select("sig", "region", "salts", F.coalesce("is_pivot", F.lit(False)).alias("is_pivot")), "dealt", compact=True)
+
+
+def sets_of(docs: DataFrame, n: int, needed: DataFrame, first: DataFrame) -> DataFrame:
+    """(sig, set, region, salts, is_pivot) of the classes in needed (sig); set holds the sorted hashes, the rest is what first has."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits_of(needed, "sig"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, row, sig in Reader(n).fresh(batches, sent.value):
@@ -254,23 +269,25 @@ def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([as_long(sig), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["sig", "set"])
 
     found = docs.mapInArrow(run, "sig long, set binary").join(needed, "sig", "left_semi")
-    return written(found.dropDuplicates(["sig"]), "sets")
+    return written(found.dropDuplicates(["sig"]).join(first, "sig", "left"), "sets")
 
 
 HOME, JOINED, NEAR = 1, 2, 0
-FOUND = ["region", "sig", "pivot", "kind"]
+FOUND = ["region", "sig", "pivot", "kind", "far"]
+DEALT = ["region", "block", "salt", "is_pivot", "sig", "set"]
 
 
 class Group:
     """The pivots of one (region, block, salt), and what its members turn out to be."""
 
     def __init__(self, region: int, percent: int):
-        self.region, self.percent, self.window = region, percent, max(0, 2 * percent - 100)
+        self.region, self.percent = region, percent
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
+        self.roots: list[int] = []
+        self.reach: list[float] = []
         self.flat = None
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.near: list[tuple[int, int, int]] = []
+        self.rows: list[tuple[int, int, int, int, float]] = []
 
     def ready(self) -> None:
         flat = np.concatenate(self.sets)
@@ -279,6 +296,7 @@ class Group:
         self.flat, self.owner = flat[order], owner[order]
         self.sizes = np.array([len(s) for s in self.sets])
         self.up = list(range(len(self.ids)))
+        self.id_of, self.root_of, self.reach_of = np.array(self.ids), np.array(self.roots), np.array(self.reach)
 
     def top(self, k: int) -> int:
         while self.up[k] != k:
@@ -286,78 +304,113 @@ class Group:
             k = self.up[k]
         return k
 
-    def member(self, sig: int, x: np.ndarray) -> None:
+    def shared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many n-grams x has in common with each pivot, and in union."""
         if self.flat is None:
             self.ready()
         lo, hi = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
         n = hi - lo
         at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         shared = np.bincount(self.owner[at], minlength=len(self.ids))
-        union = self.sizes + len(x) - shared
-        other = np.array([p != sig for p in self.ids])
-        linked = np.flatnonzero((100 * shared >= self.percent * union) & other)
-        home = -1
+        return shared, self.sizes + len(x) - shared
+
+    def member(self, sig: int, x: np.ndarray) -> None:
+        """Links the member with its nearest pivot, the centre of its cell, and joins with that the others in reach."""
+        shared, union = self.shared(x)
+        linked = np.flatnonzero((100 * shared >= self.percent * union) & (self.id_of != sig))
         if len(linked):
-            # the nearest pivot is the centre of the member's cell; the others are joined with it
-            home = int(linked[np.argmax(shared[linked] / union[linked])])
-            self.rows.append((self.region, sig, self.ids[home], HOME))
+            part = shared[linked] / union[linked]
+            home = int(linked[np.argmax(part)])
+            self.rows.append((self.region, sig, self.ids[home], HOME, float(1 - part.max())))
             for k in linked.tolist():
                 if self.top(k) != self.top(home):
                     self.up[self.top(k)] = self.top(home)
-                    self.rows.append((self.region, self.ids[k], self.ids[home], JOINED))
-        far = np.flatnonzero((100 * shared >= self.window * union) & (100 * shared < self.percent * union) & (shared > 0) & other)
-        self.near += [(sig, home, k) for k in far.tolist()]
+                    self.rows.append((self.region, self.ids[k], self.ids[home], JOINED, 0.0))
 
-    def close(self) -> list[tuple[int, int, int, int]]:
-        """Windows matter only where the member is not joined with the pivot by what this group found."""
-        apart = [(self.region, sig, self.ids[k], NEAR) for sig, home, k in self.near if home < 0 or self.top(home) != self.top(k)]
-        return self.rows + apart
+    def window(self, sig: int, x: np.ndarray, root: int) -> None:
+        """Puts the member into the windows of cells of other components that its distance lets it link into."""
+        shared, union = self.shared(x)
+        near = (1 - shared / union <= self.reach_of + 1e-9) & (self.root_of != root)
+        self.rows += [(self.region, sig, self.ids[k], NEAR, 0.0) for k in np.flatnonzero(near).tolist()]
 
 
-def compare(rows: DataFrame, percent: int) -> DataFrame:
-    """(region, sig, pivot, kind): HOME links a member to its nearest pivot, JOINED are pivots with a
-    common member, NEAR is within twice the link distance but not joined.
+def compare(rows: DataFrame, percent: int, windows: bool = False) -> DataFrame:
+    """(region, sig, pivot, kind, far): HOME links a member to its nearest pivot, at the distance far;
+    JOINED are pivots with a common member. With ``windows``: NEAR, for members in the window of a
+    pivot's cell.
 
-    ``rows``: (region, block, salt, is_pivot, sig, set). The rows of a group lie together, its
-    pivots first; members pass one by one.
+    ``rows``: (region, block, salt, is_pivot, sig, set), and for windows the component root, and
+    reach, how far members may lie from the pivot. The rows of a group lie together, its pivots
+    first; members pass one by one.
     """
     dealt = rows.repartition("region", "block", "salt").sortWithinPartitions("region", "block", "salt", F.desc("is_pivot"), "sig")
+    dealt = dealt.select(*DEALT, *(["root", "reach"] if windows else [F.lit(0).cast("long").alias("root"), F.lit(0.0).alias("reach")]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, None
 
-        def result(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], FOUND)
+        def result(found: list[tuple[int, int, int, int, float]]) -> pa.RecordBatch:
+            cols = list(zip(*found, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], FOUND)
 
         for b in batches:
             out = []
-            for region, block, salt, is_pivot, sig, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for region, block, salt, is_pivot, sig, raw, root, reach in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (region, block, salt) != key:
-                    out += group.close() if group else []
+                    out += group.rows if group else []
                     key, group = (region, block, salt), Group(region, percent)
                 if is_pivot:
                     group.ids.append(sig)
                     group.sets.append(np.frombuffer(raw, np.uint64))
+                    group.roots.append(root)
+                    group.reach.append(reach)
+                elif group.ids and windows:
+                    group.window(sig, np.frombuffer(raw, np.uint64), root)
                 elif group.ids:
                     group.member(sig, np.frombuffer(raw, np.uint64))
+            if group:
+                out, group.rows = out + group.rows, []
             yield result(out)
-        yield result(group.close() if group else [])
 
-    return dealt.select("region", "block", "salt", "is_pivot", "sig", "set").mapInArrow(run, "region long, sig long, pivot long, kind int")
+    return dealt.mapInArrow(run, "region long, sig long, pivot long, kind int, far double")
 
 
-def grouped(pivots: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compares every member (region, sig) with every pivot (region, sig) of its region, in blocks."""
-    order = Window.partitionBy("region").orderBy("sig")
-    p = pivots.withColumn("block", ((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocks = p.groupBy("region").agg(F.max("block").alias("blocks"))
+def first_pivots(opened: DataFrame, k: int) -> DataFrame:
+    """(region, sig) of the k least members of each region."""
+    return opened.select("region", "sig", F.row_number().over(Window.partitionBy("region").orderBy("sig")).alias("_n")).where(F.col("_n") <= k).select("region", "sig")
+
+
+def dealt(pivots: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (region, block, salt, is_pivot, ...) in which every member of a region meets every pivot of it."""
+    counts = pivots.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = members.groupBy("region").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    m = members.join(blocks, "region").join(sizes, "region").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks")))).withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int"))
-    p = p.join(sizes, "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    cols = ["region", "block", "salt", "is_pivot", "sig"]
-    both = p.withColumn("is_pivot", F.lit(True)).select(*cols).unionByName(m.withColumn("is_pivot", F.lit(False)).select(*cols))
-    return compare(both.join(sets, "sig"), percent)
+    counts = written(counts.join(sizes, "region"), "blocks", compact=True)
+    block, salt = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")
+    m = members.join(counts, "region").select(*members.columns, F.lit(False).alias("is_pivot"), salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    p = pivots.join(counts, "region").select(*pivots.columns, F.lit(True).alias("is_pivot"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return p.unionByName(m, allowMissingColumns=True)
+
+
+def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows with the set of their sig; where few sets are needed, a filter of their bits spares the others the shuffle."""
+    needed = written(rows, "rows", compact=True)
+    bits = bits_of(needed, "sig")
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sent.value.test(b.column("sig").to_numpy().view(np.uint64))))
+
+    return needed.join(sets.select("sig", "set").mapInArrow(run, "sig long, set binary"), "sig")
+
+
+def first_round(sets: DataFrame, percent: int) -> DataFrame:
+    """compare() of all sets in their first regions, dealt as the sets were written, with no join."""
+    at = F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")
+    own = F.array(F.struct(F.lit(False).alias("is_pivot"), at.alias("salt")))
+    more = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(F.lit(True).alias("is_pivot"), k.alias("salt")))
+    rows = sets.where("region is not null").withColumn("_as", F.explode(F.when(F.col("is_pivot"), F.concat(own, more)).otherwise(own)))
+    return compare(rows.select("region", F.lit(0).alias("block"), "_as.salt", "_as.is_pivot", "sig", "set"), percent)
 
 
 def with_root(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
@@ -366,23 +419,27 @@ def with_root(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
 
-def pivot_rounds(members: DataFrame, opened: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def pivot_rounds(members: DataFrame, opened: DataFrame, sets: DataFrame, percent: int, first: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """What comparisons with pivots find (see compare), until no member (region, sig) is open; and all pivots.
 
-    ``opened`` are the members that may become pivots.
+    ``opened`` are the members that may become pivots; ``first``, if given, is what the first round
+    found and its pivots.
     """
-    found, used, k = None, None, PIVOTS
+    found, used, k = [], [], PIVOTS
     while True:
-        order = Window.partitionBy("region").orderBy("sig")
-        pivots = written(opened.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("region", "sig"), "pivots", compact=True)
-        own = members.join(pivots.select("region").distinct(), "region", "left_semi").select("region", "sig")
-        got = written(grouped(pivots, own, sets, percent), "near", compact=True)
-        found = got if found is None else found.unionByName(got)
-        used = pivots if used is None else used.unionByName(pivots)
+        if first:
+            got, pivots = first
+            first = None
+        else:
+            pivots = written(first_pivots(opened, k), "pivots", compact=True)
+            own = members.join(pivots.select("region").distinct(), "region", "left_semi").select("region", "sig")
+            got = written(compare(with_sets(dealt(pivots, own), sets), percent), "met", compact=True)
+        found.append(got)
+        used.append(pivots)
         done = got.where(F.col("kind") == HOME).select("region", "sig").unionByName(pivots).distinct()
         opened = written(opened.select("region", "sig").join(done, ["region", "sig"], "left_anti"), "open", compact=True)
         if opened.isEmpty():
-            return found, used
+            return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, used)
         k *= 4
 
 
@@ -390,20 +447,32 @@ def as_pairs(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") != NEAR).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
 
 
-def window_pairs(found: DataFrame, pivots: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(a, b) between the cell of a pivot and members within twice its distance, not yet of its component.
+def window_pairs(members: DataFrame, found: DataFrame, pivots: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(a, b) between the cells of pivots and members of their regions that are of another component.
 
-    Pivots have met all members, so they count in no cell; a pivot without a cell needs no window.
+    Pivots have met all members, so they count in no cell and need no window. A member that links
+    to one of a cell lies within 1 - t and the cell's radius of its centre.
     """
-    cell = found.where(F.col("kind") == HOME).select("region", "sig", "pivot").join(pivots, ["region", "sig"], "left_anti")
-    cell = written(cell.select(F.col("pivot").alias("region"), "sig").distinct(), "cells", compact=True)
-    centres = cell.select(F.col("region").alias("pivot")).distinct()
-    near = found.where(F.col("kind") == NEAR).select("sig", "pivot").distinct().join(centres, "pivot", "left_semi")
-    apart = with_root(with_root(near, roots, "sig"), roots, "pivot").where("sig_root <> pivot_root").select(F.col("pivot").alias("region"), "sig")
-    apart = written(apart, "windows", compact=True)
+    cell = found.where(F.col("kind") == HOME).select("region", "sig", "pivot", "far").join(pivots, ["region", "sig"], "left_anti")
+    cell = written(cell, "cells", compact=True)
+    if cell.isEmpty():
+        return None
+    rooted = written(with_root(members.select("region", "sig").join(pivots, ["region", "sig"], "left_anti"), roots, "sig").withColumnRenamed("sig_root", "root"), "rooted", compact=True)
+    live = rooted.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    reach = F.col("radius") + (100 - percent) / 100
+    centres = with_root(cell.groupBy("region", F.col("pivot").alias("sig")).agg(F.max("far").alias("radius")), roots, "sig")
+    # a cell whose component holds all other members of its region needs no window
+    centres = centres.join(live, "region").where("least <> sig_root or most <> sig_root").select("region", "sig", F.col("sig_root").alias("root"), reach.alias("reach"))
+    centres = written(centres, "centres", compact=True)
+    if centres.isEmpty():
+        return None
+    own = rooted.join(centres.select("region").distinct(), "region", "left_semi")
+    near = compare(with_sets(dealt(centres, own), sets), percent, windows=True)
+    apart = written(near.select(F.col("pivot").alias("region"), "sig").distinct(), "windows", compact=True)
     if apart.isEmpty():
         return None
-    return as_pairs(grouped(apart, cell.join(apart.select("region").distinct(), "region", "left_semi"), sets, percent))
+    inside = cell.select(F.col("pivot").alias("region"), "sig").distinct()
+    return as_pairs(compare(with_sets(dealt(apart, inside), sets), percent))
 
 
 def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
@@ -414,15 +483,15 @@ def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> Dat
     of the region's largest component need not be pivots.
     """
     members = regions(docs, n, percent, heavy)
-    sets = sets_of(docs, n, members.select("sig").distinct())
-    first = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), "region"))).where("_r = 1").select("region", "sig")
-    first = written(first, "first", compact=True)
-    pairs = written(as_pairs(pivot_rounds(first, first, sets, percent)[0]).distinct(), "links", compact=True)
+    first = first_regions(members)
+    sets = sets_of(docs, n, members.select("sig").distinct(), first)
+    met = written(first_round(sets, percent), "met", compact=True), first.where("is_pivot").select("region", "sig")
+    pairs = written(as_pairs(pivot_rounds(first, first, sets, percent, met)[0]).distinct(), "links", compact=True)
     roots = components(pairs)
     rooted = with_root(members.select("region", "sig"), roots, "sig")
     parts = rooted.groupBy("region", "sig_root").agg(F.count("*").alias("size"))
     largest = parts.groupBy("region").agg(F.max(F.struct("size", "sig_root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("region", F.col("top.sig_root").alias("top"))
-    mixed = written(rooted.join(largest, "region"), "mixed", compact=True)
+    mixed = written(rooted.join(written(largest, "largest", compact=True), "region"), "mixed", compact=True)
     if mixed.isEmpty():
         return roots
     found, pivots = pivot_rounds(mixed.select("region", "sig"), mixed.where("sig_root <> top").select("region", "sig"), sets, percent)
@@ -430,7 +499,7 @@ def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> Dat
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     pairs = written(as_pairs(found).unionByName(known).distinct(), "links", compact=True)
     roots = components(pairs)
-    more = window_pairs(found, pivots, roots, sets, percent)
+    more = window_pairs(mixed, found, pivots, roots, sets, percent)
     if more is None:
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -443,7 +512,9 @@ def named_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     # sums by class come before the joins, so that a class of many copies is one row in them
     own = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     known = own.join(roots, own["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = written(known, "known", compact=True)
+    # written, so that Spark can split the join of a large component
+    least = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "least", compact=True)
     return rows, known.join(least, "root").select("sig", "component_id", "root")
 
 

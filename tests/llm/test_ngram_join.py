@@ -69,9 +69,8 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "small"), [(1, False), (2, True)])
 def test_join_equals_brute_force(spark, monkeypatch, seed, small):
     if small:  # several blocks, salts and rounds, and an order with frequent n-grams
-        for name, value in {"PIVOTS": 2, "BLOCK": 2, "SALT_ROWS": 3, "HEAVY_COUNT": 5, "LOCAL_COUNT": 2, "FILTER_BITS": 10}.items():
+        for name, value in {"PIVOTS": 2, "BLOCK": 2, "SALT_ROWS": 3, "HEAVY_COUNT": 5, "LOCAL_COUNT": 2, "MOST_BITS": 10}.items():
             monkeypatch.setattr(ngram_join, name, value)
-        monkeypatch.setattr(ngram_join.bits_of, "__defaults__", (10,))
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], "doc_id long, text string, sig string, region int").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
