@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .textbytes import Spans, bounded_batches, byte_table, mix, row_of, text_slices, word_spans, written
+from .textbytes import Spans, bounded_batches, byte_table, carried, mix, restored, row_of, text_slices, word_spans, written
 
 WORDS = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
 HEAVY_COUNT, HEAVY_LIMIT, LOCAL_COUNT = 64, 1_000_000, 4
@@ -532,6 +532,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs, one of each component: that of the least doc_id. Rows of an empty set stay.
 
+    Columns besides doc_id and text pass through, whatever their names.
     Only rows of which a filter of bounded size says that they may go are joined with what stays;
     the others pass without a shuffle.
     """
@@ -542,8 +543,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     stay = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig", "key")).alias("k")).select(F.col("k.key").alias("key"))
     doubtful = keys.join(stay, "key", "left_anti").select("key").unionByName(keys.where("copies > 1").select("key"))
     sent = docs.sparkSession.sparkContext.broadcast(bits_of(doubtful, "key"))
-    names = docs.columns
-    source = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    source = carried(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -557,7 +557,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             has = ~np.isnan(b.column("_sig").to_numpy(zero_copy_only=False).astype(float))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(has & sent.value.test(key))], [*b.schema.names, "_doubt"])
 
-    signed = source.mapInArrow(run, source.withColumn("_sig", F.lit(None).cast("long")).schema).withColumn("_key", F.xxhash64("_id", "_sig"))
+    signed = source.mapInArrow(run, source.withColumn("_sig", F.lit(None).cast("long")).schema).withColumn("_key", F.xxhash64("doc_id", "_sig"))
     signed = signed.mapInArrow(test, signed.withColumn("_doubt", F.lit(None).cast("boolean")).schema)
     checked = signed.where("_doubt").join(stay.withColumnRenamed("key", "_key"), "_key", "left_semi").dropDuplicates(["_key"])
-    return signed.where("not _doubt").select(*names).unionByName(checked.select(*names))
+    return restored(signed.where("not _doubt").drop("_sig", "_key", "_doubt").unionByName(checked.select("row", "doc_id", "text")), docs.columns)

@@ -6,11 +6,15 @@ not depend on how many rows an Arrow batch holds.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -26,14 +30,12 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
-    import os
-    import tempfile
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.sparkContext.master.startswith("local["):
+        # one machine: what the driver writes all tasks see
         root = "file://" + os.path.join(tempfile.gettempdir(), "geomatch-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -51,6 +53,17 @@ def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): all columns but text as the struct row, so that no name of theirs clashes with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def restored(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns that ``carried`` has taken in, with the text from the column ``text``."""
+    return rows.select(*[F.col(text).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Yields (rows, bytes, offsets); row i is ``bytes[offsets[i]:offsets[i + 1]]``, nulls are empty."""
     col = batch.column(column)
