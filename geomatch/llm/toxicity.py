@@ -148,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(positive)], ["h", "positive"])
 
     sums = picked.mapInArrow(occurring, "h long, positive boolean").groupBy("h").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
-    np_, nu = float(min(n_pos, positives)), float(unlabelled)
-    lift = F.log((F.col("p") + 0.5) / np_) - F.log((F.col("u") + 0.5) / nu)
+    found = {r.positive: r["count"] for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(yes.unionByName(other)), "doc_id").groupBy("positive").count().collect()}
+    lift = F.log((F.col("p") + 0.5) / max(1, found.get(True, 0))) - F.log((F.col("u") + 0.5) / max(1, found.get(False, 0)))
     chosen = sums.where("p >= 5").withColumn("z", lift / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))).where("z > 5").orderBy(F.desc("z"), "h").limit(n_features).select("h").toArrow()
     keys = np.sort(chosen.column("h").to_numpy().view(np.uint64))
     blank = Model(keys, np.zeros(2 * len(keys)), 0.0)
@@ -176,10 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
 
 
 def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of docs (text among them) with score double."""
+    """``columns`` of docs (text among them) with score double; a column of that name is left out."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(*columns)
+    docs = docs.select(*[c for c in columns if c.lower() != "score"])
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
