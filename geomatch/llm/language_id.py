@@ -8,8 +8,10 @@ nearly the same loss make the answer ambiguous. Every text is read whole.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0 and not ambiguous;
 so is every text if no language is known; with one known language every text with a letter has
-it; rows of null lang teach nothing; ids may be null or repeat; other columns are ignored; an
-empty table gives an empty result.
+it; languages of equal loss go to the first name in order, and are ambiguous; rows of null lang
+teach nothing; an id that repeats teaches one of its rows; very long texts are read whole, in
+bounded slices of rows; ids may be null or repeat; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -135,7 +137,10 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)
     picked = known.join(F.broadcast(shares), "lang").where(drawn).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).select("doc_id").distinct()
     # at most LARGEST ids (or one a language) are broadcast
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").join(F.broadcast(picked), "doc_id").limit(2 * per * len(names))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").join(F.broadcast(picked), "doc_id")
+    # an id that repeats teaches one row, always the same
+    one = Window.partitionBy("doc_id").orderBy("lang", F.xxhash64("text"))
+    sample = sample.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
