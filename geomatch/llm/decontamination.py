@@ -6,12 +6,16 @@ jump; where it says 0, the suffix bucket lists the patterns that end in this blo
 words are compared directly. Segments of all documents of a slice are searched in step, so that a
 jump is one numpy operation over all of them.
 
-The patterns are sent in parts of at most ``PART_WORDS`` words, one after another; a document
-gathers the hits of each part in its own row and is never shuffled or joined.
-
-Defined cases: a null text or one without words has no hit; items without words or with a null
-id match nothing; repeated items count once by id, repeated documents each keep a row; an empty
-table on either side works; other columns are ignored unless asked for.
+The patterns are sent in parts of about ``PART_WORDS`` words, one after another: documents with the
+hits of one part are written before the next part is built, and a document gathers the hits in its
+own row, never shuffled or joined. Long items are cut into pieces that overlap by a window less
+one word, which have the same windows, so that no item outgrows a part.
+
+Defined cases: a null text or one without words has no hit; items without words match nothing; the
+words that an item of null id matches are hit, but it has no id to be listed or counted by;
+repeated items count once by id, repeated documents each keep a row; very long texts are searched
+in segments; an empty table on either side works; other columns are ignored unless asked for, and
+columns asked for that have the name of a result are left out.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import Spans, bounded_batches, byte_table, mix, row_of, text_slices, word_spans
+from .textbytes import Spans, bounded_batches, byte_table, mix, row_of, text_slices, word_spans, written
 
 WINDOW = 10
 PART_WORDS = 1_000_000
+PIECE = 4096
 SEGMENT = 512
 WORDS = byte_table(lambda b: b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122)
 _K = np.uint64(0x9FB21C651E98DF25)
@@ -113,28 +118,40 @@ def split_words(texts: list[str | None]) -> list[list[bytes]]:
     return out
 
 
-def pattern_parts(items: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in parts of bounded size, one at a time on the driver; each is broadcast by itself."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = int(size // (part_words * 4)) + 1
+def pattern_parts(items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items (id, words) in parts of bounded size, one at a time on the driver; each is broadcast by itself."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, pieces, sizes = [], [], []
+            for i, words in zip(b.column("item_id").to_pylist(), split_words(b.column("text").to_pylist()), strict=True):
+                for at in range(0, max(1, len(words) - window + 1), PIECE) if words else ():
+                    piece = words[at : at + PIECE + window - 1]
+                    ids.append(i)
+                    pieces.append(b" ".join(piece))
+                    sizes.append(len(piece))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(pieces, pa.binary()), pa.array(sizes, pa.int64())], ["item_id", "piece", "words"])
+
+    cut = written(items.mapInArrow(run, "item_id string, piece binary, words long"), "patterns")
+    size = cut.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    parts = int(size // part_words) + 1
     for k in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        rows = sorted(map(tuple, mine.collect()))
+        mine = cut if parts == 1 else cut.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(parts)) == k)
+        rows = sorted(((r.item_id, bytes(r.piece)) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
         if rows:
-            yield list(zip([r[0] for r in rows], split_words([r[1] for r in rows]), strict=True))
+            yield [(i, piece.split(b" ")) for i, piece in rows]
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: list[str] | None = None, part_words: int = PART_WORDS) -> DataFrame:
     """``columns`` (by default doc_id, text) with n_words long, hits array<struct<start, end>> (merged
     word ranges inside occurrences, end exclusive) and items array<string> (sorted)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    columns = columns or ["doc_id", "text"]
+    columns = [c for c in columns or ["doc_id", "text"] if c.lower() not in ("n_words", "hits", "items")]
     out = docs.select(*columns).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<struct<start:long,end:long>>"), "items": F.array().cast("array<string>")})
     schema = out.schema
     names = [f.name for f in schema]
-    parts = list(map(lambda p: spark.sparkContext.broadcast(build(p, window)), pattern_parts(items))) or [spark.sparkContext.broadcast(([], []))]
 
     def searcher(part):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +168,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: list[
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + t.length, -1)
                         for r, p in zip(doc[at].tolist(), pattern.tolist(), strict=True):
-                            found.setdefault(r, set()).update(ids[k] for k in t.owners[p])
+                            found.setdefault(r, set()).update(ids[k] for k in t.owners[p] if ids[k] is not None)
                     inside = np.cumsum(edge[:-1]) > 0
                     hits, got = rows.column("hits").to_pylist(), rows.column("items").to_pylist()
                     for r, some in found.items():
@@ -168,9 +185,14 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: list[
 
         return run
 
-    for part in parts:
-        out = out.mapInArrow(searcher(part), schema)
-    return out
+    before = None
+    for part in pattern_parts(items, window, part_words):
+        if before is not None:
+            out = written(out, "searched")
+            before.destroy()
+        before = spark.sparkContext.broadcast(build(part, window))
+        out = out.mapInArrow(searcher(before), schema)
+    return out if before is not None else out.mapInArrow(searcher(spark.sparkContext.broadcast(([], []))), schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:

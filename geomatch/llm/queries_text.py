@@ -53,7 +53,7 @@ with d as (
     select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
 ), i as (
     select cast(item_id as varchar) as item, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
-    from benchmark where text is not null and item_id is not null
+    from benchmark where text is not null
 ), p as (
     select distinct item, m, ws[k:k + m - 1] as win
     from (select item, ws, least(10, len(ws)) as m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as k from i where len(ws) > 0)
@@ -61,7 +61,7 @@ with d as (
     select r, m, k, ws[k:k + m - 1] as win from (select r, ws, m, unnest(range(1, len(ws) - m + 2)) as k from d, (select distinct m from p) where len(ws) >= m)
 ), h as (select r, item, k, m from w join p using (m, win)),
 hit as (select r, count(*) as n from (select distinct r, unnest(range(k, k + m)) as at from h) group by r),
-got as (select r, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct r, item from h) group by r)
+got as (select r, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct r, item from h where item is not null) group by r)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(got.n, 0) as n_items,
     sha256(coalesce(items, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
 from d left join hit using (r) left join got using (r)
