@@ -364,10 +364,10 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (by default doc_id, text) with base and spans, and masked: the text with each
-    span's place taken by its kind in angle brackets."""
+    span's place taken by its kind in angle brackets. Columns of these names are left out."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    columns = columns or ["doc_id", "text"]
+    columns = [c for c in columns or ["doc_id", "text"] if c.lower() not in ("base", "spans", "masked")]
     docs = docs.select(*columns)
     sent = spark.sparkContext.broadcast(fit())
 
