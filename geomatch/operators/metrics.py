@@ -17,9 +17,13 @@ from geomatch.functions.vectors import cosine
 POOL, PART = 4096, 4096
 
 
-def cumulative_hits(first_hit: DataFrame, k: int = 5, depth: Column | None = None) -> DataFrame:
-    """rank1..rankk in percent from (query_id, first_hit), null where nothing was hit."""
-    return first_hit.agg(*[F.round(F.avg(F.when(F.col("first_hit") <= i, 100.0).otherwise(0.0)), 6).alias(f"rank{i}") for i in range(1, k + 1)], F.count("*").alias("queries"))
+def cumulative_hits(first_hit: DataFrame, k: int = 5) -> DataFrame:
+    """rank1..rankk in percent from (query_id, first_hit), null where nothing was hit; fails without a query.
+
+    A gallery of fewer than k has no hit beyond its size, so that its last value repeats.
+    """
+    some = lambda share: F.when(F.count("*") == 0, F.raise_error(F.lit("no queries to evaluate")).cast("double")).otherwise(share)
+    return first_hit.agg(*[some(F.round(F.avg(F.when(F.col("first_hit") <= i, 100.0).otherwise(0.0)), 6)).alias(f"rank{i}") for i in range(1, k + 1)], F.count("*").alias("queries"))
 
 
 def rank_accuracy(hits: DataFrame, query_labels: DataFrame, point_labels: DataFrame, k: int = 5) -> DataFrame:
@@ -43,16 +47,47 @@ def spatial_hit_rate(hits: DataFrame, truth: DataFrame, crop: float, k: int = 5)
     return cumulative_hits(t.join(hits, "query_id").groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first_hit")), k)
 
 
+def elements_at(df: DataFrame, column: str, ranks: Sequence[int], few: int = 10_000, buckets: int = 1024) -> dict[int, float]:
+    """The elements at these ranks (from 0) in the order of a column of finite numbers.
+
+    Histograms narrow the ranks down: only counts by bucket leave the tasks, and in the end the few
+    values about a rank.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    # (least, most, elements before, elements) of the range that holds each rank
+    spans = {r: (lo, hi, 0, n) for r in ranks}
+    while open_ := sorted({s for s in spans.values() if s[0] < s[1] and s[3] > few}):
+        which, at = F.lit(None), F.lit(None)
+        for k, (lo, hi, _, _) in enumerate(open_):
+            inside = F.col("x").between(lo, hi)
+            which, at = F.when(inside, k).otherwise(which), F.when(inside, F.least(F.floor((F.col("x") - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).otherwise(at)
+        rows = x.select("x", which.alias("span"), at.alias("at")).where("span is not null").groupBy("span", "at").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).orderBy("span", "at").collect()
+        for r, s in list(spans.items()):
+            if s in open_:
+                before = s[2]
+                for b in (b for b in rows if b.span == open_.index(s)):
+                    if r < before + b.n:
+                        spans[r] = (b.lo, b.hi, before, b.n)
+                        break
+                    before += b.n
+    out = {r: s[0] for r, s in spans.items() if s[0] == s[1]}
+    for s in {s for r, s in spans.items() if r not in out}:
+        values = np.sort([r.x for r in x.where(F.col("x").between(s[0], s[1])).collect()])
+        out |= {r: float(values[r - s[2]]) for r, own in spans.items() if own == s}
+    return out
+
+
 def latency_report(df: DataFrame, ms: str, method: str = "interpolated") -> DataFrame:
     """mean, p95, p99, qps, n: percentiles between elements, or the element at floor(n p)."""
-    mean = F.avg(ms)
-    if method == "interpolated":
-        p95, p99 = F.percentile(ms, F.lit(0.95)), F.percentile(ms, F.lit(0.99))
-    else:
-        n = df.where(F.col(ms).isNotNull()).count()
-        at = lambda p: min(1.0, (min(int(np.floor(n * p)), n - 1) + 0.5) / n) if n else p
-        p95, p99 = (F.expr(f"percentile_disc({at(p)}D) within group (order by {ms})") for p in (0.95, 0.99))
-    return df.agg(F.round(mean, 6).alias("mean_ms"), F.round(p95, 6).alias("p95_ms"), F.round(p99, 6).alias("p99_ms"), F.round(F.when(mean > 0, 1000 / mean).otherwise(0.0), 6).alias("qps"), F.count(ms).alias("n"))
+    mean, n = F.avg(ms), df.where(F.col(ms).isNotNull()).count()
+    p95 = p99 = F.lit(None).cast("double")
+    if n:
+        at = {p: (n - 1) * p if method == "interpolated" else min(int(np.floor(n * p)), n - 1) for p in (0.95, 0.99)}
+        found = elements_at(df, ms, sorted({k for x in at.values() for k in (int(np.floor(x)), int(np.ceil(x)))}))
+        low, high = lambda p: found[int(np.floor(at[p]))], lambda p: found[int(np.ceil(at[p]))]
+        p95, p99 = (F.lit(low(p) + (high(p) - low(p)) * (at[p] - int(np.floor(at[p])))) for p in (0.95, 0.99))
+    return df.agg(F.round(mean, 6).alias("mean_ms"), F.first(F.round(p95, 6)).alias("p95_ms"), F.first(F.round(p99, 6)).alias("p99_ms"), F.round(F.when(mean > 0, 1000 / mean).otherwise(0.0), 6).alias("qps"), F.count(ms).alias("n"))
 
 
 def throughput(df: DataFrame, by: list[str], items: Column, ts: str) -> DataFrame:
@@ -92,6 +127,14 @@ def smoothed_ce(logits: Column, label: Column, smoothing: float = 0.1) -> Column
     return (1 - smoothing) * (log_sum - F.get(logits, label)) + smoothing * (log_sum - mean)
 
 
+def combined_loss(ms: DataFrame, rows: DataFrame | None, smoothing: float = 0.1) -> DataFrame:
+    """(batch, loss): the multi-similarity loss, and where logits and labels (batch, logits, label) exist their mean smoothed cross entropy."""
+    if rows is None:
+        return ms
+    ce = rows.where("logits is not null and label is not null").groupBy("batch").agg(F.avg(smoothed_ce(F.col("logits"), F.col("label"), smoothing)).alias("ce"))
+    return ms.join(ce, "batch", "left").select("batch", F.round(F.col("loss") + F.coalesce("ce", F.lit(0.0)), 6).alias("loss"))
+
+
 def gem_pool(df: DataFrame, by: list[str], value: str, p: float = 3.0) -> DataFrame:
     return df.groupBy(*by).agg(F.round(F.pow(F.avg(F.pow(F.greatest(F.col(value), F.lit(1e-6)), F.lit(p))), F.lit(1 / p)), 6).alias("pooled"))
 
@@ -241,13 +284,13 @@ def epoch_summary(steps: DataFrame) -> DataFrame:
 
 def mosaic_plan(tiles: DataFrame, by: Sequence[str] = ("z",)) -> DataFrame:
     """Offsets of tiles (west, south, east, north, width, height) in the mosaic of their group, and its size."""
-    w = Window.partitionBy(*by)
-    west, north = F.min("west").over(w), F.max("north").over(w)
+    # bounds are sums by group that join back, so that a mosaic's tiles need not meet in one task
+    bounds = tiles.groupBy(*by).agg(F.min("west").alias("_w"), F.max("north").alias("_n"), F.max("east").alias("_e"), F.min("south").alias("_s"))
     rx, ry = (F.col("east") - F.col("west")) / F.col("width"), (F.col("north") - F.col("south")) / F.col("height")
-    return tiles.withColumns({
-        "off_x": F.round((F.col("west") - west) / rx).cast("long"), "off_y": F.round((north - F.col("north")) / ry).cast("long"),
-        "mosaic_width": F.round((F.max("east").over(w) - west) / rx).cast("long"), "mosaic_height": F.round((north - F.min("south").over(w)) / ry).cast("long"),
-    })
+    return tiles.join(bounds, list(by)).withColumns({
+        "off_x": F.round((F.col("west") - F.col("_w")) / rx).cast("long"), "off_y": F.round((F.col("_n") - F.col("north")) / ry).cast("long"),
+        "mosaic_width": F.round((F.col("_e") - F.col("_w")) / rx).cast("long"), "mosaic_height": F.round((F.col("_n") - F.col("_s")) / ry).cast("long"),
+    }).drop("_w", "_n", "_e", "_s")
 
 
 def mosaic_pixels(blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from geomatch.functions.geo import MEAN_RADIUS, haversine
 from geomatch.functions.vectors import cosine, l2_normalize
 
-QUERY_BYTES = 64 << 20
+#: Queries that go to all tasks whole; scores held at a time; rows of a block where neither side does.
+QUERY_BYTES, TILE_BYTES, BLOCK_ROWS = 64 << 20, 32 << 20, 16_384
 DECIMALS = 6
 
 
@@ -22,65 +23,88 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def query_chunks(queries: DataFrame) -> list[DataFrame]:
-    """Queries (query_id, vector) in parts of at most about QUERY_BYTES of vectors each."""
-    n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    parts = int(n * max(1, dim or 1) * 8 // QUERY_BYTES) + 1
-    return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+def best_of(queries: pd.DataFrame, points: pd.DataFrame, k: int, exclude_self: bool, rows: Callable[[pd.Series], np.ndarray]) -> Iterator[pd.DataFrame]:
+    """The k best of some points (id, v) for each of some queries (query_id, v), in tiles of bounded size."""
+    if not len(queries) or not len(points):
+        return
+    points = points.sort_values("id", kind="stable", na_position="first")
+    v, own = rows(points["v"]), points["id"].to_numpy()
+    step = max(1, TILE_BYTES // (8 * len(own)))
+    for at in range(0, len(queries), step):
+        some = queries.iloc[at : at + step]
+        ids, s = some["query_id"].to_numpy(), np.round(rows(some["v"]) @ v.T, DECIMALS)
+        if exclude_self:
+            s[ids[:, None] == own[None, :]] = -np.inf
+        if k < len(own):
+            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+            over, equal = s > kth, s == kth
+            s[~(over | equal & (np.cumsum(equal, 1, dtype=np.int32) <= k - over.sum(1, keepdims=True)))] = -np.inf
+        i, j = np.nonzero(np.isfinite(s))
+        yield pd.DataFrame({"query_id": ids[i], "id": own[j], "score": s[i, j]})
+
+
+def stacked(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy())
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, size: int, rows: Callable[[pd.Series], np.ndarray] = stacked) -> DataFrame:
+    """(query_id, id, score, rank) by the inner product of rows of v: queries (query_id, v), points (id, v).
+
+    ``size`` says how many bytes the queries are. Up to QUERY_BYTES they go to all tasks and points
+    stay where they are; beyond, blocks of queries meet blocks of points.
+    """
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": points.schema["id"].dataType.simpleString()}
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    if size <= QUERY_BYTES:
+        sent = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
+
+        def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                yield from best_of(sent.value, pdf, k, exclude_self, rows)
+
+        return ranked(points.mapInPandas(run, schema), k)
+    nq, np_ = (-(-df.count() // BLOCK_ROWS) or 1 for df in (queries, points))
+    dealt = lambda df, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    q, p = dealt(queries, nq, "_q", "_p", np_), dealt(points, np_, "_p", "_q", nq)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = list(best_of(left, right, k, exclude_self, rows))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": left["query_id"].head(0), "id": right["id"].head(0), "score": np.zeros(0)})
+
+    return ranked(q.groupBy("_q", "_p").cogroup(p.groupBy("_q", "_p")).applyInPandas(meet, schema), k)
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int = 5, exclude_self: bool = False, eps: float = 1e-12) -> DataFrame:
     """(query_id, id, score, rank) by cosine; scores are rounded to 6 places before they are ranked.
 
-    ``queries`` (query_id, vector), ``points`` (id, vector). Points are not shuffled: each part of
-    the queries, of a checked size, goes to all tasks, which keep their own k best of each query.
+    ``queries`` (query_id, vector), ``points`` (id, vector); see ``nearest`` for how they meet.
     """
-    parts = []
-    for chunk in query_chunks(queries):
-        rows = chunk.select("query_id", l2_normalize(F.col("vector"), eps).alias("v")).where("v is not null").toPandas()
-        ids = rows["query_id"].to_numpy()
-        q = np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, 1))
-        sent = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(frames: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for pdf in frames:
-                if not len(pdf) or not len(ids):
-                    continue
-                v, own = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
-                s = np.round(q @ v.T, DECIMALS)
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                # all that reach the k-th score stay, so that ties are settled by id
-                kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-                i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-                yield pd.DataFrame({"query_id": ids[i], "id": own[j], "score": s[i, j]})
-
-        p = points.select("id", l2_normalize(F.col("vector"), eps).alias("v")).where("v is not null")
-        kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": points.schema["id"].dataType.simpleString()}
-        parts.append(p.mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return ranked(out, k)
-
-
-def cell(lon: Column, lat: Column, degrees: float) -> Column:
-    return F.struct(F.floor(lon / degrees).alias("cx"), F.floor(lat / degrees).alias("cy"))
+    n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    unit = lambda df, key: df.select(key, l2_normalize(F.col("vector"), eps).alias("v")).where("v is not null")
+    return nearest(unit(queries, "query_id"), unit(points, "id"), k, exclude_self, n * max(1, dim or 1) * 8)
 
 
 def geo_radius_join(queries: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of queries (query_id, lon, lat) and points (id, lon, lat) within a radius, by an equi-join on cells.
 
-    A cell is one radius high; queries go to the cells that the radius can reach at their latitude.
+    Bands of latitude are one radius high. A band has as many cells as leave each wider than the
+    radius reaches there, one near the poles, so that a query meets nine cells at most. Both sides
+    of the join are shuffled by cell, so that Spark can split crowded ones.
     """
     d = float(np.degrees(radius_m / MEAN_RADIUS)) * 1.0001
-    reach = F.least(F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + d, F.lit(90.0)))), F.lit(1e-6))), F.lit(int(np.ceil(360 / d))))
-    n = int(np.ceil(360 / d))
-    wrap = lambda c: F.pmod(c, F.lit(n))
-    q = queries.withColumn("_c", cell(F.col("lon"), F.col("lat"), d)).withColumn("_cx", F.explode(F.array_distinct(F.transform(F.sequence(-reach - 1, reach + 1), lambda k: wrap(F.col("_c.cx") + k))))).withColumn("_cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.col("_c.cy") + k)))
+    band = lambda lat: F.floor((lat + 90) / d)
+
+    def cells(cy: Column) -> Column:
+        # the cosine where the band and those beside it are nearest to a pole
+        far = F.least(F.greatest(F.abs((cy - 1) * d - 90), F.abs((cy + 2) * d - 90)), F.lit(90.0))
+        n = F.floor(360 * F.cos(F.radians(far)) / (1.1 * d))
+        return F.when(n < 8, F.lit(1).cast("long")).otherwise(n)
+
+    column = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1)
+    q = queries.withColumn("_cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: band(F.col("lat")) + k))).withColumn("_n", cells(F.col("_cy")))
+    q = q.withColumn("_cx", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.pmod(column(F.col("lon"), F.col("_n")) + k, F.col("_n"))))))
     q = q.select(*queries.columns, "_cx", "_cy").withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"})
-    p = points.withColumn("_c", cell(F.col("lon"), F.col("lat"), d)).withColumn("_cx", wrap(F.col("_c.cx"))).withColumn("_cy", F.col("_c.cy")).drop("_c")
+    p = points.withColumn("_cy", band(F.col("lat"))).withColumn("_cx", column(F.col("lon"), cells(F.col("_cy"))))
     meters = haversine(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat"))
     return q.join(p, ["_cx", "_cy"]).withColumn("meters", meters).where(F.col("meters") <= radius_m).drop("_cx", "_cy")
 
@@ -100,21 +124,37 @@ def candidates(queries: DataFrame, priors: DataFrame, points: DataFrame, k: int,
     return local.unionByName(everywhere.select("query_id", "id", "score", "rank", F.lit("global").alias("mode")))
 
 
-def ann(queries: DataFrame, points: DataFrame, k: int, bucket: float = 2.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate top-k: random-projection buckets give the pairs, at any distance, exact cosines the
-    ranks; queries that meet fewer than k points there are searched exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df, key: df.select(F.col(key), array_to_vector(l2_normalize(F.col("vector"))).alias("features"), "vector")
-    q, p = unit(queries, "query_id"), unit(points, "id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(p)
-    pairs = model.approxSimilarityJoin(q, p, float("inf"))
-    score = F.round(cosine(F.col("datasetA.vector"), F.col("datasetB.vector")), DECIMALS)
-    hits = ranked(pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), score.alias("score")), k).persist()
-    full = hits.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    short = queries.join(full, "query_id", "left_anti")
-    return hits.join(full, "query_id", "left_semi").unionByName(knn(short, points, k))
+def signatures(df: DataFrame, key: str, bits: int, seed: int) -> DataFrame:
+    """(key, v): on which side of ``bits`` random planes through the origin a vector lies, as bits."""
+    own = df.select(key, F.col("vector").cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                v = stacked(pdf["v"])
+                planes = np.random.default_rng(seed).normal(size=(v.shape[1], bits))
+                yield pdf.assign(v=[x.tobytes() for x in np.packbits(v @ planes > 0, axis=1)])
+
+    return own.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, v binary")
+
+
+def sides(bits: int) -> Callable[[pd.Series], np.ndarray]:
+    """Signatures as rows of +1 and -1, whose inner product counts equal bits."""
+    return lambda v: np.unpackbits(np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1), axis=1)[:, :bits].astype(np.float32) * 2 - 1
+
+
+def rough(queries: DataFrame, points: DataFrame, k: int, bits: int = 256, seed: int = 42) -> DataFrame:
+    """(query_id, id): the k points of each query whose signatures have most bits in common with its own."""
+    q, p = signatures(queries, "query_id", bits, seed), signatures(points, "id", bits, seed)
+    return nearest(q, p, k, False, queries.count() * (bits // 8 + 64), sides(bits)).select("query_id", "id")
+
+
+def ann(queries: DataFrame, points: DataFrame, k: int, bits: int = 256, oversample: int = 40, seed: int = 42) -> DataFrame:
+    """Approximate top-k: all points are met as signatures of ``bits`` bits, and only the best
+    k * oversample of a query by exact cosine, which ranks them."""
+    found = rough(queries, points, k * oversample, bits, seed)
+    pairs = found.join(points.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("q_vector")), "query_id")
+    return ranked(pairs.select("query_id", "id", F.round(cosine(F.col("q_vector"), F.col("vector")), DECIMALS).alias("score")), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -81,16 +81,21 @@ def g4_crop_plan(spark: SparkSession, d: str) -> DataFrame:
     return grid.crop_plan(crops(spark, d), r).select("crop_id", "src", F.coalesce("error", F.lit("")).alias("error"), *places)
 
 
-@query()
+@query(f"""with {fx.RASTERS_SQL}, c as (select o_orderkey as crop_id, o_orderkey % (select count(*) from part) as src, o_orderkey % 700 as x, o_custkey % 500 as y from orders),
+    j as (select c.*, width, least(256, width - x) as w, least(8, height - y) as h from c join rasters r on r.src = c.src where x < width and y < height),
+    l as (select *, unnest(range(y, y + h)) as yy from j), t as (select *, unnest(range(x // 256, (x + w - 1) // 256 + 1)) as tx from l),
+    s as (select crop_id, yy, tx, greatest(x, tx * 256) as lo, least(x + w, (tx + 1) * 256) as hi,
+        repeat('k' || right(to_hex((yy // 256) * cast(ceil(width / 256) as bigint) + tx), 1) || lpad(cast(yy % 256 as varchar), 6, '0'), 32) as line from t)
+    select crop_id, cast(sum(hi - lo) as bigint) as n_bytes, md5(string_agg(substr(line, lo - tx * 256 + 1, hi - lo), '' order by yy, tx)) as digest from s group by crop_id""")
 def g5_crop_assemble(spark: SparkSession, d: str) -> DataFrame:
-    """Crops of the first chunk row of each raster, whose bytes say where they lie."""
+    """Strips of 256 x 8 bytes of rasters whose bytes say where they lie."""
     r = fx.rasters(spark, d).withColumn("tile_width", F.lit(256))
-    small = crops(spark, d).withColumns({"w": F.lit(32), "h": F.lit(4)})
+    small = crops(spark, d).withColumns({"w": F.lit(256), "h": F.lit(8)})
     plan = grid.crop_plan(small, r)
     used = plan.where("error is null").select("src", "chunk_index").distinct()
     text = F.repeat(F.hex(F.concat(F.lit("k"), F.substring(F.hex(F.col("chunk_index")), -1, 1), F.lpad(F.col("row").cast("string"), 6, "0"))), 32)
     chunks = used.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(255)))).withColumn("data", F.unhex(text))
-    return grid.crop_assemble(plan, chunks).select("crop_id", F.length("data").alias("n_bytes"), F.crc32("data").alias("crc"))
+    return grid.crop_assemble(plan, chunks).select("crop_id", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
 
 
 @query(f"with {fx.POINTS_SQL} select id, greatest(0, x - 128) as x, greatest(0, y - 128) as y, 256 as w, 256 as h from points")
@@ -122,6 +127,15 @@ def g9_g10_samples(spark: SparkSession, d: str) -> DataFrame:
     return grid.sample_positives(a, 2, 224, seed=7).select("src", "i", "j", "cx", "cy", "px", "py", "margin", "width", "height")
 
 
+@query(f"""with {fx.RASTERS_SQL} select src, cast(i as int) as i, cast(j as int) as j, 202 as margin, true as inside from rasters, range(3) a(i), range(2) b(j) where width > 404 and height > 404""")
+def g9_g10_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Which samples there are, and that each lies where it may: the draws themselves have no SQL."""
+    between = lambda c, dim: F.col(c).between(F.col("margin"), F.col(dim) - F.col("margin"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 56
+    a = grid.sample_positives(grid.sample_anchors(fx.rasters(spark, d), 3, 224, seed=7), 2, 224, seed=7)
+    return a.select("src", "i", "j", "margin", (between("cx", "width") & between("cy", "height") & between("px", "width") & between("py", "height") & near("px", "cx") & near("py", "cy")).alias("inside"))
+
+
 @query("""select l_orderkey as key, list_reduce([cast(x as varchar) for x in (l[1:3] || [l[1] for i in range(greatest(3 - len(l), 0))])], (a, b) -> a || ',' || b) as chosen from (
     select l_orderkey, list(distinct l_partkey order by l_partkey) as l from lineitem group by l_orderkey)""".replace("(a, b) -> a || ',' || b", "lambda a, b: a || ',' || b"))
 def g11_choose_positives(spark: SparkSession, d: str) -> DataFrame:
@@ -267,9 +281,11 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("frame")).agg(F.array_sort(F.collect_list(p)).alias("points"))
 
 
-@query()
+@query("""select user_id, frame, cast(len(l) as int) as n, array_to_string([x.e for x in list_reduce([[x] for x in l], lambda kept, p: case when len([k for k in kept if (k.v - p[1].v) * (k.v - p[1].v) < 0.2::double * 0.2::double]) > 0 then kept else kept || p end)], ',') as kept
+    from (select user_id, event_id // 500 as frame, list({'e': event_id, 'v': value / 20} order by event_id) as l from events group by 1, 2)""")
 def j9_nms_points(spark: SparkSession, d: str) -> DataFrame:
-    return observations(spark, d).select("user_id", "frame", F.size("points").alias("n"), F.transform(joins.nms_points(F.col("points"), 0.2), lambda p: p["event_id"]).alias("kept"))
+    kept = F.transform(joins.nms_points(F.col("points"), 0.2), lambda p: p["event_id"].cast("string"))
+    return observations(spark, d).select("user_id", "frame", F.size("points").alias("n"), F.array_join(kept, ",").alias("kept"))
 
 
 @query(f"with {KNN_SQL} select query_id, t.id, t.rank, p.x, p.y from top t join points p on p.id = t.id".replace("select query_id, t.id", "select t.query_id as frame_id, t.id"))
@@ -279,20 +295,24 @@ def j11_zip_tiles(spark: SparkSession, d: str) -> DataFrame:
     return joins.zip_tiles(hits, cut).select("frame_id", "id", "rank", "x", "y")
 
 
-BILINEAR_SQL = """with g as (select cast(vec_id % 10 as bigint) as gx, cast((vec_id // 10) % 10 as bigint) as gy, [cast(x as double) for x in embedding[1:4]] as v from embeddings where vec_id < 100),
-    p as (select event_id, cast(event_id % 97 as double) / 96 * 9 as x, cast(event_id % 89 as double) / 88 * 9 as y from events),
+BILINEAR_SQL = """with g as (select vec_id // 100 as img, cast(vec_id % 10 as bigint) as gx, cast((vec_id // 10) % 10 as bigint) as gy, cast(embedding as double[]) as v from embeddings),
+    p as (select event_id, event_id % (select max(vec_id) // 100 + 1 from embeddings) as img, cast(event_id % 97 as double) / 96 * 9 as x, cast(event_id % 89 as double) / 88 * 9 as y from events),
     c as (select p.*, least(floor(x), 9) as x0, least(floor(y), 9) as y0, x - floor(x) as fx, y - floor(y) as fy from p),
-    s as (select event_id, [a.v[i] * (1 - fx) * (1 - fy) + b.v[i] * fx * (1 - fy) + e.v[i] * (1 - fx) * fy + f.v[i] * fx * fy for i in [1, 2, 3, 4]] as v from c
-        join g a on a.gx = x0 and a.gy = y0 join g b on b.gx = least(x0 + 1, 9) and b.gy = y0 join g e on e.gx = x0 and e.gy = least(y0 + 1, 9) join g f on f.gx = least(x0 + 1, 9) and f.gy = least(y0 + 1, 9))
-    select event_id as point_id, round(v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-6), 6) as first, round(v[4] / greatest(sqrt(list_dot_product(v, v)), 1e-6), 6) as fourth from s"""
+    s as (select event_id, [a.v[i] * (1 - fx) * (1 - fy) + b.v[i] * fx * (1 - fy) + e.v[i] * (1 - fx) * fy + f.v[i] * fx * fy for i in range(1, len(a.v) + 1)] as v from c
+        join g a on a.img = c.img and a.gx = x0 and a.gy = y0 join g b on b.img = c.img and b.gx = least(x0 + 1, 9) and b.gy = y0
+        join g e on e.img = c.img and e.gx = x0 and e.gy = least(y0 + 1, 9) join g f on f.img = c.img and f.gx = least(x0 + 1, 9) and f.gy = least(y0 + 1, 9))
+    select event_id as point_id, round(x / greatest(sqrt(list_dot_product(v, v)), 1e-6), 5) as value, i from (select event_id, v, unnest(v) as x, unnest(range(0, len(v))) as i from s)"""
 
 
 @query(BILINEAR_SQL)
 def j12_bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.table(spark, d, "embeddings").where("vec_id < 100").select(F.lit(0).alias("img_id"), (F.col("vec_id") % 10).alias("gx"), (F.floor(F.col("vec_id") / 10) % 10).alias("gy"), F.slice("embedding", 1, 4).alias("vector"))
-    p = fx.table(spark, d, "events").select(F.lit(0).alias("img_id"), F.col("event_id").alias("point_id"), (F.col("event_id") % 97).cast("double").alias("x"), (F.col("event_id") % 89 / F.lit(88.0) * 96).alias("y"))
+    """Images of 10 x 10 vectors; events are dealt to them in turn."""
+    e = fx.table(spark, d, "embeddings")
+    g = e.select(F.floor(F.col("vec_id") / 100).alias("img_id"), (F.col("vec_id") % 10).alias("gx"), (F.floor(F.col("vec_id") / 10) % 10).alias("gy"), F.col("embedding").alias("vector"))
+    images = e.agg(F.max(F.floor(F.col("vec_id") / 100)) + 1).first()[0] or 1
+    p = fx.table(spark, d, "events").select((F.col("event_id") % images).alias("img_id"), F.col("event_id").alias("point_id"), (F.col("event_id") % 97).cast("double").alias("x"), (F.col("event_id") % 89 / F.lit(88.0) * 96).alias("y"))
     out = joins.bilinear_sample(g, p, 97, 97, 10, 10)
-    return out.select("point_id", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[3], 6).alias("fourth"))
+    return out.select("point_id", F.posexplode("vector").alias("i", "x")).select("point_id", F.round("x", 5).alias("value"), F.col("i").cast("long").alias("i"))
 
 
 # ---- aggregations --------------------------------------------------------------------------------
@@ -344,12 +364,24 @@ def a7_ms_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select vec_id, round(0.9 * (ls - v[label + 1]) + 0.1 * (ls - list_avg(v)), 6) as loss from (
-    select vec_id, label, v, ln(list_sum([exp(x) for x in v])) as ls from (select vec_id, label, [cast(x as double) for x in embedding[1:10]] as v from embeddings))""")
+    select vec_id, label, v, ln(list_sum([exp(x) for x in v])) as ls from (select vec_id, label, cast(embedding as double[]) as v from embeddings))""")
 def a8_smoothed_ce(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("v"))
+    e = fx.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return e.select("vec_id", r6(metrics.smoothed_ce(F.col("v"), F.col("label")), "loss"))
 
 
+@query(MS_SQL + """, g as (select batch, anchor, sum(case when own and kept then exp(least(greatest(-2 * (s - 0.5), -80), 80)) else 0 end) as pos,
+    sum(case when not own and kept then exp(least(greatest(50 * (s - 0.5), -80), 80)) else 0 end) as neg from k group by 1, 2),
+    l as (select batch, round(avg(ln(1 + pos) / 2 + ln(1 + neg) / 50), 6) as loss from g group by batch),
+    c as (select vec_id // 20 as batch, avg(0.9 * (ls - v[label + 1]) + 0.1 * (ls - list_avg(v))) as ce from (
+        select vec_id, label, v, ln(list_sum([exp(x) for x in v])) as ls from (select vec_id, label, cast(embedding as double[]) as v from embeddings where vec_id % 40 < 20)) group by 1)
+    select batch, round(loss + coalesce(ce, 0), 6) as loss from l left join c using (batch)""")
+def a8_combined_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Every second batch has labels."""
+    rows = fx.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("batch"), F.when(F.col("vec_id") % 40 < 20, F.col("label")).alias("label"), F.col("embedding").cast("array<double>").alias("logits"))
+    return metrics.combined_loss(metrics.ms_loss(ms_pairs(spark, d)), rows)
+
+
 @query("select user_id, round(power(avg(power(greatest(value, 1e-6), 3.0)), 1 / 3.0::double), 6) as pooled from events group by user_id")
 def a9_gem_pool(spark: SparkSession, d: str) -> DataFrame:
     return metrics.gem_pool(fx.table(spark, d, "events"), ["user_id"], "value")
@@ -368,6 +400,15 @@ def a10_count_inliers(spark: SparkSession, d: str) -> DataFrame:
     return metrics.count_inliers(point_pairs(spark, d).withColumn("h", h), 9.5)
 
 
+@query("""select user_id as frame_id, event_type as tile, count(*) as inliers, 1.1::double as h0, 3.0::double as h2, 0.9::double as h4, -4.0::double as h5 from events group by 1, 2 having count(distinct value) >= 6 and count(distinct event_id % 500) >= 6""")
+def a10_fit_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one affine map: every group of six places and more has that model, and all its pairs fit."""
+    m = point_pairs(spark, d).withColumns({"u": F.col("x") * 1.1 + 3, "v": F.col("y") * 0.9 - 4})
+    spread = m.groupBy("frame_id", "tile").agg(F.countDistinct("x").alias("a"), F.countDistinct("y").alias("b")).where("a >= 6 and b >= 6").select("frame_id", "tile")
+    fit = metrics.fit_homography(m).join(spread, ["frame_id", "tile"])
+    return fit.select("frame_id", "tile", "inliers", *[F.round(F.col("h")[k], 4).alias(f"h{k}") for k in (0, 2, 4, 5)])
+
+
 @query()
 def a10_fit_homography(spark: SparkSession, d: str) -> DataFrame:
     return metrics.fit_homography(point_pairs(spark, d)).select("frame_id", "tile", "inliers")
@@ -424,7 +465,13 @@ def w5_grid_nms(spark: SparkSession, d: str) -> DataFrame:
     return keypoints.grid_nms(fx.grid(spark, d), 2).select("img_id", "x", "y", "is_max")
 
 
-@query()
+def again_sql(before: str, name: str) -> str:
+    """One more round over the cells of ``before``: maxima of what lies away from those found."""
+    spread = lambda v, out, src, to: f"{to}_h as (select *, max({v}) over (partition by img_id, y order by x range between 2 preceding and 2 following) as h from {src}), {to} as (select * exclude (h), max(h) over (partition by img_id, x order by y range between 2 preceding and 2 following) as {out} from {to}_h)"
+    return ", ".join([spread("cast(is_max as int)", "near", before, f"{name}_a"), f"{name}_b as (select *, case when near > 0 then 0 else score end as rest from {name}_a)", spread("rest", "top", f"{name}_b", f"{name}_c"), f"{name} as (select img_id, x, y, score, is_max or (near = 0 and rest = top) as is_max from {name}_c)"])
+
+
+@query(f"with {fx.GRID_SQL}, {NMS}, first as (select img_id, x, y, score, is_max from nms), {again_sql('first', 'second')}, {again_sql('second', 'third')} select img_id, x, y, is_max from third")
 def w6_iterated_nms(spark: SparkSession, d: str) -> DataFrame:
     return keypoints.grid_nms(fx.grid(spark, d), 2, rounds=2).select("img_id", "x", "y", "is_max")
 
@@ -437,13 +484,10 @@ def t4_topk_keypoints(spark: SparkSession, d: str) -> DataFrame:
 NAMES = ["N7", "N3", "N19", "nowhere"]
 
 
-@query("select n_nationkey, row_number() over (order by case n_nationkey when 7 then 1 when 3 then 2 when 19 then 3 else 99 end, n_nationkey) as place from nation")
+@query("select n_nationkey, case n_nationkey when 7 then 1 when 3 then 2 when 19 then 3 else 1099511627776 end as listed, n_nationkey as position from nation")
 def t5_order_by_names(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     n = fx.table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("N"), F.col("n_nationkey")).alias("name"), F.col("n_nationkey").alias("position"))
-    # the list of a map's resources is one user's and short; the global rank is for the comparison
-    return keypoints.order_by_names(n, NAMES).withColumn("place", F.row_number().over(Window.orderBy("sort_key"))).select("n_nationkey", "place")
+    return keypoints.order_by_names(n, NAMES).orderBy("sort_key").select("n_nationkey", F.col("sort_key.p").cast("long").alias("listed"), F.col("sort_key.q").cast("long").alias("position"))
 
 
 # ---- diffs ---------------------------------------------------------------------------------------
@@ -529,25 +573,30 @@ def k8_bias_correct(spark: SparkSession, d: str) -> DataFrame:
 # ---- embedding and ingestion ---------------------------------------------------------------------
 
 
-def hashing_embedder():
-    import zlib
+def length_embedder():
+    """Counts of ASCII words by length modulo 32."""
+    import re
 
     import numpy as np
 
+    word = re.compile("[A-Za-z]+")
+
     def run(texts: list) -> np.ndarray:
         out = np.zeros((len(texts), 32))
         for i, t in enumerate(texts):
-            for w in (t or "").split():
-                out[i, zlib.crc32(w.encode()) % 32] += 1
+            np.add.at(out[i], [len(w) % 32 for w in word.findall(t or "")], 1)
         return out
 
     return run
 
 
-@query()
+@query("""with w as (select doc_id, len(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) % 32 as i from documents), c as (select doc_id, i, count(*) as n from w group by 1, 2),
+    s as (select doc_id, sqrt(sum(n * n)) as norm from c group by 1)
+    select d.doc_id, k.i, round(coalesce(n, 0) / greatest(coalesce(norm, 0), 1e-6), 4) as value from documents d cross join range(32) k(i) left join c on c.doc_id = d.doc_id and c.i = k.i left join s on s.doc_id = d.doc_id""")
 def u1_embed(spark: SparkSession, d: str) -> DataFrame:
     t = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("data"))
-    return localization.embed(t, hashing_embedder, 32).select("doc_id", F.size("vector").alias("dim"), F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
+    out = localization.embed(t, length_embedder, 32).select("doc_id", F.posexplode("vector").alias("i", "x"))
+    return out.select("doc_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 4).alias("value"))
 
 
 @query(f"""with {fx.RASTERS_SQL}, g as (select src, x, unnest(range(0, height - 512 + 1, 174)) as y from (select *, unnest(range(0, width - 512 + 1, 174)) as x from rasters where width >= 512 and height >= 512))

@@ -34,7 +34,9 @@ class VectorTable:
 
     def upsert(self, batch: DataFrame, seq: str | None = None) -> None:
         """Replaces the rasters' partitions that the batch or the points it replaces lie in. The new
-        state is written beside the table first, as Spark cannot overwrite what it reads."""
+        state is written beside the table first, as Spark cannot overwrite what it reads. A raster
+        whose points have all moved away loses its partition last; if that step is cut off, the
+        same batch again completes it."""
         bad = check_dim(batch, self.dim).where("not dim_ok").limit(1).count()
         if bad:
             raise ValueError(f"vectors of another length than {self.dim}")
@@ -43,14 +45,16 @@ class VectorTable:
         old = self.read().drop("cell_x", "cell_y")
         touched = old.join(batch.select("id"), "id", "left_semi").select("src").unionByName(batch.select("src")).distinct()
         new = self.with_cells(upsert(old.join(touched, "src", "left_semi"), batch, seq))
-        # a raster whose points have all moved away keeps no row, and so its partition is not replaced
         staged = self.path.rstrip("/") + "__staged"
         new.write.mode("overwrite").parquet(staged)
         moved = old.select("id", "src").join(batch.select("id"), "id", "left_semi")
-        emptied = [r.src for r in moved.select("src").distinct().join(self.spark.read.parquet(staged).select("src").distinct(), "src", "left_anti").limit(1000).collect()]
-        if emptied:
-            raise ValueError(f"all points of {emptied[:3]} move to other rasters; delete these partitions first")
+        emptied = [r.src for r in moved.select("src").distinct().join(self.spark.read.parquet(staged).select("src").distinct(), "src", "left_anti").toLocalIterator()]
         self.spark.read.parquet(staged).repartition("src").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("src").parquet(self.path)
+        jvm = self.spark._jvm
+        for src in emptied:
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("src", src)
+            folder = jvm.org.apache.hadoop.fs.Path(self.path, name)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def check_dim(points: DataFrame, dim: int) -> DataFrame:
@@ -58,10 +62,10 @@ def check_dim(points: DataFrame, dim: int) -> DataFrame:
 
 
 def upsert(points: DataFrame, batch: DataFrame, seq: str | None = None) -> DataFrame:
-    """points with the rows of batch in place of those of the same id; within the batch the last by ``seq`` wins."""
-    if seq:
-        w = Window.partitionBy("id").orderBy(F.desc(seq))
-        batch = batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", seq)
+    """points with the rows of batch in place of those of the same id; within the batch the last wins,
+    by ``seq`` if given, else as the rows stand."""
+    w = Window.partitionBy("id").orderBy(F.desc("_s"))
+    batch = batch.withColumn("_s", F.col(seq) if seq else F.monotonically_increasing_id()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_s", *([seq] if seq else []))
     return points.join(batch.select("id"), "id", "left_anti").unionByName(batch)
 
 

@@ -21,6 +21,11 @@ OUT = "session_id long, ts timestamp, seq long, status string, reason string, in
 COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
 
 
+def known(session_id) -> int | None:
+    """A null id is a session of its own; pandas has it as a NaN, which equals nothing."""
+    return None if pd.isna(session_id) else int(session_id)
+
+
 def result_row(session_id: int, ts, seq: int, r: dict) -> tuple:
     p = r["point"] or {}
     return (session_id, ts, seq, r["status"], r["reason"], p.get("inliers"), p.get("lat"), p.get("lon"), p.get("yaw"), r["mode"], r["tracks"])
@@ -28,7 +33,7 @@ def result_row(session_id: int, ts, seq: int, r: dict) -> tuple:
 
 def frame_of(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=COLUMNS)
-    return out.astype({"inliers": "Int64"})
+    return out.astype({"inliers": "Int64", "session_id": "Int64"})
 
 
 def as_points(value) -> list[dict]:
@@ -41,10 +46,11 @@ def track(frames: DataFrame, config: Config = Config(), feedback: bool = False)
     ordered = frames.select("session_id", "ts", "seq", "status", "points").repartition("session_id").sortWithinPartitions("session_id", "ts", "seq")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, session = None, Session()
+        key, session = (), Session()
         for pdf in batches:
             rows = []
             for sid, ts, seq, status, points in pdf.itertuples(index=False):
+                sid = known(sid)
                 if sid != key:
                     key, session = sid, Session()
                 rows.append(result_row(sid, ts, seq, session.frame(status, as_points(points), config, feedback)))
@@ -55,7 +61,7 @@ def track(frames: DataFrame, config: Config = Config(), feedback: bool = False)
 
 class TrackProcessor(StatefulProcessor):
     """Buffers frames by event time and releases them in order as the watermark passes; late ones are
-    counted with status ``late``."""
+    counted with status ``late``. A timer reads and drops the frames of its own millisecond only."""
 
     def __init__(self, config: Config, feedback: bool):
         self.config, self.feedback = config, feedback
@@ -63,33 +69,32 @@ class TrackProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", T.StructType([T.StructField("json", T.StringType())]))
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), T.StructField("points", T.StringType())]))
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("ms", T.LongType())]), T.StructType([T.StructField("frames", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        late = []
+        late, fresh = [], {}
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 ms = int(r.ts.timestamp() * 1000)
                 if ms <= mark:
-                    late.append((key[0], r.ts, r.seq, "late", "Frame behind the watermark", None, None, None, None, "late", 0))
+                    late.append((known(key[0]), r.ts, r.seq, "late", "Frame behind the watermark", None, None, None, None, "late", 0))
                     continue
-                self.waiting.appendValue((r.ts.to_pydatetime() if hasattr(r.ts, "to_pydatetime") else r.ts, int(r.seq), r.status, json.dumps(as_points(r.points))))
+                fresh.setdefault(ms, []).append((r.ts.value, int(r.seq), r.status, as_points(r.points)))
+        for ms, frames in fresh.items():
+            if self.waiting.containsKey((ms,)):
+                frames = json.loads(self.waiting.getValue((ms,))[0]) + frames
+            else:
                 self.handle.registerTimer(ms)
+            self.waiting.updateValue((ms,), (json.dumps(frames),))
         yield frame_of(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.waiting.get())
-        ms = lambda w: int(pd.Timestamp(w[0]).timestamp() * 1000)
-        due = sorted((w for w in held if ms(w) <= now), key=lambda w: (w[0], w[1]))
-        rest = [tuple(w) for w in held if ms(w) > now]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
+        now = (expiredTimerInfo.getExpiryTimeInMs(),)
+        due = sorted(json.loads(self.waiting.getValue(now)[0]) if self.waiting.containsKey(now) else [], key=lambda w: (w[0], w[1]))
+        self.waiting.removeKey(now)
         session = Session.load(json.loads(self.state.get()[0])) if self.state.exists() else Session()
-        rows = [result_row(key[0], w[0], w[1], session.frame(w[2], json.loads(w[3]), self.config, self.feedback)) for w in due]
+        rows = [result_row(known(key[0]), pd.Timestamp(w[0]), w[1], session.frame(w[2], w[3], self.config, self.feedback)) for w in due]
         self.state.update((json.dumps(session.dump()),))
         yield frame_of(rows)
 

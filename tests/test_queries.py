@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from geomatch.functions import geo
-from geomatch.operators import grid, joins, keypoints, metrics, search
+from geomatch.operators import diffs, grid, joins, keypoints, localization, metrics, search
 from geomatch.plans import fixtures as fx
 from geomatch.plans import registry
 from geomatch.sources import io
@@ -68,10 +68,11 @@ def test_knn_filters_rank_before_and_plans_no_cross_join(spark, small):
     assert near.where("meters > 250").count() == 0
 
 
-@pytest.mark.parametrize(("lon", "lat"), [(179.9999, 10.0), (0.0, 89.95), (30.0, -60.0)])
+@pytest.mark.parametrize(("lon", "lat"), [(179.9999, 10.0), (0.0, 89.95), (10.0, 89.9999), (-180.0, -90.0), (30.0, -60.0), (5.0, 85.0)])
 def test_geo_radius_join_at_edges(spark, lon, lat):
     rng = np.random.default_rng(3)
-    pts = [(i, float(-180 + (lon + 180 + x) % 360), float(np.clip(lat + y, -90, 90))) for i, (x, y) in enumerate(rng.uniform(-0.05, 0.05, (200, 2)))]
+    wide = 180 if abs(lat) > 89 else 0.3 if abs(lat) > 80 else 0.05
+    pts = [(i, float(-180 + (lon + 180 + x * wide / 0.05) % 360), float(np.clip(lat + y, -90, 90))) for i, (x, y) in enumerate(rng.uniform(-0.05, 0.05, (200, 2)))]
     p = spark.createDataFrame(pts, "id long, lon double, lat double")
     q = spark.createDataFrame([(1, lon, lat)], "query_id long, lon double, lat double")
     got = {r.id for r in search.geo_radius_join(q, p, 3000.0).collect()}
@@ -79,11 +80,14 @@ def test_geo_radius_join_at_edges(spark, lon, lat):
     assert got == {r.id for r in d if r.m <= 3000}
 
 
-def test_ann_recall(spark, small):
-    q, p = fx.queries(spark, small).select("query_id", "vector"), fx.points(spark, small).select("id", "vector")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_ann_recall_and_share_of_pairs(spark):
+    d = "/root/testdata/sf0.1"
+    q, p = fx.queries(spark, d).select("query_id", "vector"), fx.points(spark, d).select("id", "vector")
     exact = search.knn(q, p, 5)
     assert search.recall(search.ann(q, p, 5), exact).first().recall >= 0.9
     assert search.recall(exact, exact).first().recall == 1
+    assert search.rough(q, p, 200).count() <= 0.1 * q.count() * p.count()
 
 
 def test_ann_gives_k_hits_to_isolated_queries(spark):
@@ -91,18 +95,21 @@ def test_ann_gives_k_hits_to_isolated_queries(spark):
     v = rng.normal(0, 0.05, (60, 8)) + np.eye(8)[0]
     p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
     q = spark.createDataFrame([(1, v[0].tolist()), (2, (-v[1]).tolist()), (3, np.eye(8)[3].tolist())], "query_id long, vector array<double>")
-    for bucket in (2.0, 0.05):
-        got, want = ({k: [r.id for r in rows if r.query_id == k] for k in (1, 2, 3)} for rows in (search.ann(q, p, 5, bucket=bucket).orderBy("rank").collect(), search.knn(q, p, 5).orderBy("rank").collect()))
+    for oversample in (1, 12):
+        got, want = ({k: [r.id for r in rows if r.query_id == k] for k in (1, 2, 3)} for rows in (search.ann(q, p, 5, bits=20, oversample=oversample).orderBy("rank").collect(), search.knn(q, p, 5).orderBy("rank").collect()))
         assert all(len(x) == 5 for x in got.values())
-        if bucket == 0.05:
-            assert got[2] == want[2]
+        if oversample == 12:  # all points
+            assert got == want
 
 
-def test_query_chunks_give_the_same_hits(spark, small, monkeypatch):
+def test_blocks_and_tiles_give_the_same_hits(spark, small, monkeypatch):
     q, p = fx.queries(spark, small).select("query_id", "vector"), fx.points(spark, small).select("id", "vector")
+    p = p.unionByName(p.where("id % 7 = 0").select((F.col("id") + 1000).alias("id"), "vector"))
     want = sorted(map(tuple, search.knn(q, p, 3).collect()))
-    monkeypatch.setattr(search, "QUERY_BYTES", 10_000)
-    assert len(search.query_chunks(q)) > 1 and sorted(map(tuple, search.knn(q, p, 3).collect())) == want
+    for name, value in {"QUERY_BYTES": 10_000, "TILE_BYTES": 20_000, "BLOCK_ROWS": 60}.items():
+        monkeypatch.setattr(search, name, value)
+    blocks = search.knn(q, p, 3)
+    assert "FlatMapCoGroupsInPandas" in blocks._jdf.queryExecution().toString() and sorted(map(tuple, blocks.collect())) == want
 
 
 @pytest.mark.parametrize("epsg", [3857, 4326, 32633, 32733, 32650])
@@ -222,3 +229,38 @@ def test_vector_table(spark, tmp_path):
     assert {(r.id, r.vector[0], r.src) for r in t.read().collect()} == {("a", 9.0, "r"), ("b", 2.0, "r"), ("c", 3.0, "s"), ("d", 4.0, "s")}
     with pytest.raises(ValueError):
         t.upsert(make([("e", [1.0], (1.0, 2.0), 0, 0, "r", [0.5])]))
+    # a raster is emptied, and of an id that repeats the last row stays
+    t.upsert(make([row("c", 5.0, "r"), row("d", 6.0, "q/1"), row("d", 7.0, "q/1")]).coalesce(1))
+    assert {(r.id, r.vector[0], r.src) for r in t.read().collect()} == {("a", 9.0, "r"), ("b", 2.0, "r"), ("c", 5.0, "r"), ("d", 7.0, "q/1")}
+
+
+def test_evaluation_without_queries_fails_and_small_galleries_repeat(spark):
+    hit = spark.createDataFrame([(1, 1), (2, None), (3, 2)], "query_id long, first_hit int")
+    assert tuple(metrics.cumulative_hits(hit, 5).first())[:5] == (33.333333, 66.666667, 66.666667, 66.666667, 66.666667)
+    with pytest.raises(Exception, match="no queries to evaluate"):
+        metrics.cumulative_hits(hit.limit(0), 5).collect()
+
+
+def test_elements_at_ranks(spark):
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.lognormal(0, 4, 3000), np.full(2000, 7.0), -1e12, 1e12]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    ranks = [0, 1, 2500, 3000, 4999, 5001]
+    assert metrics.elements_at(df, "x", ranks, few=50, buckets=16) == {r: float(np.sort(x)[r]) for r in ranks}
+
+
+def test_ingest_in_one_job(spark):
+    affine = {"a": 1e-5, "b": 0.0, "c": 114.5, "d": 0.0, "e": -1e-5, "f": 37.9, "epsg": 4326}
+    r = spark.createDataFrame([("s", 600, 512), ("t", 512, 512)], "src string, width int, height int").withColumns({k: F.lit(v) for k, v in affine.items()})
+    px = spark.createDataFrame([("s", 0, 0, [1.0, 2.0]), ("t", 0, 0, [0.0, 0.0])], "src string, x int, y int, data array<double>")
+    load = lambda: lambda rows: np.array([[sum(x), 1.0, 0.0] for x in rows])
+    (got,) = localization.ingest(r, px, load, 3, 512, 0.5).collect()
+    assert got.id == "s_0_0" and abs(got.location.lon - (114.5 + 256.5e-5)) < 1e-9 and np.allclose(got.vector, np.array([3, 1, 0]) / np.sqrt(10))
+    with pytest.raises(Exception, match="numbers"):
+        localization.ingest(r, px, load, 4, 512, 0.5).collect()
+
+
+def test_config_errors(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": "x"}', '{"a": 2, "b": "x"}'), (2, '{"a": 1}', '{"a": 1}')], "id int, saved string, current string")
+    rows = diffs.config_errors(diffs.config_diff(df, ["a", "b"])).collect()
+    assert len(rows) == 1 and "a" in str(rows[0]) and "b:" not in str(rows[0])
