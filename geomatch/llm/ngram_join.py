@@ -153,8 +153,15 @@ class Reader:
                 yield h[keep], (np.cumsum(use) - 1)[row[keep]], sig[use]
 
 
+def row_keys(rows: pa.RecordBatch, sig: np.ndarray) -> np.ndarray:
+    """A hash of each row's id and class."""
+    ids = rows.column("doc_id")
+    own = np.where(ids.is_null().to_numpy(zero_copy_only=False), _K, mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+    return mix(own * _K + sig)
+
+
 def classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, sig, n_shingles) of every row, sig null for empty sets; and the n-grams that many
+    """(doc_id, sig, n_shingles, key) of every row, sig null for empty sets; and the n-grams that many
     sets hold, at most HEAVY_LIMIT of them. Which those are only shapes the order, not the result."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,30 +171,30 @@ def classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             h, c = h[c >= LOCAL_COUNT], c[c >= LOCAL_COUNT]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, as_long(h), pa.array(c)], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, as_long(h), pa.array(c)], names)
 
-        names = ["doc_id", "sig", "n_shingles", "h", "sets"]
+        names = ["doc_id", "sig", "n_shingles", "key", "h", "sets"]
         for b in batches:
             for rows, data, offsets in text_slices(b):
                 h, at = shingles(data, offsets, n)
                 sig = signatures(h, at)
                 none = pa.nulls(len(sig), pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sig.view(np.int64), mask=sig == 0), pa.array(np.diff(at).astype(np.int64)), none, none], names)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sig.view(np.int64), mask=sig == 0), pa.array(np.diff(at).astype(np.int64)), as_long(row_keys(rows, sig)), none, none], names)
                 use = np.zeros(len(sig), bool)
                 use[np.unique(sig, return_index=True)[1]] = True
                 use &= ~np.isin(sig, reader.seen)
                 reader.seen = np.union1d(reader.seen, sig[use])
                 held.append(h[use[row_of(at)]])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counts()
                     held, size = [], 0
         if size:
             yield counts()
 
-    both = written(docs.mapInArrow(run, "doc_id long, sig long, n_shingles long, h long, sets long"), "classes")
+    both = written(docs.mapInArrow(run, "doc_id long, sig long, n_shingles long, key long, h long, sets long"), "classes")
     heavy = both.where("h is not null").groupBy("h").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= HEAVY_COUNT).orderBy(F.desc("sets"), "h").limit(HEAVY_LIMIT).select("h").toArrow()
-    return both.where("n_shingles is not null").select("doc_id", "sig", "n_shingles"), np.sort(heavy.column("h").to_numpy().view(np.uint64))
+    return both.where("n_shingles is not null").select("doc_id", "sig", "n_shingles", "key"), np.sort(heavy.column("h").to_numpy().view(np.uint64))
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, wanted: Bits | None = None) -> DataFrame:
@@ -506,7 +513,7 @@ def class_roots(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> Dat
 
 
 def named_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sig, n_shingles) of every row, and (sig, component_id, root) of every class."""
+    """(doc_id, sig, n_shingles, key) of every row, and (sig, component_id, root) of every class."""
     rows, heavy = classes(docs, n)
     roots = class_roots(docs.select("text"), n, percent, heavy)
     # sums by class come before the joins, so that a class of many copies is one row in them
@@ -537,8 +544,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     the others pass without a shuffle.
     """
     rows, named = named_classes(_ready(docs), n, percent)
-    keys = rows.where("sig is not null").groupBy("doc_id", "sig").agg(F.count("*").alias("copies"))
-    keys = written(keys.join(named, "sig").withColumn("key", F.xxhash64("doc_id", "sig")), "keys")
+    keys = rows.where("sig is not null").groupBy("doc_id", "sig", "key").agg(F.count("*").alias("copies"))
+    keys = written(keys.join(named, "sig"), "keys")
     # the least (doc_id, class) of each component stays, with one of its copies
     stay = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig", "key")).alias("k")).select(F.col("k.key").alias("key"))
     doubtful = keys.join(stay, "key", "left_anti").select("key").unionByName(keys.where("copies > 1").select("key"))
@@ -549,15 +556,9 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         for b in batches:
             for some, data, offsets in text_slices(b):
                 sig = signatures(*shingles(data, offsets, n))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(sig.view(np.int64), mask=sig == 0)], [*some.schema.names, "_sig"])
-
-    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            has = ~np.isnan(b.column("_sig").to_numpy(zero_copy_only=False).astype(float))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(has & sent.value.test(key))], [*b.schema.names, "_doubt"])
+                key = row_keys(some, sig)
+                yield pa.RecordBatch.from_arrays([*some.columns, as_long(key), pa.array((sig != 0) & sent.value.test(key))], [*some.schema.names, "_key", "_doubt"])
 
-    signed = source.mapInArrow(run, source.withColumn("_sig", F.lit(None).cast("long")).schema).withColumn("_key", F.xxhash64("doc_id", "_sig"))
-    signed = signed.mapInArrow(test, signed.withColumn("_doubt", F.lit(None).cast("boolean")).schema)
+    signed = source.mapInArrow(run, source.withColumns({"_key": F.lit(None).cast("long"), "_doubt": F.lit(None).cast("boolean")}).schema)
     checked = signed.where("_doubt").join(stay.withColumnRenamed("key", "_key"), "_key", "left_semi").dropDuplicates(["_key"])
-    return restored(signed.where("not _doubt").drop("_sig", "_key", "_doubt").unionByName(checked.select("row", "doc_id", "text")), docs.columns)
+    return restored(signed.where("not _doubt").drop("_key", "_doubt").unionByName(checked.select("row", "doc_id", "text")), docs.columns)
