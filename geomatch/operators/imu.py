@@ -42,13 +42,19 @@ def right_jacobian(v: np.ndarray) -> np.ndarray:
 
 
 def quaternion(m: np.ndarray) -> np.ndarray:
-    """w, x, y, z of rotation matrices, w >= 0."""
-    d = [m[..., i, i] for i in range(3)]
-    q = np.stack([1 + d[0] + d[1] + d[2], 1 + d[0] - d[1] - d[2], 1 - d[0] + d[1] - d[2], 1 - d[0] - d[1] + d[2]], -1)
-    q = np.sqrt(np.maximum(q, 0)) / 2
-    turn = np.stack([m[..., 2, 1] - m[..., 1, 2], m[..., 0, 2] - m[..., 2, 0], m[..., 1, 0] - m[..., 0, 1]], -1)
-    q[..., 1:] *= np.where(turn < 0, -1, 1)
-    return q / np.linalg.norm(q, axis=-1, keepdims=True)
+    """w, x, y, z of rotation matrices, w >= 0; from the largest of the four, as the root of a small one is mostly rounding."""
+    a, b, c = (m[..., i, i] for i in range(3))
+    squares = [1 + a + b + c, 1 + a - b - c, 1 - a + b - c, 1 - a - b + c]
+    # 4 q q', whose rows are all the quaternion but for a factor
+    table = np.empty((*m.shape[:-2], 4, 4))
+    for i, x in enumerate(squares):
+        table[..., i, i] = x
+    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        table[..., 0, i + 1] = table[..., i + 1, 0] = m[..., k, j] - m[..., j, k]
+        table[..., j + 1, k + 1] = table[..., k + 1, j + 1] = m[..., k, j] + m[..., j, k]
+    best = np.argmax(np.stack(squares, -1), -1)[..., None, None]
+    q = np.take_along_axis(table, best, -2)[..., 0, :]
+    return q / np.linalg.norm(q, axis=-1, keepdims=True) * np.where(q[..., :1] < 0, -1, 1)
 
 
 def matrix(q: np.ndarray) -> np.ndarray:

@@ -535,28 +535,58 @@ def k5_track_with_feedback(spark: SparkSession, d: str) -> DataFrame:
     return tracker.track(fx.frames(spark, d), feedback=True)
 
 
+@query("""with t as (select user_id, event_type, count(*) as n from events group by 1, 2), g as (select * from t where n >= 18),
+    f as (select user_id, max(event_id) as seq from events group by 1)
+    select f.user_id % 7 as session_id, seq, case when count(g.n) = 0 then 'error' else 'ok' end as status, cast(count(g.n) as int) as observations, cast(coalesce(sum(g.n), 0) as bigint) as inliers,
+        round(max(case when g.n is not null then 37.9 - 111.2 * 0.5 / 111000 end), 8) as lat, round(max(case when g.n is not null then 114.6 + f.user_id * 1e-4 + 143.8 * 0.5 / (111000 * cos(radians(37.9))) end), 8) as lon
+    from f left join g on g.user_id = f.user_id group by f.user_id, seq""")
+def k1_frame_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one affine map, so that every gated tile is an observation with all its pairs at a known place."""
+    m = point_pairs(spark, d).withColumns({"u": F.col("x") * 1.1 + 3, "v": F.col("y") * 0.9 - 4})
+    out = observed(spark, d, m)
+    first = F.get("points", F.lit(0))
+    return out.select("session_id", "seq", "status", F.size("points").alias("observations"), F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p["inliers"]).alias("inliers"), F.round(first["lat"], 8).alias("lat"), F.round(first["lon"], 8).alias("lon"))
+
+
 @query()
 def k1_frame_observations(spark: SparkSession, d: str) -> DataFrame:
-    m = point_pairs(spark, d)
+    return observed(spark, d, point_pairs(spark, d)).select("session_id", "seq", "status", F.size("points").alias("observations"))
+
+
+def observed(spark: SparkSession, d: str, m: DataFrame) -> DataFrame:
     models = metrics.fit_homography(m)
     frames = fx.table(spark, d, "events").groupBy(F.col("user_id").alias("frame_id")).agg(F.max("ts").cast("timestamp").alias("ts"), F.max("event_id").alias("seq")).select((F.col("frame_id") % 7).alias("session_id"), "ts", "seq", "frame_id", F.lit(256.0).alias("width"), F.lit(256.0).alias("height"))
     rank = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("tile"))
     hits = m.select("frame_id", "tile").distinct().select("frame_id", "tile", rank.alias("rank"), (114.6 + F.col("frame_id") * 1e-4).alias("lon"), F.lit(37.9).alias("lat"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(None).cast("double").alias("res_x"), F.lit(None).cast("double").alias("res_y"))
-    out = localization.frame_observations(frames, hits, m, models, 18)
-    return out.select("session_id", "seq", "status", F.size("points").alias("observations"))
+    return localization.frame_observations(frames, hits, m, models, 18)
 
 
 def folds(spark: SparkSession, d: str, **bias) -> DataFrame:
     return inertial.preintegrate(keypoints.with_dt(in_windows(spark, d)), **bias)
 
 
-@query()
+_QUATERNION = "q0 * c - (q1 * x + q2 * y + q3 * z) * h", "q0 * x * h + q1 * c + (q2 * z - q3 * y) * h", "q0 * y * h + q2 * c + (q3 * x - q1 * z) * h", "q0 * z * h + q3 * c + (q1 * y - q2 * x) * h"
+_TURNED = "ax + 2 * (q0 * (q2 * az - q3 * ay) + q2 * (q1 * ay - q2 * ax) - q3 * (q3 * ax - q1 * az))", "ay + 2 * (q0 * (q3 * ax - q1 * az) + q3 * (q2 * az - q3 * ay) - q1 * (q1 * ay - q2 * ax))", "az + 2 * (q0 * (q1 * ay - q2 * ax) + q1 * (q3 * ax - q1 * az) - q2 * (q2 * az - q3 * ay))"
+FOLD_SQL = f"""with recursive {WINDOWS_SQL}, {IN_WINDOW},
+    d as (select *, (ts_ns - lag(ts_ns) over w) * cast(1e-9 as double) as t, row_number() over w - 1 as k from in_window window w as (partition by stream_id, window_id order by ts_ns)),
+    s as (select stream_id, window_id, k, t, a_x as ax, a_y as ay, a_z as az, w_x as x, w_y as y, w_z as z, cos(t * sqrt(w_x * w_x + w_y * w_y + w_z * w_z) / 2) as c,
+        case when w_x * w_x + w_y * w_y + w_z * w_z > 0 then sin(t * sqrt(w_x * w_x + w_y * w_y + w_z * w_z) / 2) / sqrt(w_x * w_x + w_y * w_y + w_z * w_z) else t / 2 end as h from d where k > 0),
+    f as (
+        select distinct stream_id, window_id, cast(0 as bigint) as k, 0::double as dt, {", ".join(f"0::double as {v}{i}" for v in "pv" for i in range(3))}, 1::double as q0, 0::double as q1, 0::double as q2, 0::double as q3 from s
+        union all
+        select f.stream_id, f.window_id, s.k, dt + t, {", ".join(f"p{i} + v{i} * t + ({w}) * t * t / 2" for i, w in enumerate(_TURNED))}, {", ".join(f"v{i} + ({w}) * t" for i, w in enumerate(_TURNED))}, {", ".join(_QUATERNION)}
+        from f join s on s.stream_id = f.stream_id and s.window_id = f.window_id and s.k = f.k + 1),
+    o as (select * from f qualify k = max(k) over (partition by stream_id, window_id))"""
+
+
+@query(FOLD_SQL + " select stream_id, window_id, round(dt, 9) as dt, k as samples, " + ", ".join(f"round({c}, 9) + 0::double as {c}" for c in ("p0", "p1", "p2", "v0", "v1", "v2", "q0", "q1", "q2", "q3")) + " from o")
 def k6_preintegrate(spark: SparkSession, d: str) -> DataFrame:
     f = folds(spark, d)
-    return f.select("stream_id", "window_id", F.round("dt", 9).alias("dt"), "samples", *[F.round(F.col(v)[i], 9).alias(f"{v}{i}") for v in ("p", "v") for i in range(3)], *[F.round(F.col("q")[i], 9).alias(f"q{i}") for i in range(4)])
+    return f.select("stream_id", "window_id", F.round("dt", 9).alias("dt"), "samples", *[(F.round(F.col(v)[i], 9) + 0.0).alias(f"{v}{i}") for v, n in (("p", 3), ("v", 3), ("q", 4)) for i in range(n)])
 
 
-@query()
+@query(FOLD_SQL + """ select stream_id, window_id, round(sqrt(power(dt + p0 - 0.02, 2) + power(p1, 2) + power(p2 - 9.81 * dt * dt / 2, 2)), 9) as p_error,
+    round(sqrt(power(v0, 2) + power(v1, 2) + power(v2 - 9.81 * dt, 2)), 9) as v_error, round(degrees(2 * atan2(sqrt(q1 * q1 + q2 * q2 + q3 * q3), abs(q0))), 9) as r_error from o""")
 def k7_predict_pose(spark: SparkSession, d: str) -> DataFrame:
     v = lambda *x: F.array(*[F.lit(float(i)) for i in x])
     f = folds(spark, d).withColumns({"p0": v(0, 0, 0), "v0": v(1, 0, 0), "q0": v(1, 0, 0, 0), "p1": v(0.02, 0, 0), "v1": v(1, 0, 0), "q1": v(1, 0, 0, 0)})

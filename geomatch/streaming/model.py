@@ -13,6 +13,11 @@ from dataclasses import asdict, dataclass, field
 
 INITIALIZING, TRACKING, LOST, DEAD = "Initializing", "Tracking", "Lost", "Dead"
 
+#: The reasons that users read.
+NO_TRACK = "No active trajectories available in estimator"
+NONE_TRACKING = "No trajectories in Tracking state (Initializing: {initializing}, Lost: {lost})"
+SHORT_SPAN = "Insufficient spatial span: max current span is {longest:.2f}m, required {required:.2f}m"
+
 
 @dataclass(frozen=True)
 class Config:
@@ -88,14 +93,14 @@ def decide(tracks: list[Track], config: Config) -> dict:
     """status, reason and the winning observation; of equal tracks the latest opened wins."""
     uncertain = lambda reason: {"status": "uncertain", "reason": reason, "point": None}
     if not tracks:
-        return uncertain("No active trajectories available in estimator")
+        return uncertain(NO_TRACK)
     live = [t for t in tracks if t.state == TRACKING]
     if not live:
         count = lambda s: sum(t.state == s for t in tracks)
-        return uncertain(f"No trajectories in Tracking state (Initializing: {count(INITIALIZING)}, Lost: {count(LOST)})")
+        return uncertain(NONE_TRACKING.format(initializing=count(INITIALIZING), lost=count(LOST)))
     far = [(t.inliers, t.span, k) for k, t in enumerate(live) if t.span >= config.min_span]
     if not far:
-        return uncertain(f"Insufficient spatial span: max current span is {max(t.span for t in live):.2f}m, required {config.min_span:.2f}m")
+        return uncertain(SHORT_SPAN.format(longest=max(t.span for t in live), required=config.min_span))
     return {"status": "location", "reason": None, "point": live[max(far)[2]].last}
 
 

@@ -72,3 +72,20 @@ def test_small_angles_and_quaternions():
     v = np.random.default_rng(1).normal(size=(50, 3))
     assert np.allclose(imu.matrix(imu.quaternion(imu.rotation(v))), imu.rotation(v))
     assert np.allclose(imu.right_jacobian(np.full((1, 3), 1e-6))[0], np.eye(3))
+
+
+def test_bias_correction_is_a_new_integration(spark):
+    """Against a plain loop over rotation matrices with the biases taken off first."""
+    acc, gyro = samples(40)
+    rows = [(1, 1, int(k * 5e6), 0.005, *map(float, gyro[k]), *map(float, acc[k])) for k in range(40)]
+    df = spark.createDataFrame(rows, "stream_id long, window_id long, ts_ns long, dt double, w_x double, w_y double, w_z double, a_x double, a_y double, a_z double")
+    d = 1e-3
+    got = imu.bias_correct(imu.preintegrate(df), F.array(*[F.lit(d)] * 3), F.array(*[F.lit(d)] * 3)).first()
+    p, v, r = np.zeros(3), np.zeros(3), np.eye(3)
+    for a, w in zip(acc - d, gyro - d, strict=True):
+        p, v = p + v * 0.005 + r @ a * 0.005**2 / 2, v + r @ a * 0.005
+        angle = np.linalg.norm(w) * 0.005
+        n = w / np.linalg.norm(w)
+        k = np.array([[0, -n[2], n[1]], [n[2], 0, -n[0]], [-n[1], n[0], 0]])
+        r = r @ (np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k)
+    assert np.allclose(got.p_corrected, p, atol=1e-7) and np.allclose(got.v_corrected, v, atol=1e-6)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from geomatch.plans import fixtures as fx
+from geomatch.sources import io
 from geomatch.streaming import model as m
 from geomatch.streaming import tracker
 
@@ -106,3 +108,19 @@ def test_stream_equals_batch(spark, small, tmp_path, parts):
     got = sorted((r for r in spark.table("tracked").collect() if r.ts <= last), key=key)
     want = sorted(tracker.track(frames).collect(), key=key)
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_null_session_is_one_session(spark, small):
+    frames = fx.frames(spark, small).where("session_id = 3")
+    named, nameless = (sorted((r.seq, r.status, r.tracks) for r in tracker.track(f).collect()) for f in (frames, frames.withColumn("session_id", F.lit(None).cast("long"))))
+    assert named == nameless and any(s == "location" for _, s, _ in named)
+
+
+def test_latest_frame_of_a_stream(spark, small, tmp_path):
+    e = fx.table(spark, small, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    e.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = io.latest_frame(stream, "user_id", "ts").writeStream.format("memory").queryName("latest").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(spark.table("latest")) == rows(io.latest_frame(e, "user_id", "ts"))
