@@ -1,10 +1,11 @@
 """Exact top-k inner products by vector-approximation files.
 
 Vectors become integers and lie in blocks. A block keeps, beside its exact vectors, a file of
-cells: each component in ``2**bits`` equal steps of its dimension's range. A query scans the
-cells for a lower and an upper bound of every score, drops what cannot reach its k-th best lower
-bound, and reads exact vectors from the highest upper bound on until the k-th score is certain.
-The k best of every block then meet in one ranking by query.
+cells: each component in ``2**bits`` equal steps of its dimension's range. A query scans the cells
+by one product, which is off by the same at most for all vectors: half a step times each of its
+components. That bounds every score from both sides. The query drops what cannot reach its k-th
+best lower bound, and reads exact vectors from the highest upper bound on until the k-th score is
+certain. The k best of every block then meet in one ranking by query.
 
 A stated query set meets all rows in blocks: the rows of a block are sent once for each block of
 queries, so that a task holds one block of each. Only k rows a query and block leave it.
@@ -12,7 +13,8 @@ queries, so that a task holds one block of each. Only k rows a query and block l
 Defined cases: a vector that is null or empty, or holds a null or non-finite component, takes no
 part; a query meets vectors of its own length only; ties go to the smaller id; a repeated row
 counts as often as it occurs; the query's own id is no candidate; other columns are ignored.
-Components are taken as 64-bit integers; those beyond 2**62 after scaling are not finite here.
+Vectors and queries with components so large that a score may not fit a double take part too, by
+integers of any size; a score outside the range of a long is given as the end of that range.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ QUERIES_PER_BLOCK = 2048
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component, or null if the vector takes no part."""
-    x = F.transform(vector, lambda v: F.floor(v.cast("double") * F.lit(float(scale))))
-    sound = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double") * float(scale)) < F.lit(2.0**62)))
+    """floor(scale * x) of every component as a double, or null if the vector takes no part."""
+    y = lambda v: v.cast("double") * F.lit(float(scale))
+    # beyond 2**52 a double has no fraction
+    x = F.transform(vector, lambda v: F.when(F.abs(y(v)) < F.lit(2.0**52), F.floor(F.when(F.abs(y(v)) < F.lit(2.0**52), y(v))).cast("double")).otherwise(y(v)))
+    sound = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(y(v)) < F.lit(float("inf"))))
     return F.when((F.size(vector) > 0) & F.coalesce(sound, F.lit(False)), x)
 
 
@@ -39,43 +43,70 @@ class CellFile:
     """The cells of one block and the bounds they give."""
 
     def __init__(self, vectors: np.ndarray, bits: int):
-        lo, hi = vectors.min(0), vectors.max(0)
-        self.step = np.maximum(1, -(-(hi - lo + 1) // (1 << bits)))
-        self.low = lo
-        self.cells = ((vectors - lo) // self.step).astype(np.uint8 if bits <= 8 else np.uint16)
+        low, high = vectors.min(0), vectors.max(0)
+        self.step = np.maximum(1.0, np.ceil((high - low + 1) / (1 << bits)))
+        self.middle = low + (self.step - 1) / 2
+        self.cells = np.floor((vectors - low) / self.step).astype(np.uint8 if bits <= 8 else np.uint16)
+        self.span = self.cells.max(0).astype(float)
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of queries @ vectors.T; exact while scores stay under 2**53."""
-        floor = self.low + self.cells.astype(np.float64) * self.step
-        ceil = floor + (self.step - 1)
-        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        return up @ floor.T + down @ ceil.T, up @ ceil.T + down @ floor.T
+    def scan(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the middles of cells, and for each query how far they may be off."""
+        scaled = queries * self.step
+        rough = (scaled.astype(np.float32) @ self.cells.T.astype(np.float32)).astype(np.float64) + (queries @ self.middle)[:, None]
+        rounding = (np.abs(scaled) @ self.span + np.abs(queries) @ np.abs(self.middle)) * (queries.shape[1] + 4) * 2.0**-23
+        return rough, np.abs(queries) @ ((self.step - 1) / 2) + rounding
 
 
 def best_of_block(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, ids, scores) of the k best of a block; exact."""
-    file = CellFile(vectors, bits)
-    slack = 0.0 if float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] < 2**52 else np.inf
+    """(query's place, ids, scores) of the k best of a block; exact.
+
+    Components are integers held as doubles. Scores of vectors with large ones, or of queries with
+    large ones, are products of Python's integers.
+    """
+    most = np.sqrt(2.0**52 / vectors.shape[1])
+    fit, plain = np.abs(vectors).max(1) <= most, np.abs(queries).max(1) <= most
+    order = np.lexsort((ids, ~fit))
+    vectors, ids, n_fit = vectors[order], ids[order], int(fit.sum())
+    small, large = vectors[:n_fit], vectors[n_fit:]
+    file = CellFile(small, bits) if n_fit and plain.any() else None
+    end = 2**63
+
+    def exact(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        q = [int(x) for x in q]
+        return np.array([max(-end, min(end - 1, sum(int(x) * y for x, y in zip(r, q, strict=True)))) for r in rows.tolist()], np.int64)
+
     for at in range(0, len(queries), 128):
-        lower, upper = file.bounds(queries[at : at + 128])
-        for i in range(len(lower)):
-            other = ids != own[at + i]
-            n = int(other.sum())
-            if not n:
-                continue
-            low, up = np.where(other, lower[i], -np.inf), np.where(other, upper[i], -np.inf)
-            sure = np.partition(low, len(low) - k)[len(low) - k] if n > k else -np.inf
-            near = np.flatnonzero(other & (up >= sure)) if not slack else np.flatnonzero(other)
-            near = near[np.argsort(-up[near], kind="stable")]
+        some = np.flatnonzero(plain[at : at + 128]) + at
+        rough = dict(zip(some.tolist(), zip(*file.scan(queries[some]), strict=True), strict=True)) if file is not None and len(some) else {}
+        for i in range(at, min(at + 128, len(queries))):
+            q = queries[i]
             got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for lo in range(0, len(near), 64):
-                if not slack and len(got) >= k and up[near[lo]] < got[k - 1]:
-                    break
-                part = near[lo : lo + 64]
-                got_ids, got = np.r_[got_ids, ids[part]], np.r_[got, vectors[part] @ queries[at + i]]
-                order = np.lexsort((got_ids, -got))[:k]
-                got_ids, got = got_ids[order], got[order]
-            yield at + i, got_ids, got
+
+            def take(where: np.ndarray, scores: np.ndarray) -> None:
+                nonlocal got_ids, got
+                got_ids, got = np.r_[got_ids, ids[where]], np.r_[got, scores]
+                first = np.lexsort((got_ids, -got))[:k] if len(got) and got.min() > -end else np.array(sorted(range(len(got)), key=lambda j: (-int(got[j]), got_ids[j]))[:k], int)
+                got_ids, got = got_ids[first], got[first]
+
+            whole = np.flatnonzero(ids != own[i]) if i not in rough else np.flatnonzero(ids[n_fit:] != own[i]) + n_fit
+            if len(whole):
+                take(whole, exact(vectors[whole], q))
+            if i in rough:
+                score, off = rough[i]
+                other = np.flatnonzero(ids[:n_fit] != own[i])
+                near = score[other]
+                if len(other) > k:
+                    keep = near + off >= np.partition(near, len(near) - k)[len(near) - k] - off
+                    other, near = other[keep], near[keep]
+                turn = np.argsort(-near, kind="stable")
+                other, near = other[turn], near[turn]
+                for lo in range(0, len(other), 64):
+                    if len(got) >= k and near[lo] + off < got[-1]:
+                        break
+                    part = other[lo : lo + 64]
+                    take(part, (small[part].astype(np.int64) @ q.astype(np.int64)))
+            if len(got):
+                yield i, got_ids, got
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, scale: int = 256) -> DataFrame:
@@ -102,7 +133,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, scale
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "q_row": [], "vec_id": [], "score": []}).astype("int64")
-        qs, vs = np.stack(left["v"].to_numpy()).astype(np.int64), np.stack(right["v"].to_numpy()).astype(np.int64)
+        qs, vs = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         own, ids, at = left["vec_id"].to_numpy(np.int64), right["vec_id"].to_numpy(np.int64), left["_at"].to_numpy(np.int64)
         found = list(best_of_block(qs, own, vs, ids, k, bits))
         n = [len(i) for _, i, _ in found]

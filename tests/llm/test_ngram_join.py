@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from geomatch.llm import components as cc
@@ -89,6 +90,14 @@ def test_join_cases(spark):
     assert sorted(r.doc_id for r in ngram_join.one_of_each(twice).collect()) == [1, 2, 2]
 
 
+def test_very_long_texts_link(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(5, " ".join(long)), (6, " ".join(long[:190_000])), (7, " ".join(long[:140_000])), (8, "short one")]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 6: 5, 7: 7, 8: 8}  # 190 of 200 link; 140 of 190 do not
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -109,16 +118,29 @@ def test_pipeline(spark, small):
     assert packed.select("doc_id").distinct().count() == kept.count()
 
 
-def test_pipeline_stages_on_odd_rows(spark, small):
-    odd = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", "en", "s", 0, 1), (2, "mail a@b.cd now", None, "s", 15, 1), (2, "mail a@b.cd now", None, "s", 15, 1), (3, "w " * 60_000, "en", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long, score int")
-    docs = odd.drop("score")
-    n = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, small).collect()
-        assert len(out) == (n - 1 if name == "near duplicates" else n), name
-    assert corpus_pipeline.pack_sequences(spark, docs, small).count() >= n
-    for name, stage in corpus_pipeline.STAGES:
-        if name != "near duplicates":
-            assert stage(spark, docs.limit(0), small).count() == 0
+CLASHES = "score _sig _id _key _doubt key sig row base spans masked hits items n_words ids offset length sequence_id region root positive lang_pred toxic".split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_on_odd_rows(spark, small, name):
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "mail a@b.cd now", None, "s", 15), (2, "mail a@b.cd now", None, "s", 15), (3, "w " * 60_000, "en", None, None), (4, "é and \x00 and so on", "", "", 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) if k % 2 else F.lit(k) for k, c in enumerate(CLASHES)})
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, small)
+    if name == "packing":
+        assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3, 4}
+    else:
+        assert out.columns == docs.columns
+        changed = {"text", "n_chars"} if name == "personal data" else set()
+        same = [c for c in docs.columns if c not in changed]
+        want = docs.select(*same).distinct() if name == "near duplicates" else docs.select(*same)
+        assert sorted(map(str, out.select(*same).collect())) == sorted(map(str, want.collect()))
+    assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_masked_text(spark, small):
+    docs = spark.createDataFrame([(2, "mail a@b.cd now", 15), (3, None, None)], "doc_id long, text string, n_chars long")
     masked = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.mask_personal_data(spark, docs, small).collect()}
+    assert masked[3] == (None, None)
     assert masked[2] == ("mail <email> now", 16)

@@ -95,15 +95,15 @@ def brute_hits(texts, items, window=10):
     for i, t in items:
         ws = split(t)
         m = min(window, len(ws))
-        for k in range(len(ws) - m + 1) if m and i is not None else ():
-            wins.setdefault(tuple(ws[k : k + m]), set()).add(str(i))
+        for k in range(len(ws) - m + 1) if m else ():
+            wins.setdefault(tuple(ws[k : k + m]), set()).update([str(i)] if i is not None else [])
     out = []
     for t in texts:
         ws = split(t)
         hit, got = set(), set()
         for m in {len(w) for w in wins}:
             for k in range(len(ws) - m + 1):
-                if own := wins.get(tuple(ws[k : k + m])):
+                if (own := wins.get(tuple(ws[k : k + m]))) is not None:
                     got |= own
                     hit |= set(range(k, k + m))
         out.append((len(ws), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit)))
@@ -112,14 +112,16 @@ def brute_hits(texts, items, window=10):
 
 @pytest.mark.parametrize("part_words", [decontamination.PART_WORDS, 5])
 def test_decontamination_equals_brute_force(spark, monkeypatch, part_words):
-    monkeypatch.setattr(decontamination.pattern_parts, "__defaults__", (part_words,))
+    if part_words == 5:
+        monkeypatch.setattr(decontamination, "PIECE", 3)
     rng = random.Random(1)
     words = ["Aa", "b", "ç1", "dd", "e5"]
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, say(rng.choice([1, 4, 6, 9, 10, 11, 30]) + (3 if i else 0))) for i in range(12)] + [(20, None), (21, " .. "), (None, "aa b"), (3, say(14))]
+    items = [(i, say(rng.choice([1, 4, 6, 9, 10, 11, 30]) + (3 if i else 0))) for i in range(12)] + [(20, None), (21, " .. "), (None, "aa b e5 e5 b b b b"), (3, say(14))]
     texts = [None, "", "...", say(3), "\x00aa\x00b"] + [say(rng.randint(1, 700)) for _ in range(30)] + [items[7][1] * 2, "x" + items[8][1].upper() + "-y"]
     texts += texts[5:8]
-    got = q.decontamination_digest(decontamination.find(docs_frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))).orderBy("doc_id").collect()
+    texts += [say(30_000), "b " + items[-2][1]]
+    got = q.decontamination_digest(decontamination.find(docs_frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), part_words=part_words)).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in got] == brute_hits(texts, items)
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in q.decontamination_digest(decontamination.find(docs_frame(spark, texts), none)).collect())
@@ -154,14 +156,31 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, per_block):
     monkeypatch.setattr(vector_search, "QUERIES_PER_BLOCK", 3)
     rng = np.random.default_rng(0)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(120)]
+    rows += [(300 + i, [1e300, -3e18, 2.5, 0.0, 1.0, 7e4][i:] + [1.0] * i) for i in range(6)]
     rows += [(0, rows[3][1]), (7, rows[7][1]), (200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (250, [1.0, 2.0]), (251, [0.5, 0.5])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = sorted(map(tuple, vector_search.search(df, df.where("vec_id % 50 = 0"), 5).collect()))
     use = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for i, v in use:
         if i % 50 == 0:
             s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in use if j != i and len(w) == len(v))[:5]
+            s = sorted((-min(max(-x, -(2**63)), 2**63 - 1), j) for x, j in s)
             want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
     assert got == sorted(want)
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_cells_bound_every_score():
+    rng = np.random.default_rng(1)
+    v, w = np.floor(rng.normal(0, 60, (500, 64))), np.floor(rng.normal(0, 60, (20, 64)))
+    for bits in (2, 6, 8):
+        score, off = vector_search.CellFile(v, bits).scan(w)
+        assert (np.abs(score - w @ v.T) <= off[:, None]).all() and off.max() < 64 * 60 * 300 / (1 << bits) + 500
+
+
+def test_very_long_conversation(spark):
+    text = "long <|im_end|> words " * 200_000
+    c = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    (r,) = q.chat_digest(chat.format_chat(c)).collect()
+    assert r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
