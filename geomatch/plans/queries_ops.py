@@ -180,6 +180,15 @@ def j3_prior_or_global(spark: SparkSession, d: str) -> DataFrame:
     return search.candidates(q.select("query_id", "vector"), q.where("query_id % 20 = 0").select("query_id", "lon", "lat"), fx.points(spark, d).select("id", "vector", "lon", "lat"), 3, 250.0)
 
 
+@query(f"with {KNN_SQL} select count(distinct query_id) as queries, count(*) as hits, true as recall_is_over_90_percent from top")
+def t3_ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate hits against the exact ones of all queries."""
+    q, p = fx.queries(spark, d).select("query_id", "vector"), fx.points(spark, d).select("id", "vector")
+    found, exact = search.ann(q, p, 5), search.knn(q, p, 5)
+    good = search.recall(found, exact).select((F.col("recall") >= 0.9).alias("recall_is_over_90_percent"))
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("hits")).crossJoin(good)
+
+
 @query()
 def t3_ann(spark: SparkSession, d: str) -> DataFrame:
     return search.ann(fx.queries(spark, d).select("query_id", "vector"), fx.points(spark, d).select("id", "vector"), 5)

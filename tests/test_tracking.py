@@ -124,3 +124,49 @@ def test_latest_frame_of_a_stream(spark, small, tmp_path):
     q.awaitTermination(200)
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(spark.table("latest")) == rows(io.latest_frame(e, "user_id", "ts"))
+
+
+def plain_model(frames, feedback):
+    """One session's results by the rules as written down, for frames of one observation at most; dictionaries and loops only."""
+    tracks, prior, out = [], False, []
+    for f in frames:
+        mode = "crop" if prior else "retrieve"
+        if f.status == "error":
+            prior = False
+            out.append((f.seq, "error", None, mode, len(tracks)))
+            continue
+        p = f.points[0]
+        xyz = (p.ecef_x, p.ecef_y, p.ecef_z)
+        far = lambda t: sum((a - b) ** 2 for a, b in zip(xyz, t["at"], strict=True)) ** 0.5
+        mine = next((t for t in tracks if far(t) + 10 / (p.inliers + 1) < 15), None)
+        for t in tracks:
+            if t is mine:
+                d = far(t)
+                t.update(fail=0, hits=t["hits"] + 1, health=min(20, t["health"] + 1), lat=p.lat)
+                if d >= 0.5:
+                    t.update(at=xyz, inliers=t["inliers"] + p.inliers, span=t["span"] + d)
+                if t["state"] == "L" or t["state"] == "I" and t["hits"] >= 3:
+                    t["state"] = "T"
+            else:
+                t.update(fail=t["fail"] + 1, hits=0, health=t["health"] - 3)
+                t["state"] = {"T": "L", "I": "D"}.get(t["state"], "D" if t["fail"] > 5 or t["health"] <= 0 else "L")
+        if mine is None:
+            tracks.append({"at": xyz, "fail": 0, "hits": 1, "health": 15, "lat": p.lat, "inliers": p.inliers, "span": 0.0, "state": "I"})
+        tracks = [t for t in tracks if t["state"] != "D"]
+        best = None
+        for t in tracks:
+            if t["state"] == "T" and t["span"] >= 2 and (best is None or (t["inliers"], t["span"]) >= (best["inliers"], best["span"])):
+                best = t
+        prior = prior or (feedback and best is not None)
+        out.append((f.seq, "location" if best else "uncertain", best and best["lat"], mode, len(tracks)))
+    return out
+
+
+@pytest.mark.parametrize("feedback", [False, True])
+def test_tracks_equal_a_plain_model(spark, small, feedback):
+    sessions = {}
+    for f in fx.frames(spark, small).orderBy("session_id", "ts", "seq").collect():
+        sessions.setdefault(f.session_id, []).append(f)
+    want = sorted((s, *r) for s, fs in sessions.items() for r in plain_model(fs, feedback))
+    got = sorted((r.session_id, r.seq, r.status, r.lat, r.mode, r.tracks) for r in tracker.track(fx.frames(spark, small), feedback=feedback).collect())
+    assert got == want and {r[2] for r in got} == {"location", "uncertain", "error"}
