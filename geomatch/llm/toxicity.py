@@ -4,7 +4,7 @@ A logistic classifier over words and word beginnings is trained in numpy from co
 documents and unlabelled ones. The risk of the unlabelled documents as negatives is corrected by
 the class prior, and where that correction would make it negative, the step undoes the overfit
 instead. Training reads a bounded sample (``positives`` and ``unlabelled`` rows, lowest hash
-first); the prior is the toxic share of all labelled rows of the learning part. Scoring looks at
+first, of which those that share their least word shingle count once); the prior is the toxic share of all labelled rows of the learning part. Scoring looks at
 every word of every text.
 
 Defined cases: a null or empty text has the score of no evidence; without a confirmed toxic row
@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ngram_join import shingles
 from .textbytes import Spans, bounded_batches, byte_table, row_of, text_slices, word_spans
 
 WORDS = byte_table(lambda b: b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122)
@@ -137,6 +138,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
     # at most positives + unlabelled rows of ids are broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(yes.unionByName(other)), "doc_id")
 
+    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, data, offsets in text_slices(b):
+                h, at = shingles(data, offsets, 5)
+                least = np.r_[h, np.uint64(0)][at[:-1]]
+                yield pa.RecordBatch.from_arrays([rows.column("text"), rows.column("positive"), pa.array(np.where(np.diff(at) > 0, least, np.uint64(0)).view(np.int64))], ["text", "positive", "same"])
+
+    # a text with many copies, near ones too, teaches few times: else all of its words would look telling
+    picked = picked.select("text", "positive").mapInArrow(sketched, "text string, positive boolean, same long")
+    picked = picked.groupBy("positive", "same").agg(F.min("text").alias("text")).orderBy("same", "positive").select("text", "positive")
+
     def occurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, data, offsets in text_slices(b):
@@ -148,9 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(positive)], ["h", "positive"])
 
     sums = picked.mapInArrow(occurring, "h long, positive boolean").groupBy("h").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
-    found = {r.positive: r["count"] for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(yes.unionByName(other)), "doc_id").groupBy("positive").count().collect()}
+    found = {r.positive: r["count"] for r in picked.groupBy("positive").count().collect()}
     lift = F.log((F.col("p") + 0.5) / max(1, found.get(True, 0))) - F.log((F.col("u") + 0.5) / max(1, found.get(False, 0)))
-    chosen = sums.where("p >= 5").withColumn("z", lift / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))).where("z > 5").orderBy(F.desc("z"), "h").limit(n_features).select("h").toArrow()
+    chosen = sums.where("p >= 5").withColumn("z", lift / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))).where("z > 4").orderBy(F.desc("z"), "h").limit(n_features).select("h").toArrow()
     keys = np.sort(chosen.column("h").to_numpy().view(np.uint64))
     blank = Model(keys, np.zeros(2 * len(keys)), 0.0)
     sent = spark.sparkContext.broadcast(blank)
