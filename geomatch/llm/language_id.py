@@ -3,8 +3,8 @@
 Every learned language has a codeword of bits. A logistic classifier for each bit, over hashed
 byte n-grams of the lowered text, is trained in numpy on a bounded sample (``per_language`` rows
 of each language, lowest hash first). A text's bit margins are decoded to the codeword of least
-exponential loss, each bit weighted by how well its classifier did in training; two codewords of
-nearly the same loss make the answer ambiguous. Every text is read whole.
+exponential loss, each bit weighted by how well its classifier did in training; two codewords whose
+losses differ by less than a factor of three make the answer ambiguous. Every text is read whole.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0 and not ambiguous;
 so is every text if no language is known; with one known language every text with a letter has
@@ -92,7 +92,7 @@ class Model:
     trust: np.ndarray
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the language, its share, margin to the next) of each row."""
+        """(index of the language, its share, how far the next one's loss lies above its own, from 0 to 1) of each row."""
         if len(self.names) == 1:
             return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x))
         z = np.clip(x @ self.weights + self.bias, -6, 6)
@@ -102,7 +102,8 @@ class Model:
         share /= share.sum(1, keepdims=True)
         order = np.argsort(-share, axis=1, kind="stable")
         at = np.arange(len(x))
-        return order[:, 0], share[at, order[:, 0]], share[at, order[:, 0]] - share[at, order[:, 1]]
+        least, next_ = loss[at, order[:, 0]], loss[at, order[:, 1]]
+        return order[:, 0], share[at, order[:, 0]], (next_ - least) / np.maximum(next_ + least, 1e-12)
 
 
 def fit_bits(x: np.ndarray, target: np.ndarray, steps: int = 150, rate: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +161,11 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     return Model(names, codes, w, b, trust / trust.sum() * codes.shape[1])
 
 
-def predict(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.2) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for each row of docs (doc_id, text)."""
+def predict(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.5) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous for each row of docs (doc_id, text).
+
+    With losses a and b of the best two codewords, (b - a) / (b + a) under ``ambiguous_below`` is ambiguous.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)

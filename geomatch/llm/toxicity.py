@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
 
     # a text with many copies, near ones too, teaches few times: else all of its words would look telling
     picked = picked.select("text", "positive").mapInArrow(sketched, "text string, positive boolean, same long")
-    picked = picked.groupBy("positive", "same").agg(F.min("text").alias("text")).orderBy("same", "positive").select("text", "positive")
+    few = picked.groupBy("positive", "same").agg(F.min("text").alias("text")).orderBy("same", "positive").select("text", "positive")
 
     def occurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,11 +159,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
                 positive = np.asarray(rows.column("positive").to_numpy(zero_copy_only=False), bool)[row[new]]
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(positive)], ["h", "positive"])
 
-    sums = picked.mapInArrow(occurring, "h long, positive boolean").groupBy("h").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
-    found = {r.positive: r["count"] for r in picked.groupBy("positive").count().collect()}
-    lift = F.log((F.col("p") + 0.5) / max(1, found.get(True, 0))) - F.log((F.col("u") + 0.5) / max(1, found.get(False, 0)))
-    chosen = sums.where("p >= 5").withColumn("z", lift / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))).where("z > 4").orderBy(F.desc("z"), "h").limit(n_features).select("h").toArrow()
-    keys = np.sort(chosen.column("h").to_numpy().view(np.uint64))
+    def telling(rows: DataFrame, least: float) -> np.ndarray:
+        """Hashes of the features that toxic rows have far more often than others, at most n_features."""
+        n = {r.positive: r["count"] for r in rows.groupBy("positive").count().collect()}
+        sums = rows.mapInArrow(occurring, "h long, positive boolean").groupBy("h").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
+        lift = F.log((F.col("p") + 0.5) / max(1, n.get(True, 0))) - F.log((F.col("u") + 0.5) / max(1, n.get(False, 0)))
+        chosen = sums.where("p >= 5").withColumn("z", lift / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))).where(F.col("z") > least).orderBy(F.desc("z"), "h").limit(n_features).select("h").toArrow()
+        return np.sort(chosen.column("h").to_numpy().view(np.uint64))
+
+    keys = telling(few, 4.0)
+    if len(keys):
+        picked = few
+    else:  # where there is little but copies, they count
+        picked = picked.orderBy("same", "positive", "text").select("text", "positive")
+        keys = telling(picked, 3.0)
     blank = Model(keys, np.zeros(2 * len(keys)), 0.0)
     sent = spark.sparkContext.broadcast(blank)
 

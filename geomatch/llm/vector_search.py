@@ -14,7 +14,7 @@ Defined cases: a vector that is null or empty, or holds a null or non-finite com
 part; a query meets vectors of its own length only; ties go to the smaller id; a repeated row
 counts as often as it occurs; the query's own id is no candidate; other columns are ignored.
 Vectors and queries with components so large that a score may not fit a double take part too, by
-integers of any size; a score outside the range of a long is given as the end of that range.
+integers of any size; a score outside the range of a long counts as the end of that range.
 """
 
 from __future__ import annotations

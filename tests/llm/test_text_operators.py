@@ -164,8 +164,8 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, per_block):
     want = []
     for i, v in use:
         if i % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in use if j != i and len(w) == len(v))[:5]
-            s = sorted((-min(max(-x, -(2**63)), 2**63 - 1), j) for x, j in s)
+            fit = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+            s = sorted((-fit(sum(a * b for a, b in zip(v, w, strict=True))), j) for j, w in use if j != i and len(w) == len(v))[:5]
             want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
     assert got == sorted(want)
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
