@@ -310,7 +310,7 @@ BILINEAR_SQL = """with g as (select vec_id // 100 as img, cast(vec_id % 10 as bi
     s as (select event_id, [a.v[i] * (1 - fx) * (1 - fy) + b.v[i] * fx * (1 - fy) + e.v[i] * (1 - fx) * fy + f.v[i] * fx * fy for i in range(1, len(a.v) + 1)] as v from c
         join g a on a.img = c.img and a.gx = x0 and a.gy = y0 join g b on b.img = c.img and b.gx = least(x0 + 1, 9) and b.gy = y0
         join g e on e.img = c.img and e.gx = x0 and e.gy = least(y0 + 1, 9) join g f on f.img = c.img and f.gx = least(x0 + 1, 9) and f.gy = least(y0 + 1, 9))
-    select event_id as point_id, round(x / greatest(sqrt(list_dot_product(v, v)), 1e-6), 5) as value, i from (select event_id, v, unnest(v) as x, unnest(range(0, len(v))) as i from s)"""
+    select event_id as point_id, round(x / greatest(sqrt(list_dot_product(v, v)), 1e-6), 5) + 0::double as value, i from (select event_id, v, unnest(v) as x, unnest(range(0, len(v))) as i from s)"""
 
 
 @query(BILINEAR_SQL)
@@ -321,7 +321,7 @@ def j12_bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
     images = e.agg(F.max(F.floor(F.col("vec_id") / 100)) + 1).first()[0] or 1
     p = fx.table(spark, d, "events").select((F.col("event_id") % images).alias("img_id"), F.col("event_id").alias("point_id"), (F.col("event_id") % 97).cast("double").alias("x"), (F.col("event_id") % 89 / F.lit(88.0) * 96).alias("y"))
     out = joins.bilinear_sample(g, p, 97, 97, 10, 10)
-    return out.select("point_id", F.posexplode("vector").alias("i", "x")).select("point_id", F.round("x", 5).alias("value"), F.col("i").cast("long").alias("i"))
+    return out.select("point_id", F.posexplode("vector").alias("i", "x")).select("point_id", (F.round("x", 5) + 0.0).alias("value"), F.col("i").cast("long").alias("i"))
 
 
 # ---- aggregations --------------------------------------------------------------------------------
@@ -631,7 +631,7 @@ def length_embedder():
 
 @query("""with w as (select doc_id, len(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) % 32 as i from documents), c as (select doc_id, i, count(*) as n from w group by 1, 2),
     s as (select doc_id, sqrt(sum(n * n)) as norm from c group by 1)
-    select d.doc_id, k.i, round(coalesce(n, 0) / greatest(coalesce(norm, 0), 1e-6), 4) as value from documents d cross join range(32) k(i) left join c on c.doc_id = d.doc_id and c.i = k.i left join s on s.doc_id = d.doc_id""")
+    select d.doc_id, k.i, round(cast(cast(coalesce(n, 0) / greatest(coalesce(norm, 0), 1e-6::double) as float) as double), 4) as value from documents d cross join range(32) k(i) left join c on c.doc_id = d.doc_id and c.i = k.i left join s on s.doc_id = d.doc_id""")
 def u1_embed(spark: SparkSession, d: str) -> DataFrame:
     t = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("data"))
     out = localization.embed(t, length_embedder, 32).select("doc_id", F.posexplode("vector").alias("i", "x"))
