@@ -7,6 +7,7 @@ not depend on how many rows an Arrow batch holds.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local["):
+    if not root and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         # one machine: what the driver writes all tasks see
         root = "file://" + os.path.join(tempfile.gettempdir(), "geomatch-checkpoints")
     if not root:
