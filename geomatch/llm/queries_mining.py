@@ -10,10 +10,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import structure_repair
+from . import hard_negatives, lsh_forest, structure_repair
+from .queries_models import OP6_SQL
 from .queries_text import table
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+OP11_SQL = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
+    from embeddings where label is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), a as (select row_number() over () as n, * from v where vec_id % 100 = 0),
+s as (
+    select a.n, a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_sum([z[1] * z[2] for z in list_zip(a.v, c.v)]) as bigint) as score
+    from a join v c on c.vec_id is distinct from a.vec_id and len(c.v) = len(a.v)
+), p as (
+    select n, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by n order by score desc, vec_id nulls last) as place
+    from s where same qualify place <= 5
+), r as (
+    select p.n, p.anchor_id, p.place, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+        cast(row_number() over (partition by p.n, p.place order by s.score desc, s.vec_id nulls last) as integer) as rank
+    from p join s on s.n = p.n and not s.same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from r where rank <= 5
+"""
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Turns with planted faults: what is null becomes one space, in the hashed key too."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -139,5 +166,15 @@ def _repair_sql() -> str:
     )
 
 
-QUERIES = {"op12_structure_repair": op12_structure_repair}
-ORACLES = {"op12_structure_repair": _repair_sql()}
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.deduplicate(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+#: All pairs of word pairs in common, as for the n-gram join.
+OP13_SQL = f"""
+select *, doc_id = component_id as kept from (
+{OP6_SQL.replace("ws[k:k + 4]", "ws[k:k + 1]").replace("greatest(len(ws) - 3, 2)", "greatest(len(ws), 2)").replace(">= 75 *", ">= 80 *")})
+"""
+
+QUERIES = {"op11_hard_negatives": op11_hard_negatives, "op12_structure_repair": op12_structure_repair, "op13_minhash_dedup": op13_minhash_dedup}
+ORACLES = {"op11_hard_negatives": OP11_SQL, "op12_structure_repair": _repair_sql(), "op13_minhash_dedup": OP13_SQL}
