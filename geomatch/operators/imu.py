@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geomatch.operators.segments import segmented
+from geomatch.sources.shared import written
+
 GRAVITY = np.array([0.0, 0.0, -9.81])
 
 
@@ -116,24 +119,97 @@ class Fold:
         self.dt = self.dt + dt
 
 
+VECTORS, MATRICES = ("p", "v", "mean_acc", "mean_gyro"), ("r_bg", "v_bg", "v_ba", "p_bg", "p_ba")
 SCHEMA = "dt double, samples long, p array<double>, v array<double>, q array<double>, mean_acc array<double>, mean_gyro array<double>, r_bg array<double>, v_bg array<double>, v_ba array<double>, p_bg array<double>, p_ba array<double>, cov array<double>"
 CHUNK = 50_000
+#: Neighbouring folds that become one in a round.
+FAN = 64
+
+
+def combine(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The folds of windows of which a holds the samples up to some time and b those after it.
+
+    Values by the columns of SCHEMA, of m windows at once. What b holds in the frame of its first
+    sample is turned by a; errors of a's rotation move b's velocity and position. This is
+    associative, so the folds of a long window may meet in any tree that keeps their order.
+    """
+    ra, rb = matrix(a["q"]), matrix(b["q"])
+    back = np.swapaxes(rb, -1, -2)
+    turned = lambda v: (ra @ v[..., None])[..., 0]
+    total, t, t3 = a["dt"] + b["dt"], b["dt"][:, None], b["dt"][:, None, None]
+    share = lambda x, y: (a["dt"][:, None] * x + t * y) / np.where(total > 0, total, 1.0)[:, None]
+    dv, dp = ra @ skew(b["v"]), ra @ skew(b["p"])
+    out = {
+        "dt": total,
+        "samples": a["samples"] + b["samples"],
+        "p": a["p"] + a["v"] * t + turned(b["p"]),
+        "v": a["v"] + turned(b["v"]),
+        "q": quaternion(ra @ rb),
+        "mean_acc": share(a["mean_acc"], turned(b["mean_acc"])),
+        "mean_gyro": share(a["mean_gyro"], b["mean_gyro"]),
+        "r_bg": back @ a["r_bg"] + b["r_bg"],
+        "v_bg": a["v_bg"] + ra @ b["v_bg"] - dv @ a["r_bg"],
+        "v_ba": a["v_ba"] + ra @ b["v_ba"],
+        "p_bg": a["p_bg"] + a["v_bg"] * t3 + ra @ b["p_bg"] - dp @ a["r_bg"],
+        "p_ba": a["p_ba"] + a["v_ba"] * t3 + ra @ b["p_ba"],
+    }
+    m = len(total)
+    move = np.broadcast_to(np.eye(15), (m, 15, 15)).copy()
+    move[:, :3, :3], move[:, 3:6, :3], move[:, 6:9, :3], move[:, 6:9, 3:6] = back, -dv, -dp, np.eye(3) * t3
+    turn = np.broadcast_to(np.eye(15), (m, 15, 15)).copy()
+    turn[:, 3:6, 3:6] = turn[:, 6:9, 6:9] = ra
+    out["cov"] = move @ a["cov"] @ np.swapaxes(move, -1, -2) + turn @ b["cov"] @ np.swapaxes(turn, -1, -2)
+    return out
+
+
+def as_arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The columns of SCHEMA as arrays of one row a fold."""
+    shapes = {k: (3,) for k in VECTORS} | {"q": (4,), "cov": (15, 15)} | {k: (3, 3) for k in MATRICES}
+    out = {"dt": pdf["dt"].to_numpy(float), "samples": pdf["samples"].to_numpy(np.int64)}
+    return out | {k: np.stack(pdf[k].to_numpy()).reshape(-1, *s) for k, s in shapes.items()}
+
+
+def as_frame(fold: dict[str, np.ndarray], **keys) -> pd.DataFrame:
+    flat = {k: list(v.reshape(len(v), -1)) if v.ndim > 1 else v for k, v in fold.items()}
+    return pd.DataFrame(keys | {c.split()[0]: flat[c.split()[0]] for c in SCHEMA.split(", ")})
+
+
+def joined(parts: DataFrame, top: int, keys: str) -> DataFrame:
+    """The folds of whole windows from those of their segments, FAN neighbours at a time, up to segment number ``top``."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("segment")
+        every = as_arrays(pdf)
+        fold = {k: v[:1] for k, v in every.items()}
+        for i in range(1, len(pdf)):
+            fold = combine(fold, {k: v[i : i + 1] for k, v in every.items()})
+        return as_frame(fold, stream_id=pdf["stream_id"].iloc[:1].to_numpy(), window_id=pdf["window_id"].iloc[:1].to_numpy(), segment=pdf["_group"].iloc[:1].to_numpy())
+
+    while top > 0:
+        parts = parts.withColumn("_group", F.floor(F.col("segment") / FAN)).groupBy("stream_id", "window_id", "_group").applyInPandas(meet, f"{keys}, segment long, {SCHEMA}")
+        top //= FAN
+    return parts.drop("segment")
 
 
-def preintegrate(imu: DataFrame, acc_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0, 0.0), noise: Noise = Noise()) -> DataFrame:
+def preintegrate(imu: DataFrame, acc_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0, 0.0), noise: Noise = Noise(), rows: int | None = None) -> DataFrame:
     """A row for each (stream_id, window_id) of imu with dt (see with_dt).
 
-    Windows lie together in their partition, in order; a task folds about CHUNK samples of whole
-    windows at a time, all windows in step.
+    A window is cut into segments of about ``rows`` samples, unless imu has the columns ``segment`` and
+    ``cuts`` already. Segments lie together in their partition, in order; a task folds about CHUNK
+    samples of whole segments at a time, all in step. Those of one window are then combined as a
+    tree, so that a window of any length spreads over tasks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in imu.schema}
-    cols = ["stream_id", "window_id", "ts_ns", "dt", "w_x", "w_y", "w_z", "a_x", "a_y", "a_z"]
-    ordered = imu.select(*cols).repartition("stream_id", "window_id").sortWithinPartitions("stream_id", "window_id", "ts_ns")
+    if "segment" not in kinds:
+        imu = segmented(imu, ["stream_id", "window_id"], F.col("ts_ns"), rows)
+    by = ["stream_id", "window_id", "segment"]
+    ordered = imu.select(*by, "cuts", "ts_ns", "dt", "w_x", "w_y", "w_z", "a_x", "a_y", "a_z").repartition(*by).sortWithinPartitions(*by, "ts_ns")
+    keys = f"stream_id {kinds['stream_id']}, window_id {kinds['window_id']}"
 
     def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        new = (pdf["stream_id"] != pdf["stream_id"].shift()) | (pdf["window_id"] != pdf["window_id"].shift())
-        window = (new.cumsum() - 1).to_numpy()
-        starts = np.flatnonzero(new.to_numpy())
+        new = np.logical_or.reduce([(pdf[c] != pdf[c].shift()).to_numpy() for c in by])
+        window = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(pdf)])
         place = np.arange(len(pdf)) - starts[window]
         fold = Fold(len(starts), acc_bias, gyro_bias, noise)
@@ -144,9 +220,8 @@ def preintegrate(imu: DataFrame, acc_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0,
             for full, own in zip(now, (a, w, dt), strict=True):
                 full[window[at]] = own[at]
             fold.add(*now)
-        flat = lambda m: list(np.asarray(m).reshape(len(starts), -1))
-        out = {"stream_id": pdf["stream_id"].to_numpy()[starts], "window_id": pdf["window_id"].to_numpy()[starts], "dt": fold.dt, "samples": sizes, "p": flat(fold.p), "v": flat(fold.v), "q": flat(quaternion(fold.r)), "mean_acc": flat(fold.mean_acc), "mean_gyro": flat(fold.mean_gyro)}
-        return pd.DataFrame(out | {k: flat(m) for k, m in fold.j.items()} | {"cov": flat(fold.cov)})
+        every = {"dt": fold.dt, "samples": sizes, "q": quaternion(fold.r), "cov": fold.cov} | {k: getattr(fold, k) for k in VECTORS} | fold.j
+        return as_frame(every, **{c: pdf[c].to_numpy()[starts] for c in (*by, "cuts")})
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -154,14 +229,20 @@ def preintegrate(imu: DataFrame, acc_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0,
             held.append(pdf)
             if sum(map(len, held)) >= CHUNK:
                 rows = pd.concat(held, ignore_index=True)
-                last = (rows["stream_id"] == rows["stream_id"].iloc[-1]) & (rows["window_id"] == rows["window_id"].iloc[-1])
+                last = np.logical_and.reduce([(rows[c] == rows[c].iloc[-1]).to_numpy() for c in by])
                 if not last.all():
                     yield folded(rows[~last])
                 held = [rows[last]]
         if held and sum(map(len, held)):
             yield folded(pd.concat(held, ignore_index=True))
 
-    return ordered.mapInPandas(run, f"stream_id {kinds['stream_id']}, window_id {kinds['window_id']}, {SCHEMA}")
+    folds = ordered.mapInPandas(run, f"{keys}, segment long, cuts long, {SCHEMA}")
+    if not imu.schema["cuts"].nullable:  # a constant: no window has a cut
+        return folds.drop("segment", "cuts")
+    folds = written(folds, "folds")
+    top = folds.agg(F.max("segment")).first()[0] or 0
+    whole = joined(folds.where("cuts > 0").drop("cuts"), top, keys)
+    return folds.where("cuts = 0").drop("segment", "cuts").unionByName(whole)
 
 
 # ---- quaternions and 3x3 products as columns ---------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomatch.functions.vectors import l2_normalize
+from geomatch.operators.segments import cut
 
 
 def attach_metadata(images: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -34,14 +35,24 @@ def interval_join(samples: DataFrame, windows: DataFrame, span_ns: int) -> DataF
     return w.join(s, ["stream_id", "_bin"]).where(F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns"))).drop("_bin")
 
 
-def asof_forward(windows: DataFrame, truth: DataFrame, offset_ns: int) -> DataFrame:
-    """The first truth row at or after start_ns + offset_ns, by one sorted pass over each stream."""
+def asof_forward(windows: DataFrame, truth: DataFrame, offset_ns: int, rows: int | None = None) -> DataFrame:
+    """The first truth row at or after start_ns + offset_ns, by one sorted pass over each segment of a stream.
+
+    A window that finds none in its segment takes the first truth of the segments after it; there
+    is one such row for each segment, so that one hot stream spreads over tasks.
+    """
     t = truth.select("stream_id", F.col("ts_ns").alias("_t"), F.struct(*[c for c in truth.columns if c != "stream_id"]).alias("truth"))
     w = windows.select("stream_id", (F.col("start_ns") + offset_ns).alias("_t"), F.struct(*[c for c in windows.columns if c != "stream_id"]).alias("w"))
     both = t.withColumn("w", F.lit(None).cast(w.schema["w"].dataType)).unionByName(w.withColumn("truth", F.lit(None).cast(t.schema["truth"].dataType)))
+    parts, any_cut = cut(both, ["stream_id"], F.col("_t"), rows)
     # from the latest on, the last truth seen; at equal times truth comes first
-    order = Window.partitionBy("stream_id").orderBy(F.desc("_t"), F.col("truth").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("truth", F.last("truth", ignorenulls=True).over(order)).where("w is not null")
+    order = Window.partitionBy("stream_id", "segment").orderBy(F.desc("_t"), F.col("truth").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = parts.withColumn("truth", F.last("truth", ignorenulls=True).over(order)).where("w is not null")
+    if any_cut:
+        first = parts.where("cuts > 0").groupBy("stream_id", "segment").agg(F.min_by("truth", F.when(F.col("truth").isNotNull(), F.col("_t"))).alias("_own"))
+        later = Window.partitionBy("stream_id").orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
+        after = first.select(F.col("stream_id").alias("_s"), F.col("segment").alias("_g"), F.last("_own", ignorenulls=True).over(later).alias("_after"))
+        found = found.join(after, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col("segment") == F.col("_g")), "left").withColumn("truth", F.coalesce("truth", "_after"))
     return found.select("stream_id", "w.*", "truth")
 
 

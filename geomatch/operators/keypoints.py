@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomatch.operators.segments import with_previous
+
 
 def best_checkpoints(metrics: DataFrame) -> DataFrame:
     """Epochs whose rank1 is over the best so far, from 0."""
@@ -13,16 +15,21 @@ def best_checkpoints(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("best_before", F.greatest(best, F.lit(0.0))).where(F.col("rank1") > F.col("best_before"))
 
 
-def with_dt(imu: DataFrame, by: tuple[str, ...] = ("stream_id", "window_id")) -> DataFrame:
-    """Seconds since the sample before; a window's first sample is only the baseline and goes."""
-    w = Window.partitionBy(*by).orderBy("ts_ns")
-    return imu.withColumn("_p", F.lag("ts_ns").over(w)).where("_p is not null").withColumn("dt", (F.col("ts_ns") - F.col("_p")) * 1e-9).drop("_p")
+def with_dt(imu: DataFrame, by: tuple[str, ...] = ("stream_id", "window_id"), segments: bool = False, rows: int | None = None) -> DataFrame:
+    """Seconds since the sample before; a window's first sample is only the baseline and goes.
+
+    A long window spreads over tasks; with ``segments`` the columns ``segment`` and ``cuts`` that part it stay.
+    """
+    out = with_previous(imu, list(by), "ts_ns", F.col("ts_ns"), "_p", rows).where("_p is not null").withColumn("dt", (F.col("ts_ns") - F.col("_p")) * 1e-9).drop("_p")
+    return out if segments else out.drop("segment", "cuts")
 
 
-def step_distance(track: DataFrame) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("ts_ns")
-    d = sum((F.pow(F.col(c) - F.lag(c).over(w), 2) for c in ("ecef_x", "ecef_y", "ecef_z")), F.lit(0.0))
-    return track.withColumn("step_m", F.sqrt(d))
+def step_distance(track: DataFrame, rows: int | None = None) -> DataFrame:
+    """Distance from the place before, null for a session's first; a long session spreads over tasks."""
+    axes = ("ecef_x", "ecef_y", "ecef_z")
+    out = with_previous(track, ["session_id"], "ts_ns", F.struct(*axes), "_p", rows)
+    d = sum((F.pow(F.col(c) - F.col(f"_p.{c}"), 2) for c in axes), F.lit(0.0))
+    return out.withColumn("step_m", F.sqrt(d)).drop("_p", "segment", "cuts")
 
 
 def dual_softmax(sim: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomatch.functions.tiles import tile_bounds
-from geomatch.operators import diffs, grid, joins, keypoints, localization, metrics, search
+from geomatch.operators import diffs, grid, index, joins, keypoints, localization, metrics, search
 from geomatch.operators import imu as inertial
 from geomatch.plans import fixtures as fx
 from geomatch.plans.queries_scalar import HAVERSINE
+from geomatch.sources.shared import scratch, written
 from geomatch.streaming import tracker
 
 Q: dict = {}
@@ -194,6 +195,51 @@ def t3_ann(spark: SparkSession, d: str) -> DataFrame:
     return search.ann(fx.queries(spark, d).select("query_id", "vector"), fx.points(spark, d).select("id", "vector"), 5)
 
 
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The given points moved to 25 places: 3 more in the component of vec_id % 25."""
+    p = fx.points(spark, d).select("id", F.transform("vector", lambda x, i: x.cast("double") + F.when(i == F.col("id") % 25, 3.0).otherwise(0.0)).alias("vector"))
+    return p
+
+
+def index_of(spark: SparkSession, points: DataFrame) -> index.VectorIndex:
+    return index.VectorIndex.build(points, scratch(spark, "index"))
+
+
+CLUSTERED_SQL = f"{fx.POINTS_SQL}, moved as (select id, [x + case when i - 1 = id % 25 then 3 else 0 end for x, i in vector] as vector from points)"
+
+
+@query(f"""with {fx.POINTS_SQL}, scored as (select q.id as query_id, p.id, round(list_cosine_similarity(q.vector, p.vector), 6) as score from points q join points p on true where q.id % 10 = 0)
+    select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) where rank <= 5""")
+def t3_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """All hits of the index over points without clusters, as a scan of all vectors gives them."""
+    p = fx.points(spark, d)
+    return index_of(spark, p).search(fx.queries(spark, d), 5).hits
+
+
+@query(f"""with {CLUSTERED_SQL}, scored as (select q.id as query_id, p.id, round(list_cosine_similarity(q.vector, p.vector), 6) as score from moved q join moved p on true where q.id % 10 = 0)
+    select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) where rank <= 5""")
+def t3_index_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The same over points in clusters, where most lists are not read at all."""
+    p = clustered(spark, d)
+    return index_of(spark, p).search(p.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 5).hits
+
+
+@query("""select unnest(['clustered', 'clustered, 4 lists', 'given']) as points, count(*) filter (where vec_id % 10 = 0) as queries, true as recall_is_over_90_percent,
+    true as under_10_percent_of_vectors_read, unnest([true, true, false]) as under_10_percent_of_codes_read from embeddings""")
+def t3_index_reads(spark: SparkSession, d: str) -> DataFrame:
+    """What the index reads for its hits, by points. Without clusters no list can be left out, so all codes are read there."""
+    rows = []
+    for name, p in (("given", fx.points(spark, d).select("id", "vector")), ("clustered", clustered(spark, d))):
+        q, built = p.where("id % 10 = 0").withColumnRenamed("id", "query_id"), index_of(spark, p)
+        exact, n, of = written(search.knn(q, p, 5), "exact"), q.count(), p.count()
+        for kind, probes in ((name, None), (f"{name}, 4 lists", 4)):
+            if kind != "given, 4 lists":
+                found = built.search(q, 5, probes)
+                codes, vectors = found.reads(n, of)
+                rows.append((kind, n, search.recall(found.hits, exact).first()[0] >= 0.9, vectors < 0.1, codes < 0.1))
+    return spark.createDataFrame(rows, "points string, queries long, recall_is_over_90_percent boolean, under_10_percent_of_vectors_read boolean, under_10_percent_of_codes_read boolean")
+
+
 @query(f"""with {KNN_SQL}, f as (select query_id, min(rank) filter (where label = q_label) as first from top group by query_id)
     select {', '.join(f'round(avg(case when first <= {i} then 100.0 else 0.0 end), 6) as rank{i}' for i in range(1, 6))}, count(*) as queries from f""")
 def rank_accuracy(spark: SparkSession, d: str) -> DataFrame:
@@ -201,6 +247,49 @@ def rank_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return metrics.rank_accuracy(top5(spark, d), fx.queries(spark, d).select("query_id", "label"), p.select("id", "label"))
 
 
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The given points moved to 25 places: 3 more in the component of vec_id % 25."""
+    p = fx.points(spark, d).select("id", F.transform("vector", lambda x, i: x.cast("double") + F.when(i == F.col("id") % 25, 3.0).otherwise(0.0)).alias("vector"))
+    return p
+
+
+def index_of(spark: SparkSession, points: DataFrame) -> index.VectorIndex:
+    return index.VectorIndex.build(points, scratch(spark, "index"))
+
+
+CLUSTERED_SQL = f"{fx.POINTS_SQL}, moved as (select id, [x + case when i - 1 = id % 25 then 3 else 0 end for x, i in vector] as vector from points)"
+
+
+@query(f"""with {fx.POINTS_SQL}, scored as (select q.id as query_id, p.id, round(list_cosine_similarity(q.vector, p.vector), 6) as score from points q join points p on true where q.id % 10 = 0)
+    select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) where rank <= 5""")
+def t3_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """All hits of the index over points without clusters, as a scan of all vectors gives them."""
+    p = fx.points(spark, d)
+    return index_of(spark, p).search(fx.queries(spark, d), 5).hits
+
+
+@query(f"""with {CLUSTERED_SQL}, scored as (select q.id as query_id, p.id, round(list_cosine_similarity(q.vector, p.vector), 6) as score from moved q join moved p on true where q.id % 10 = 0)
+    select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) where rank <= 5""")
+def t3_index_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The same over points in clusters, where most lists are not read at all."""
+    p = clustered(spark, d)
+    return index_of(spark, p).search(p.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 5).hits
+
+
+@query("""select unnest(['clustered', 'clustered, 4 lists', 'given']) as points, count(*) filter (where vec_id % 10 = 0) as queries, true as recall_is_over_90_percent,
+    true as under_10_percent_of_vectors_read, unnest([true, true, false]) as under_10_percent_of_codes_read from embeddings""")
+def t3_index_reads(spark: SparkSession, d: str) -> DataFrame:
+    """What the index reads for its hits, by points. Without clusters no list can be left out, so all codes are read there."""
+    rows = []
+    for name, p, probes in (("given", fx.points(spark, d).select("id", "vector"), None), ("clustered", clustered(spark, d), None), ("clustered, 4 lists", clustered(spark, d), 4)):
+        q = p.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+        found, n = index_of(spark, p).search(q, 5, probes), q.count()
+        codes, vectors = found.reads(n, p.count())
+        recall = search.recall(found.hits, search.knn(q, p, 5)).first()[0]
+        rows.append((name, n, recall >= 0.9, vectors < 0.1, codes < 0.1))
+    return spark.createDataFrame(rows, "points string, queries long, recall_is_over_90_percent boolean, under_10_percent_of_vectors_read boolean, under_10_percent_of_codes_read boolean")
+
+
 @query(f"""with {KNN_SQL}, f as (select query_id, min(rank) filter (where src = q_src and abs(x - qx) < 640 and abs(y - qy) < 640) as first from top group by query_id)
     select {', '.join(f'round(avg(case when first <= {i} then 100.0 else 0.0 end), 6) as rank{i}' for i in range(1, 6))}, count(*) as queries from f""")
 def a3_spatial_hit_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -571,7 +660,7 @@ def observed(spark: SparkSession, d: str, m: DataFrame) -> DataFrame:
 
 
 def folds(spark: SparkSession, d: str, **bias) -> DataFrame:
-    return inertial.preintegrate(keypoints.with_dt(in_windows(spark, d)), **bias)
+    return inertial.preintegrate(keypoints.with_dt(in_windows(spark, d), segments=True), **bias)
 
 
 _QUATERNION = "q0 * c - (q1 * x + q2 * y + q3 * z) * h", "q0 * x * h + q1 * c + (q2 * z - q3 * y) * h", "q0 * y * h + q2 * c + (q3 * x - q1 * z) * h", "q0 * z * h + q3 * c + (q1 * y - q2 * x) * h"
