@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geomatch.functions.geo import apply_homography, pixel_to_map, project_center, to_wgs84
 from geomatch.functions.vectors import l2_normalize
 from geomatch.operators.grid import drop_nodata, failed_frames, gate_matches, patch_grid
+from geomatch.sources.table import VectorTable
 from geomatch.streaming.tracker import POINT
 
 
@@ -69,3 +70,11 @@ def ingest(rasters: DataFrame, pixels: DataFrame, load, dim: int, crop: int, ove
     """Grid, pixels (src, x, y, data), nodata filter, embedding and location in one job."""
     patches = drop_nodata(patch_grid(rasters, crop, overlap).join(pixels, ["src", "x", "y"]))
     return embed(patch_points(patches, crop), load, dim)
+
+
+def ingest_into(table: VectorTable, rasters: DataFrame, pixels: DataFrame, load, crop: int, overlap: float, writer: str | None = None, number: int | None = None) -> int:
+    """``ingest`` into a table of points; returns the table's version that holds them.
+
+    A numbered batch of a writer counts once, however often it is delivered.
+    """
+    return table.upsert(ingest(rasters, pixels, load, table.dim, crop, overlap), None, writer, number)

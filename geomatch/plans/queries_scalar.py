@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from geomatch.functions import geo, tiles, urls, vectors
 from geomatch.plans import fixtures as fx
-from geomatch.sources import io
+from geomatch.sources import io, table
+from geomatch.sources.shared import scratch
 
 Q: dict = {}
 SQL: dict = {}
@@ -244,6 +245,48 @@ def s2_upsert(spark: SparkSession, d: str) -> DataFrame:
     return io.upsert(p, old.unionByName(new), "seq").select("id", r6(F.col("first"), "first"), "label")
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The points as rows of a vector table."""
+    p = fx.points(spark, d)
+    return p.select(F.col("id").cast("string").alias("id"), "vector", F.struct("lon", "lat").alias("location"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "src", F.array(F.lit(0.5), F.lit(0.5)).alias("res"))
+
+
+def filled(spark: SparkSession, d: str) -> table.VectorTable:
+    """A table that has seen all points, every third again 128 further on, one batch twice, and every seventh go."""
+    t, p = table.VectorTable.create(spark, scratch(spark, "points"), 64), stored(spark, d)
+    t.upsert(p, writer="all", number=1)
+    moved = p.where("id % 3 = 0").withColumn("x", F.col("x") + 128)
+    t.upsert(moved, writer="all", number=2)
+    t.upsert(moved.withColumn("x", F.lit(0)), writer="all", number=2)
+    t.delete(p.where("id % 7 = 0").select("id"))
+    return t
+
+
+@query(f"with {fx.POINTS_SQL} select cast(id as varchar) as id, case when id % 3 = 0 then x + 128 else x end as x, y, src from points where id % 7 <> 0")
+def s2_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The newest version, read over its tombstones."""
+    return filled(spark, d).read().select("id", "x", "y", "src")
+
+
+@query(f"""with {fx.POINTS_SQL} select 'compacted' as version, case when id % 3 = 0 then x + 128 else x end as x, count(*) as points from points where id % 7 <> 0 group by 2
+    union all select 'first', x, count(*) from points group by 2""")
+def s2_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """What compaction leaves, and what the first version still holds beside it."""
+    t = filled(spark, d)
+    t.compact()
+    both = t.read().withColumn("version", F.lit("compacted")).unionByName(t.read(1).withColumn("version", F.lit("first")))
+    return both.groupBy("version", "x").agg(F.count("*").alias("points"))
+
+
+@query(f"with {fx.POINTS_SQL} select cast(id as varchar) as id, round({HAVERSINE.format(a='q', b='p')}, 4) as meters from points p, (select lon, lat from points where id = 90) q where {HAVERSINE.format(a='q', b='p')} <= 400")
+def s1_geo_index(spark: SparkSession, d: str) -> DataFrame:
+    """The points around one place, by the ranges of the curve that files are chosen by."""
+    t = table.VectorTable.create(spark, scratch(spark, "points"), 64)
+    t.upsert(stored(spark, d))
+    at = fx.points(spark, d).where("id = 90").select("lon", "lat").first()
+    return t.read_within(at.lon, at.lat, 400.0).select("id", F.round("meters", 4).alias("meters"))
+
+
 @query("select vec_id as id, label from embeddings order by vec_id limit 100")
 def s3_scroll(spark: SparkSession, d: str) -> DataFrame:
     from geomatch.operators.search import scroll

@@ -5,67 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-POINTS = "id string, vector array<float>, location struct<lon:double,lat:double>, x int, y int, src string, res array<double>"
-
-
-class VectorTable:
-    """Points as Parquet, partitioned by raster, with a fixed vector length and a geo cell column."""
-
-    def __init__(self, spark: SparkSession, path: str, dim: int, cell_degrees: float = 0.01):
-        self.spark, self.path, self.dim, self.cell_degrees = spark, path, dim, cell_degrees
-
-    @classmethod
-    def create(cls, spark: SparkSession, path: str, dim: int) -> VectorTable:
-        table = cls(spark, path, dim)
-        try:
-            table.read()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            table.with_cells(spark.createDataFrame([], POINTS)).write.partitionBy("src").parquet(path)
-        return table
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(POINTS + ", cell_x long, cell_y long").parquet(self.path)
-
-    def with_cells(self, points: DataFrame) -> DataFrame:
-        at = lambda c: F.floor(F.col(f"location.{c}") / self.cell_degrees)
-        return points.withColumns({"cell_x": at("lon"), "cell_y": at("lat")})
-
-    def upsert(self, batch: DataFrame, seq: str | None = None) -> None:
-        """Replaces the rasters' partitions that the batch or the points it replaces lie in. The new
-        state is written beside the table first, as Spark cannot overwrite what it reads. A raster
-        whose points have all moved away loses its partition last; if that step is cut off, the
-        same batch again completes it."""
-        bad = check_dim(batch, self.dim).where("not dim_ok").limit(1).count()
-        if bad:
-            raise ValueError(f"vectors of another length than {self.dim}")
-        if batch.isEmpty():
-            return
-        old = self.read().drop("cell_x", "cell_y")
-        touched = old.join(batch.select("id"), "id", "left_semi").select("src").unionByName(batch.select("src")).distinct()
-        new = self.with_cells(upsert(old.join(touched, "src", "left_semi"), batch, seq))
-        staged = self.path.rstrip("/") + "__staged"
-        new.write.mode("overwrite").parquet(staged)
-        moved = old.select("id", "src").join(batch.select("id"), "id", "left_semi")
-        emptied = [r.src for r in moved.select("src").distinct().join(self.spark.read.parquet(staged).select("src").distinct(), "src", "left_anti").toLocalIterator()]
-        self.spark.read.parquet(staged).repartition("src").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("src").parquet(self.path)
-        jvm = self.spark._jvm
-        for src in emptied:
-            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("src", src)
-            folder = jvm.org.apache.hadoop.fs.Path(self.path, name)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def check_dim(points: DataFrame, dim: int) -> DataFrame:
-    return points.withColumn("dim_ok", F.coalesce(F.size("vector") == dim, F.lit(False)))
+from geomatch.sources.table import POINTS, VectorTable, check_dim, last_of_each
+
+__all__ = ["POINTS", "VectorTable", "check_dim"]
 
 
 def upsert(points: DataFrame, batch: DataFrame, seq: str | None = None) -> DataFrame:
     """points with the rows of batch in place of those of the same id; within the batch the last wins,
     by ``seq`` if given, else as the rows stand."""
-    w = Window.partitionBy("id").orderBy(F.desc("_s"))
-    batch = batch.withColumn("_s", F.col(seq) if seq else F.monotonically_increasing_id()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_s", *([seq] if seq else []))
+    batch = last_of_each(batch, seq)
     return points.join(batch.select("id"), "id", "left_anti").unionByName(batch)
 
 
