@@ -131,6 +131,6 @@ def calibration_manifest(crops: DataFrame) -> DataFrame:
 
 
 def latest_frame(frames: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """The newest frame of each source; on a stream, of each micro-batch."""
+    """The newest frame of each source, of equal times the greatest; see streaming.newest for streams without an end."""
     rest = F.struct(*[c for c in frames.columns if c != key])
     return frames.groupBy(key).agg(F.max_by(rest, F.struct(ts, *[c for c in frames.columns if c not in (key, ts)])).alias("f")).select(key, "f.*")

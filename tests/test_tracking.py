@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geomatch.plans import fixtures as fx
 from geomatch.sources import io
 from geomatch.streaming import model as m
-from geomatch.streaming import tracker
+from geomatch.streaming import newest, tracker
 
 
 def at(x, inliers=50):
@@ -126,6 +126,68 @@ def test_latest_frame_of_a_stream(spark, small, tmp_path):
     assert rows(spark.table("latest")) == rows(io.latest_frame(e, "user_id", "ts"))
 
 
+def streamed(spark, df, name, tmp_path, start, **options):
+    """The rows of a stream over the files of a folder, one a micro-batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    q = start(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True)
+    for k, v in options.items():
+        q = getattr(q, k)(v)
+    q = q.start()
+    try:
+        assert q.awaitTermination(100)
+    finally:
+        q.stop()
+    return spark.table(name).collect()
+
+
+def test_newest_frame_across_micro_batches(spark, small, tmp_path):
+    e = fx.table(spark, small, "events").select(F.when(F.col("user_id") != 3, F.col("user_id")).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("value"))
+    e = e.where("user_id is null or user_id < 12")
+    e = e.where("user_id is null or user_id < 5")
+    e = e.unionByName(e)
+    # newer frames come first, older and equal ones after
+    for part in (e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), e.where("ts < timestamp '2024-01-10'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "newest"))
+    # by the clock there is always another batch to run, but for this
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        rows = streamed(spark, e, "newest", tmp_path, lambda s: newest.newest_frames(s, "user_id", ttl_seconds=3600), outputMode="update")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    last = {}
+    for r in rows:
+        assert r.user_id not in last or (r.ts, r.event_id) > (last[r.user_id].ts, last[r.user_id].event_id)
+        last[r.user_id] = r
+    assert sorted(map(str, last.values())) == sorted(map(str, io.latest_frame(e, "user_id", "ts").select(*e.columns).collect()))
+
+
+def test_a_stream_goes_on_from_a_snapshot(spark, small, tmp_path):
+    frames = fx.frames(spark, small).where("session_id < 5").withColumn("session_id", F.when(F.col("session_id") != 2, F.col("session_id")))
+    some = sorted(r.ts for r in frames.select("ts").collect())
+    middle, last = some[len(some) // 2], some[-1]
+    before, after = frames.where(F.col("ts") <= middle), frames.where(F.col("ts") > middle)
+    key = lambda r: (r.session_id or -1, r.ts, r.seq)
+    want = sorted((tuple(r) for r in tracker.track(frames, feedback=True).collect() if r.ts > middle), key=lambda r: (r[0] or -1, r[1], r[2]))
+    tracker.states(before, feedback=True).write.parquet(str(tmp_path / "state"))
+    snapshot = spark.read.parquet(str(tmp_path / "state"))
+    assert sorted(map(tuple, tracker.track(after, feedback=True, initial=snapshot).collect()), key=lambda r: (r[0] or -1, r[1], r[2])) == want
+    whole = lambda df: sorted(map(str, df.collect()))
+    assert whole(tracker.states(after, feedback=True, initial=snapshot)) == whole(tracker.states(frames, feedback=True))
+
+    end = [(0, last + dt.timedelta(days=300 + k), k, "error", []) for k in range(2)] + [(0, middle, 9, "error", [])]
+    after.coalesce(1).write.mode("append").parquet(str(tmp_path / "resumed"))
+    for row in end:
+        spark.createDataFrame([row], frames.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "resumed"))
+    rows = streamed(spark, frames, "resumed", tmp_path, lambda s: tracker.track_stream(s, "100 days", feedback=True, initial=snapshot, idle_seconds=86400 * 90))
+    got = sorted((r for r in rows if r.ts <= last and r.status not in ("late", "closed")), key=key)
+    assert [tuple(r) for r in got] == want
+    # a late frame changes nothing, whether Spark drops it or it is told
+    assert all(r.status == "late" for r in rows if (r.seq, r.ts) == (9, middle))
+    closed = [r for r in rows if r.status == "closed"]
+    assert {r.session_id for r in closed} >= {1, 3, 4, None} and all(r.reason == "Late frames: 0" for r in closed)
+
+
 def plain_model(frames, feedback):
     """One session's results by the rules as written down, for frames of one observation at most; dictionaries and loops only."""
     tracks, prior, out = [], False, []
