@@ -48,20 +48,27 @@ def spatial_hit_rate(hits: DataFrame, truth: DataFrame, crop: float, k: int = 5)
 
 
 def elements_at(df: DataFrame, column: str, ranks: Sequence[int], few: int = 10_000, buckets: int = 1024) -> dict[int, float]:
-    """The elements at these ranks (from 0) in the order of a column of finite numbers.
+    """The elements at these ranks (from 0) in the order of a column: numbers from -infinity to infinity, then NaN.
 
-    Histograms narrow the ranks down: only counts by bucket leave the tasks, and in the end the few
-    values about a rank.
+    Histograms narrow the ranks down among the finite numbers: only counts by bucket leave the tasks,
+    and in the end the values about a rank, ``few`` at most. Others are counted apart.
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    finite = ~F.isnan("x") & (F.abs("x") < F.lit(float("inf")))
+    some = F.when(finite, F.col("x"))
+    lo, hi, below, n, above = x.agg(F.min(some), F.max(some), F.count_if(F.col("x") == F.lit(float("-inf"))), F.count_if(finite), F.count_if(F.col("x") == F.lit(float("inf")))).first()
+    x = x.where(finite)
+    out = {r: float("-inf") for r in ranks if r < below}
+    out |= {r: float("inf") if r < below + n + above else float("nan") for r in ranks if r >= below + n}
     # (least, most, elements before, elements) of the range that holds each rank
-    spans = {r: (lo, hi, 0, n) for r in ranks}
+    spans = {r: (lo, hi, below, n) for r in ranks if r not in out}
     while open_ := sorted({s for s in spans.values() if s[0] < s[1] and s[3] > few}):
         which, at = F.lit(None), F.lit(None)
         for k, (lo, hi, _, _) in enumerate(open_):
             inside = F.col("x").between(lo, hi)
-            which, at = F.when(inside, k).otherwise(which), F.when(inside, F.least(F.floor((F.col("x") - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).otherwise(at)
+            # halves, as the whole range may not fit a double; the least and the most never share a bucket
+            part = (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2) if hi / 2 > lo / 2 else F.when(F.col("x") > lo, 1.0).otherwise(0.0)
+            which, at = F.when(inside, k).otherwise(which), F.when(inside, F.least(F.floor(part * buckets), F.lit(buckets - 1))).otherwise(at)
         rows = x.select("x", which.alias("span"), at.alias("at")).where("span is not null").groupBy("span", "at").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).orderBy("span", "at").collect()
         for r, s in list(spans.items()):
             if s in open_:
@@ -71,7 +78,7 @@ def elements_at(df: DataFrame, column: str, ranks: Sequence[int], few: int = 10_
                         spans[r] = (b.lo, b.hi, before, b.n)
                         break
                     before += b.n
-    out = {r: s[0] for r, s in spans.items() if s[0] == s[1]}
+    out |= {r: s[0] for r, s in spans.items() if s[0] == s[1]}
     for s in {s for r, s in spans.items() if r not in out}:
         values = np.sort([r.x for r in x.where(F.col("x").between(s[0], s[1])).collect()])
         out |= {r: float(values[r - s[2]]) for r, own in spans.items() if own == s}
@@ -79,14 +86,21 @@ def elements_at(df: DataFrame, column: str, ranks: Sequence[int], few: int = 10_
 
 
 def latency_report(df: DataFrame, ms: str, method: str = "interpolated") -> DataFrame:
-    """mean, p95, p99, qps, n: percentiles between elements, or the element at floor(n p)."""
+    """mean, p95, p99, qps, n: percentiles between elements, or the element at floor(n p).
+
+    A NaN is the greatest of all and makes the mean one; infinities are values.
+    """
     mean, n = F.avg(ms), df.where(F.col(ms).isNotNull()).count()
     p95 = p99 = F.lit(None).cast("double")
     if n:
         at = {p: (n - 1) * p if method == "interpolated" else min(int(np.floor(n * p)), n - 1) for p in (0.95, 0.99)}
         found = elements_at(df, ms, sorted({k for x in at.values() for k in (int(np.floor(x)), int(np.ceil(x)))}))
-        low, high = lambda p: found[int(np.floor(at[p]))], lambda p: found[int(np.ceil(at[p]))]
-        p95, p99 = (F.lit(low(p) + (high(p) - low(p)) * (at[p] - int(np.floor(at[p])))) for p in (0.95, 0.99))
+
+        def between(p: float) -> Column:
+            low, high, part = found[int(np.floor(at[p]))], found[int(np.ceil(at[p]))], at[p] - int(np.floor(at[p]))
+            return F.lit(low if low == high or not part else low + (high - low) * part)
+
+        p95, p99 = between(0.95), between(0.99)
     return df.agg(F.round(mean, 6).alias("mean_ms"), F.first(F.round(p95, 6)).alias("p95_ms"), F.first(F.round(p99, 6)).alias("p99_ms"), F.round(F.when(mean > 0, 1000 / mean).otherwise(0.0), 6).alias("qps"), F.count(ms).alias("n"))
 
 

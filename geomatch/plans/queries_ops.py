@@ -429,6 +429,17 @@ def a5_latency_index(spark: SparkSession, d: str) -> DataFrame:
     return metrics.latency_report(fx.table(spark, d, "events"), "value", "index")
 
 
+@query("""with v as (select case when event_id % 200 = 0 then 'nan'::double when event_id % 50 = 1 then 'inf'::double when event_id % 50 = 2 then '-inf'::double else value end as value from events),
+    s as (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from v where value is not null)
+    select round(max(value) filter (where k = least(cast(floor(n * 0.95) as bigint), n - 1)), 6) as p95_ms, max(value) filter (where k = least(cast(floor(n * 0.99) as bigint), n - 1)) = 'inf'::double as p99_is_endless,
+        isnan(avg(value)) as mean_is_no_number, count(*) as n from s""")
+def a5_latency_odd(spark: SparkSession, d: str) -> DataFrame:
+    """With failures among the latencies: half a percent NaN, two percent infinite to each side."""
+    odd = F.when(F.col("event_id") % 200 == 0, float("nan")).when(F.col("event_id") % 50 == 1, float("inf")).when(F.col("event_id") % 50 == 2, float("-inf")).otherwise(F.col("value"))
+    r = metrics.latency_report(fx.table(spark, d, "events").select(odd.alias("value")), "value", "index")
+    return r.select("p95_ms", (F.col("p99_ms") == float("inf")).alias("p99_is_endless"), F.isnan("mean_ms").alias("mean_is_no_number"), "n")
+
+
 @query("""select user_id, count(*) * 4 as items, round(case when max(ts) > min(ts) then count(*) * 4 / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) else 0 end, 9) as items_per_second from events group by user_id""")
 def a6_throughput(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

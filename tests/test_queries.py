@@ -249,6 +249,17 @@ def test_elements_at_ranks(spark):
     assert metrics.elements_at(df, "x", ranks, few=50, buckets=16) == {r: float(np.sort(x)[r]) for r in ranks}
 
 
+def test_elements_among_odd_numbers(spark):
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(size=4000), [np.nan] * 20, [np.inf] * 15, [-np.inf] * 10, 1.7e308, -1.7e308, 5e-324, 0.0]
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(x)] + [(None,)], "x double").repartition(5)
+    ranks = [0, 9, 10, 11, 2000, 4012, 4013, 4014, 4028, 4029, 4048]
+    got = metrics.elements_at(df, "x", ranks, few=50, buckets=16)
+    assert all(np.array_equal(got[r], np.sort(x)[r], equal_nan=True) for r in ranks)
+    for only in (float("nan"), float("inf"), float("-inf")):
+        assert np.array_equal(metrics.elements_at(df.limit(1).select(F.lit(only).alias("x")), "x", [0])[0], only, equal_nan=True)
+
+
 def test_ingest_in_one_job(spark):
     affine = {"a": 1e-5, "b": 0.0, "c": 114.5, "d": 0.0, "e": -1e-5, "f": 37.9, "epsg": 4326}
     r = spark.createDataFrame([("s", 600, 512), ("t", 512, 512)], "src string, width int, height int").withColumns({k: F.lit(v) for k, v in affine.items()})
