@@ -31,9 +31,9 @@ with v as (
     where len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
     select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum([a[1] * a[2] for a in list_zip(q.v, c.v)]) as bigint) as score
-    from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+    from v q join v c on c.vec_id is distinct from q.vec_id and len(c.v) = len(q.v)
     where q.vec_id % 50 = 0
-), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id nulls last) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 

@@ -12,7 +12,8 @@ queries, so that a task holds one block of each. Only k rows a query and block l
 
 Defined cases: a vector that is null or empty, or holds a null or non-finite component, takes no
 part; a query meets vectors of its own length only; ties go to the smaller id; a repeated row
-counts as often as it occurs; the query's own id is no candidate; other columns are ignored.
+counts as often as it occurs; no row of the query's own id is a candidate; a null id is no query's
+own, and comes last among equal scores; other columns are ignored.
 Vectors and queries with components so large that a score may not fit a double take part too, by
 integers of any size; a score outside the range of a long counts as the end of that range.
 """
@@ -57,16 +58,19 @@ class CellFile:
         return rough, np.abs(queries) @ ((self.step - 1) / 2) + rounding
 
 
-def best_of_block(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, ids, scores) of the k best of a block; exact.
+def best_of_block(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, no_id: np.ndarray, k: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's place, rows, scores) of the k best of a block, ties by id, rows without one last; exact.
 
     Components are integers held as doubles. Scores of vectors with large ones, or of queries with
     large ones, are products of Python's integers.
     """
     most = np.sqrt(2.0**52 / vectors.shape[1])
     fit, plain = np.abs(vectors).max(1) <= most, np.abs(queries).max(1) <= most
-    order = np.lexsort((ids, ~fit))
-    vectors, ids, n_fit = vectors[order], ids[order], int(fit.sum())
+    order = np.lexsort((ids, no_id, ~fit))
+    # where a row stands among all by id, which settles ties
+    turn_of = np.empty(len(ids), np.int64)
+    turn_of[np.lexsort((ids, no_id))] = np.arange(len(ids))
+    vectors, ids, no_id, turn_of, n_fit = vectors[order], ids[order], no_id[order], turn_of[order], int(fit.sum())
     small, large = vectors[:n_fit], vectors[n_fit:]
     file = CellFile(small, bits) if n_fit and plain.any() else None
     end = 2**63
@@ -80,20 +84,22 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids
         rough = dict(zip(some.tolist(), zip(*file.scan(queries[some]), strict=True), strict=True)) if file is not None and len(some) else {}
         for i in range(at, min(at + 128, len(queries))):
             q = queries[i]
-            got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            got_at, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
             def take(where: np.ndarray, scores: np.ndarray) -> None:
-                nonlocal got_ids, got
-                got_ids, got = np.r_[got_ids, ids[where]], np.r_[got, scores]
-                first = np.lexsort((got_ids, -got))[:k] if len(got) and got.min() > -end else np.array(sorted(range(len(got)), key=lambda j: (-int(got[j]), got_ids[j]))[:k], int)
-                got_ids, got = got_ids[first], got[first]
-
-            whole = np.flatnonzero(ids != own[i]) if i not in rough else np.flatnonzero(ids[n_fit:] != own[i]) + n_fit
+                nonlocal got_at, got
+                got_at, got = np.r_[got_at, where], np.r_[got, scores]
+                # a negated long may not fit one
+                first = np.lexsort((turn_of[got_at], ~got))[:k]
+                got_at, got = got_at[first], got[first]
+
+            may = (ids != own[i]) | no_id
+            whole = np.flatnonzero(may) if i not in rough else np.flatnonzero(may[n_fit:]) + n_fit
             if len(whole):
                 take(whole, exact(vectors[whole], q))
             if i in rough:
                 score, off = rough[i]
-                other = np.flatnonzero(ids[:n_fit] != own[i])
+                other = np.flatnonzero(may[:n_fit])
                 near = score[other]
                 if len(other) > k:
                     keep = near + off >= np.partition(near, len(near) - k)[len(near) - k] - off
@@ -106,7 +112,7 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids
                     part = other[lo : lo + 64]
                     take(part, (small[part].astype(np.int64) @ q.astype(np.int64)))
             if len(got):
-                yield i, got_ids, got
+                yield i, order[got_at], got
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, scale: int = 256) -> DataFrame:
@@ -118,12 +124,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, scale
     def prepared(df: DataFrame, per_block: int, tag: str) -> DataFrame:
         """(vec_id, dim, v, block): rows of one length are dealt to blocks by id, hot ids by content."""
         v = df.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), F.monotonically_increasing_id().alias("_at"))
-        v = v.where("v is not null and vec_id is not null").withColumn("dim", F.size("v"))
+        v = v.where("v is not null").withColumn("dim", F.size("v"))
         blocks = v.groupBy("dim").agg(F.ceil(F.count("*") / per_block).cast("long").alias(f"{tag}_blocks"))
         return v, blocks
 
     r, r_blocks = prepared(rows, ROWS_PER_BLOCK, "r")
-    q, q_blocks = prepared(queries, QUERIES_PER_BLOCK, "q")
+    q, q_blocks = prepared(queries.where("vec_id is not null"), QUERIES_PER_BLOCK, "q")
     # one row a vector length; the number of lengths in use is small, their sizes are what counts
     sizes = r_blocks.join(q_blocks, "dim")
     r = r.join(sizes, "dim").withColumn("rb", F.pmod(F.xxhash64("vec_id", "_at"), "r_blocks")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
@@ -134,14 +140,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, scale
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "q_row": [], "vec_id": [], "score": []}).astype("int64")
         qs, vs = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        own, ids, at = left["vec_id"].to_numpy(np.int64), right["vec_id"].to_numpy(np.int64), left["_at"].to_numpy(np.int64)
-        found = list(best_of_block(qs, own, vs, ids, k, bits))
+        own, at = left["vec_id"].to_numpy(np.int64), left["_at"].to_numpy(np.int64)
+        ids, no_id = right["vec_id"].to_numpy(np.int64), right["no_id"].to_numpy(bool)
+        found = list(best_of_block(qs, own, vs, ids, no_id, k, bits))
         n = [len(i) for _, i, _ in found]
         who = np.repeat(np.array([p for p, _, _ in found], np.int64), n)
         none = np.zeros(0, np.int64)
-        return pd.DataFrame({"query_id": own[who], "q_row": at[who], "vec_id": np.concatenate([i for _, i, _ in found] or [none]), "score": np.concatenate([s for _, _, s in found] or [none])})
+        rows = np.concatenate([i for _, i, _ in found] or [none])
+        return pd.DataFrame({"query_id": own[who], "q_row": at[who], "vec_id": pd.Series(ids[rows], dtype="Int64").mask(no_id[rows]), "score": np.concatenate([s for _, _, s in found] or [none])})
 
     by = ["dim", "rb", "qb"]
-    found = q.select(*keep, "_at").groupBy(*by).cogroup(r.select(*keep).groupBy(*by)).applyInPandas(meet, "query_id long, q_row long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "q_row").orderBy(F.desc("score"), "vec_id")
+    # a null id would turn the ids of its block into doubles
+    r = r.withColumns({"no_id": F.col("vec_id").isNull(), "vec_id": F.coalesce("vec_id", F.lit(0))})
+    found = q.select(*keep, "_at").groupBy(*by).cogroup(r.select(*keep, "no_id").groupBy(*by)).applyInPandas(meet, "query_id long, q_row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -157,17 +157,19 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, per_block):
     rng = np.random.default_rng(0)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(120)]
     rows += [(300 + i, [1e300, -3e18, 2.5, 0.0, 1.0, 7e4][i:] + [1.0] * i) for i in range(6)]
-    rows += [(0, rows[3][1]), (7, rows[7][1]), (200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (250, [1.0, 2.0]), (251, [0.5, 0.5])]
+    rows += [(0, rows[3][1]), (7, rows[7][1]), (200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (250, [1.0, 2.0]), (251, [0.5, 0.5]), (2**62 + 1, rows[5][1])]
+    # a null id is a candidate of every query, and the last of its score
+    rows += [(None, rows[5][1]), (None, [9.0] * 6), (None, [-9.0] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = sorted(map(tuple, vector_search.search(df, df.where("vec_id % 50 = 0"), 5).collect()))
+    got = sorted(map(str, map(tuple, vector_search.search(df, df.where("vec_id % 50 = 0"), 5).collect())))
     use = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for i, v in use:
-        if i % 50 == 0:
+        if i is not None and i % 50 == 0:
             fit = lambda x: min(max(x, -(2**63)), 2**63 - 1)
-            s = sorted((-fit(sum(a * b for a, b in zip(v, w, strict=True))), j) for j, w in use if j != i and len(w) == len(v))[:5]
-            want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
-    assert got == sorted(want)
+            s = sorted((-fit(sum(a * b for a, b in zip(v, w, strict=True))), j is None, j or 0, j) for j, w in use if j != i and len(w) == len(v))[:5]
+            want += [(i, r + 1, j, -x) for r, (x, _, _, j) in enumerate(s)]
+    assert got == sorted(map(str, want))
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
