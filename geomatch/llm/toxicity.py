@@ -3,12 +3,17 @@
 A logistic classifier over words and word beginnings is trained in numpy from confirmed toxic
 documents and unlabelled ones. The risk of the unlabelled documents as negatives is corrected by
 the class prior, and where that correction would make it negative, the step undoes the overfit
-instead. Training reads a bounded sample (``positives`` and ``unlabelled`` rows, lowest hash
-first, of which those that share their least word shingle count once); the prior is the toxic share of all labelled rows of the learning part. Scoring looks at
-every word of every text.
+instead. Training reads a bounded sample (``positives`` and ``unlabelled`` ids, lowest hash
+first, one row an id, of which those that share their least word shingle count once) and keeps the
+``n_features`` most telling features at most; the prior is the toxic share of all labelled rows of
+the learning part. Where no feature is telling in that sample, as there is little but copies, the
+copies count too and less is asked of a feature (a score of 3, not 4, standard deviations). Scoring
+looks at every word of every text.
 
 Defined cases: a null or empty text has the score of no evidence; without a confirmed toxic row
-every score is 0; ids may be null or repeat, a repeated row is scored again; label rows that are
+every score is 0; ids may be null or repeat, a repeated row is scored again, and of rows of one id
+the one of the least text teaches; very long texts are read whole, and their features' density is
+a share of all their words; label rows that are
 null or disagree count as toxic only where toxic = 1; other columns are ignored; an empty table
 gives an empty result.
 """
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import shingles
-from .textbytes import Spans, bounded_batches, byte_table, row_of, text_slices, word_spans
+from .textbytes import Spans, bounded_batches, byte_table, row_of, text_slices, word_spans, written
 
 WORDS = byte_table(lambda b: b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122)
 PREFIXES = (4, 5, 6, 7, 8)
@@ -137,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
     other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(learn).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
     # at most positives + unlabelled rows of ids are broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(yes.unionByName(other)), "doc_id")
+    picked = picked.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
 
     def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,9 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
                 least = np.r_[h, np.uint64(0)][at[:-1]]
                 yield pa.RecordBatch.from_arrays([rows.column("text"), rows.column("positive"), pa.array(np.where(np.diff(at) > 0, least, np.uint64(0)).view(np.int64))], ["text", "positive", "same"])
 
-    # a text with many copies, near ones too, teaches few times: else all of its words would look telling
-    picked = picked.select("text", "positive").mapInArrow(sketched, "text string, positive boolean, same long")
-    few = picked.groupBy("positive", "same").agg(F.min("text").alias("text")).orderBy("same", "positive").select("text", "positive")
+    # a text with many copies, near ones too, teaches few times: else all of its words would look telling;
+    # written, as several jobs read the sample
+    picked = written(picked.mapInArrow(sketched, "text string, positive boolean, same long"), "sample")
+    few = written(picked.groupBy("positive", "same").agg(F.min("text").alias("text")).orderBy("same", "positive").select("text", "positive"), "taught")
 
     def occurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
