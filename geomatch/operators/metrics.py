@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from geomatch.functions.geo import apply_homography
 from geomatch.functions.vectors import cosine
+from geomatch.sources.shared import written
 
-#: Of fit_homography: pairs of a group that models are drawn from, and pairs of a group in one task at a time.
-POOL, PART = 4096, 4096
+#: Of fit_homography: pairs of a group that models are drawn from.
+POOL = 1000
 
 
 def cumulative_hits(first_hit: DataFrame, k: int = 5) -> DataFrame:
@@ -211,51 +212,75 @@ def exact_homographies(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np
     return np.c_[h, np.ones(n)].reshape(n, 3, 3), ok & np.isfinite(h).all(1)
 
 
-def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 200, seed: int = 0) -> DataFrame:
+def ransac(src: np.ndarray, dst: np.ndarray, threshold: float, trials: int, rng: np.random.Generator, ranked: bool = False, sure: float = 0.999) -> tuple[np.ndarray | None, int, int]:
+    """(best model through 4 pairs, its inliers, trials made); of equal models the first.
+
+    With ``ranked`` pairs stand best first, and quadruples come from the first few, of which there are
+    more with every batch of trials. A model is tested on pairs in random order: it stops where
+    it can no longer win, or where a sequential test of the inlier share of the best model so far
+    against that of a wrong one says so. Trials end when the inlier share makes it sure enough that
+    one of them had inliers only.
+    """
+    n, best, found, made = len(src), 0, None, 0
+    if n < 4:
+        return None, 0, 0
+    order = rng.permutation(n)
+    while made < trials:
+        batch = min(32, trials - made)
+        among = min(n, max(8, -(-n * (made + batch) // trials))) if ranked else n
+        pick = np.argpartition(rng.random((batch, among)), min(4, among - 1), axis=1)[:, :4]
+        h, ok = exact_homographies(src[pick], dst[pick])
+        made += batch
+        alive, hits = np.flatnonzero(ok), np.zeros(batch, np.int64)
+        # shares of inliers of a right and of a wrong model; 1 in 1000 right ones may stop
+        right, wrong, limit = max(best / n, 0.1), 0.02, np.log(1000.0)
+        odds, size = np.zeros(batch), 64
+        at = 0
+        while at < n and len(alive):
+            some = order[at : at + size]
+            inside = near(h[alive], src[some], dst[some], threshold).sum(-1)
+            hits[alive] += inside
+            odds[alive] += inside * np.log(wrong / right) + (len(some) - inside) * np.log((1 - wrong) / max(1 - right, 1e-6))
+            at += len(some)
+            size *= 2
+            if at < n:
+                alive = alive[(hits[alive] + n - at > best) & (odds[alive] < limit)]
+        if len(alive) and hits[alive].max() > best:
+            k = alive[np.argmax(hits[alive])]
+            best, found = int(hits[k]), h[k]
+        if best == n or best >= 4 and made >= np.log(1 - sure) / np.log(max(1 - (best / n) ** 4, 1e-12)):
+            break
+    return found, best, made
+
+
+def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 200, seed: int = 0, quality: str | None = None) -> DataFrame:
     """(frame_id, tile, h, inliers) by seeded RANSAC; groups of under 4 pairs, or without a model, are left out.
 
-    The quadruples of a group are drawn from its POOL pairs of lowest hash. The models through them
-    meet all pairs of the group in parts of about PART pairs, and parts meet in sums only.
+    The model of a group comes from its POOL pairs of lowest hash (see ``ransac``), or with ``quality``,
+    a column of which more is better, of highest quality first. It then meets all pairs of the group
+    where they are, and only sums of its inliers meet, which give the least-squares model.
     """
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
     key = f"frame_id {kinds['frame_id']}, tile {kinds['tile']}"
     # null names are names too; joins are by text
     by = ["_f", "_t"]
     names = [F.to_json(F.struct(F.col(c).alias("k")), {"ignoreNullFields": "false"}).alias(a) for c, a in (("frame_id", "_f"), ("tile", "_t"))]
-    pairs = matches.select("frame_id", "tile", *[F.col(c).cast("double").alias(c) for c in "xyuv"], *names)
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *"xyuv"), *"xyuv")
-    pool = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= POOL).drop("_n")
+    pairs = matches.select("frame_id", "tile", *[F.col(c).cast("double").alias(c) for c in "xyuv"], *names, (F.col(quality).cast("double") if quality else F.lit(0.0)).alias("_q"))
+    drawn_by = [F.desc_nulls_last("_q"), F.xxhash64(F.lit(seed), *"xyuv"), *map(F.col, "xyuv")]
+    pool = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*drawn_by))).where(F.col("_n") <= POOL)
 
     def draw(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "u", "v"], kind="stable")
+        pdf = pdf.sort_values("_n")
         src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
-        out = pdf[["frame_id", "tile", "_f", "_t"]].head(1)
-        if len(pdf) < 4:
-            return out.head(0).assign(models=None, middle=None)
         rng = np.random.default_rng([seed, *(zlib.crc32(str(pdf[c].iloc[0]).encode()) for c in ("frame_id", "tile"))])
-        pick = np.argpartition(rng.random((trials, len(pdf))), min(4, len(pdf) - 1), axis=1)[:, :4]
-        h, ok = exact_homographies(src[pick], dst[pick])
-        h[~ok] = np.nan
-        return out.assign(models=[h.ravel().tolist()], middle=[np.r_[src.mean(0), dst.mean(0)].tolist()])
-
-    drawn = pool.groupBy(*by).applyInPandas(draw, f"{key}, _f string, _t string, models array<double>, middle array<double>").persist()
-    parts = pairs.groupBy(*by).agg(F.ceil(F.count("*") / PART).alias("_parts")).where(F.col("_parts") >= 1)
-    # pairs are dealt to the parts of their group in turn, so that equal ones part too
-    dealt = pairs.withColumn("_id", F.monotonically_increasing_id()).join(parts, by).withColumn("_part", F.pmod("_id", "_parts")).select(*by, "_part", *"xyuv")
-    sent = drawn.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).select(*by, "_part", "models")
-
-    def score(names: tuple, pdf: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        if not len(models) or not len(pdf):
-            return pd.DataFrame({"_f": [], "_t": [], "trial": [], "n": []}).astype({"_f": object, "_t": object, "trial": "int64", "n": "int64"})
-        h = np.asarray(models["models"].iloc[0], float).reshape(-1, 3, 3)
-        src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
-        n = sum(near(h, src[k : k + PART], dst[k : k + PART], threshold).sum(-1) for k in range(0, len(src), PART))
-        return pd.DataFrame({"_f": names[0], "_t": names[1], "trial": np.arange(len(h)), "n": n})
+        h, inliers, _ = ransac(src, dst, threshold, trials, rng, quality is not None)
+        out = pdf[["frame_id", "tile", "_f", "_t"]].head(1)
+        if h is None or inliers < 4:
+            return out.head(0).assign(model=None, middle=None)
+        return out.assign(model=[h.ravel().tolist()], middle=[np.r_[src.mean(0), dst.mean(0)].tolist()])
 
-    counts = dealt.groupBy(*by, "_part").cogroup(sent.groupBy(*by, "_part")).applyInPandas(score, "_f string, _t string, trial long, n long")
-    counts = counts.groupBy(*by, "trial").agg(F.sum("n").alias("n"))
-    best = counts.groupBy(*by).agg(F.max_by("trial", F.struct("n", -F.col("trial"))).alias("trial"), F.max("n").alias("n")).where("n >= 4")
-    model = drawn.join(best, by).select("frame_id", "tile", *by, F.slice("models", (F.col("trial") * 9 + 1).cast("int"), F.lit(9)).alias("model"), "middle")
+    # written, as the models meet the pairs twice
+    model = written(pool.groupBy(*by).applyInPandas(draw, f"{key}, _f string, _t string, model array<double>, middle array<double>"), "models")
 
     def moments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -311,3 +336,44 @@ def mosaic_pixels(blocks: DataFrame) -> DataFrame:
     """(x, y, value): the first value other than 0 in file-name order, 0 if there is none."""
     first = F.min(F.when(F.col("value") != 0, F.struct("file", "value")))
     return blocks.groupBy("x", "y").agg(F.coalesce(first["value"], F.lit(0)).alias("value"))
+
+
+def mosaic_blocks(tiles: DataFrame, by: Sequence[str] = ("z",), block: int = 256) -> DataFrame:
+    """(*by, block_x, block_y, data): blocks of a mosaic, row by row; each pixel is the first value other
+    than 0 in file-name order, 0 if there is none.
+
+    ``tiles`` (*by, file, off_x, off_y, width, height, data) lie in their mosaic, see ``mosaic_plan``; data
+    holds their rows. A tile is cut along the blocks' borders, so rows are as many as tiles and
+    borders, not pixels. The pieces of a block pass in order of their files, with one block in memory.
+    """
+    c = F.col
+    cells = lambda off, size: F.sequence(F.floor(c(off) / block), F.floor((c(off) + c(size) - 1) / block))
+    p = tiles.where("width > 0 and height > 0").withColumn("block_x", F.explode(cells("off_x", "width"))).withColumn("block_y", F.explode(cells("off_y", "height")))
+    # the piece inside the tile, from its first column and row to before its last
+    p = p.withColumns({"x0": F.greatest(c("block_x") * block - c("off_x"), F.lit(0)), "x1": F.least((c("block_x") + 1) * block - c("off_x"), c("width"))})
+    p = p.withColumns({"y0": F.greatest(c("block_y") * block - c("off_y"), F.lit(0)), "y1": F.least((c("block_y") + 1) * block - c("off_y"), c("height"))})
+    rows = F.transform(F.sequence(c("y0"), c("y1") - 1), lambda y: F.slice("data", (y * c("width") + c("x0") + 1).cast("int"), (c("x1") - c("x0")).cast("int")))
+    place = {"left": c("off_x") + c("x0") - c("block_x") * block, "top": c("off_y") + c("y0") - c("block_y") * block, "wide": c("x1") - c("x0")}
+    keys = [*by, "block_x", "block_y"]
+    p = p.select(*keys, "file", *[v.cast("int").alias(k) for k, v in place.items()], F.flatten(rows).alias("piece"))
+    dealt = p.repartition(*keys).sortWithinPartitions(*keys, "file").select(*keys, "left", "top", "wide", "piece")
+    schema = dealt.select(*keys, c("piece").alias("data")).schema
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        canvas = np.zeros((block, block))
+        for pdf in frames:
+            out = []
+            for *own, left, top, wide, piece in pdf.astype(object).itertuples(index=False, name=None):
+                if tuple(own) != key:
+                    if key is not None:
+                        out.append((*key, canvas.ravel()))
+                    key, canvas = tuple(own), np.zeros((block, block), np.asarray(piece).dtype)
+                piece = np.asarray(piece).reshape(-1, wide)
+                under = canvas[top : top + len(piece), left : left + wide]
+                under[under == 0] = piece[under == 0]
+            yield pd.DataFrame(out, columns=schema.names)
+        if key is not None:
+            yield pd.DataFrame([(*key, canvas.ravel())], columns=schema.names)
+
+    return dealt.mapInPandas(run, schema)

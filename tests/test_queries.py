@@ -175,11 +175,28 @@ def test_homography_of_a_large_group_is_fitted_in_parts(spark, monkeypatch):
     dst = p[:, :2] / p[:, 2:]
     dst[::3] += rng.uniform(50, 100, (300, 2))
     monkeypatch.setattr(metrics, "POOL", 100)
-    monkeypatch.setattr(metrics, "PART", 150)
     rows = spark.createDataFrame([(None, "t", *map(float, [*a, *b])) for a, b in zip(src, dst, strict=True)], "frame_id long, tile string, x double, y double, u double, v double")
     (r,) = metrics.fit_homography(rows, 3.0).collect()
     assert r.frame_id is None and r.inliers == 600 and np.allclose(np.reshape(r.h, (3, 3)), h, atol=1e-4)
-    assert "FlatMapCoGroupsInPandas" in metrics.fit_homography(rows, 3.0)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("ranked", [False, True])
+def test_trials_follow_the_share_of_inliers(ranked):
+    h = np.array([[1.1, 0.05, 3], [-0.02, 0.95, -4], [1e-4, 2e-4, 1]])
+    made = {}
+    for good in (1.0, 0.7, 0.45):
+        rng = np.random.default_rng(7)
+        src = rng.uniform(0, 200, (400, 2))
+        p = np.c_[src, np.ones(400)] @ h.T
+        dst = p[:, :2] / p[:, 2:] + rng.normal(0, 0.1, (400, 2))
+        out = 400 - int(400 * good)
+        dst[400 - out :] = rng.uniform(0, 200, (out, 2))  # the last ones, as by quality
+        model, inliers, trials = metrics.ransac(src, dst, 3.0, 2000, np.random.default_rng(1), ranked)
+        assert abs(inliers - (400 - out)) <= 0.1 * 400 and inliers == metrics.near(model, src, dst, 3.0).sum()
+        made[good] = trials
+    assert made[1.0] == 32 and made[1.0] <= made[0.7] <= made[0.45] < 2000
+    assert metrics.ransac(src[:3], dst[:3], 3.0, 100, np.random.default_rng(1))[0] is None
+    assert metrics.ransac(src[:1].repeat(9, 0), dst[:1].repeat(9, 0), 3.0, 100, np.random.default_rng(1))[0] is None
 
 
 def test_iterated_nms_finds_more(spark, small):
