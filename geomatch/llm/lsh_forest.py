@@ -202,7 +202,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links", compact=True)
+    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
