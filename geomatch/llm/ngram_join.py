@@ -35,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -101,6 +101,17 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, (EXTRA * n + 99) // 100)
 
 
+def needed(n: Column, least: Column, most: Column, percent: int) -> Column:
+    """How many prefix n-grams a set of n shares at least with any it links to of least to most n-grams."""
+
+    def at(m: Column) -> Column:
+        # two under, for what lengths are rounded up by
+        return F.floor(percent * (n + m) / (100 + percent) - (percent - EXTRA) * F.greatest(n, m) / 100) - 2
+
+    smallest, largest = F.greatest(least, F.ceil(n * percent / 100)), F.least(most, F.floor(n * 100 / percent))
+    return F.greatest(F.lit(1), F.ceil(n * EXTRA / 100), F.least(at(smallest), at(largest)))
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -242,6 +253,11 @@ def regions(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFra
     each class may leave the last of its regions, in one order of all, as long as it leaves fewer
     shared n-grams than that: the first region that two such classes share is kept by both. The
     order puts first the regions that hold large parts of few sets, so that most sets keep one.
+
+    Sets of n and m that link share o >= t (n + m) / (1 + t), so o + min(L_n - n, L_m - m) in their
+    prefixes. Over m that is least at an end of the sizes in question: those of the members of a
+    class's regions, and from t n to n / t. Classes that share much and are of about one size thus
+    need to share 10 percent more of a prefix than EXTRA, or share no region.
     """
     seeds = prefixes(docs, n, percent, heavy).groupBy("h").agg(F.min("sig").alias("region"), F.max("sig").alias("top")).where("region <> top").select("h", "region")
     seeds = written(seeds, "seeds", compact=True)
@@ -249,10 +265,13 @@ def regions(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFra
     found = prefixes(docs, n, percent, heavy, wanted).join(seeds, "h").groupBy("region", "sig").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
     found = written(found, "regions", compact=True)
     part = F.sum(F.col("shared") / F.col("n"))
-    worth = written(found.groupBy("region").agg(F.count("*").alias("size"), part.alias("part")).where("size > 1").select("region", (F.col("part") / F.col("size") / F.col("size")).alias("worth")), "worth", compact=True)
+    sizes = [F.min("n").alias("least"), F.max("n").alias("most")]
+    worth = found.groupBy("region").agg(F.count("*").alias("size"), part.alias("part"), *sizes).where("size > 1")
+    worth = written(worth.select("region", (F.col("part") / F.col("size") / F.col("size")).alias("worth"), "least", "most"), "worth", compact=True)
     rest = F.sum("shared").over(Window.partitionBy("sig").orderBy(F.desc("worth"), "region").rowsBetween(0, Window.unboundedFollowing))
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * EXTRA / 100))
-    kept = written(found.join(worth, "region").withColumn("_rest", rest).where(F.col("_rest") >= need).select("region", "sig"), "kept", compact=True)
+    every = Window.partitionBy("sig")
+    placed = found.join(worth, "region").withColumns({"_rest": rest, "_least": F.min("least").over(every), "_most": F.max("most").over(every)})
+    kept = written(placed.where(F.col("_rest") >= needed(F.col("n"), F.col("_least"), F.col("_most"), percent)).select("region", "sig"), "kept", compact=True)
     return written(kept.join(sizes_of(kept), "region"), "members", compact=True)
 
 

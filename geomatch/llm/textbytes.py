@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geomatch.sources import files
+
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _tables: dict[str, np.ndarray] = {}
+_made: list[str] = []
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -37,7 +40,25 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = "file://" + os.path.join(tempfile.gettempdir(), "geomatch-checkpoints")
     if not root:
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """How many tables this driver has written so far, for ``clear``."""
+    return len(_made)
+
+
+def last() -> tuple[str, ...]:
+    """The path of the last table written."""
+    return tuple(_made[-1:])
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables written since a mark, but for some; for when nothing reads results made from them any more."""
+    for path in [p for p in _made[since:] if p not in keep]:
+        files.delete(spark, path)
+        _made.remove(path)
 
 
 def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:

@@ -98,6 +98,18 @@ def test_very_long_texts_link(spark):
     assert got == {5: 5, 6: 5, 7: 7, 8: 8}  # 190 of 200 link; 140 of 190 do not
 
 
+def test_what_shares_much_and_links_nowhere_meets_in_no_region(spark):
+    common = [f"c{k}" for k in range(80)]
+    rows = [(i, " ".join(common + [f"o{i}x{k}" for k in range(18)])) for i in range(300)]
+    # one pair among them links
+    rows.append((900, rows[7][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert got == {i: i for i in range(300)} | {900: 7}
+    _, heavy = ngram_join.classes(docs, 5)
+    assert ngram_join.regions(docs.select("text"), 5, 75, heavy).count() <= 4
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
