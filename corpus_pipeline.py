@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from geomatch.llm import decontamination, ngram_join, packing, pii, toxicity
 from geomatch.llm.queries_models import THRESHOLD, remainder
 from geomatch.llm.queries_text import VOCABULARY, table
-from geomatch.llm.textbytes import carried, restored, written
+from geomatch.llm.textbytes import carried, clear, last, mark, restored, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage gives; a stage's own tables, and what it read, are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        clear(spark, since, keep=last())
     return docs
