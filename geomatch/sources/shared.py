@@ -9,6 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geomatch.sources import files
+
+_made: list[str] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; below the machine's own folder only if there is one machine."""
@@ -17,7 +21,14 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = "file://" + os.path.join(tempfile.gettempdir(), "geomatch-shared")
     if not root:
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this driver has written so far, once nothing reads results made from them any more."""
+    while _made:
+        files.delete(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
