@@ -725,13 +725,13 @@ def k8_bias_correct(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The same fold of samples less both biases.
-REFOLD_SQL = FOLD_SQL.replace("from in_window window w", "from (select stream_id, window_id, ts_ns, " + ", ".join(f"{c} - 0.001::double as {c}" for c in ("a_x", "a_y", "a_z", "w_x", "w_y", "w_z")) + " from in_window) window w")
+REFOLD_SQL = FOLD_SQL.replace("from in_window window w", "from (select stream_id, window_id, ts_ns, " + ", ".join(f"{c} - 0.0012345::double as {c}" for c in ("a_x", "a_y", "a_z", "w_x", "w_y", "w_z")) + " from in_window) window w")
 
 
 @query(REFOLD_SQL + " select stream_id, window_id, " + ", ".join(f"round({c}, 5) + 0::double as {c}" for c in ("p0", "p1", "p2", "v0", "v1", "v2")) + " from o")
 def k8_bias_refold(spark: SparkSession, d: str) -> DataFrame:
     """Corrected to first order, as folding the samples anew gives it to five places."""
-    small = F.array(*[F.lit(0.001)] * 3)
+    small = F.array(*[F.lit(0.0012345)] * 3)
     f = inertial.bias_correct(folds(spark, d), small, small)
     return f.select("stream_id", "window_id", *[(F.round(F.col(f"{v}_corrected")[i], 5) + 0.0).alias(f"{v}{i}") for v in ("p", "v") for i in range(3)])
 
