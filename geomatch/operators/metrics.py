@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,7 +165,7 @@ def count_inliers(matches: DataFrame, threshold: float = 10.0) -> DataFrame:
 def solve_homography(m: np.ndarray) -> np.ndarray | None:
     """Least squares of the linear equations of point pairs, coordinates centred and scaled first.
 
-    ``m`` is the sum over the pairs of the products of all two of their ``monomials``.
+    ``m`` is the sum over the pairs of the products of all two of their monomials, x, y and 1 times u, v and 1.
     """
 
     def scaled(first: int, second: int) -> np.ndarray:
@@ -186,10 +187,22 @@ def solve_homography(m: np.ndarray) -> np.ndarray | None:
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
-def monomials(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """x, y and 1 times u, v and 1 of each pair."""
-    one = np.ones((len(src), 1))
-    return (np.hstack([src, one])[:, :, None] * np.hstack([dst, one])[:, None, :]).reshape(len(src), 9)
+def moment_sums(x: Column, y: Column, u: Column, v: Column, of: Column) -> list[Column]:
+    """Over the pairs that ``of`` is true for: sums of the products of x, y and 1 in twos times 1, u, uu, v and vv."""
+    one = F.lit(1.0)
+    return [F.sum(F.when(of, a * b * c)) for c in (one, u, u * u, v, v * v) for a, b in ((x, x), (x, y), (x, one), (y, y), (y, one), (one, one))]
+
+
+def moment_matrix(sums: np.ndarray) -> np.ndarray:
+    """The matrix that ``solve_homography`` takes, from ``moment_sums``; products of u and v, which it does not need, are 0."""
+    m = np.zeros((3, 3, 3, 3))  # of x, y, 1 and u, v, 1, twice
+    upper = np.triu_indices(3)
+    for (j, l), part in zip(((2, 2), (0, 2), (0, 0), (1, 2), (1, 1)), sums.reshape(5, 6), strict=True):
+        square = np.zeros((3, 3))
+        square[upper] = part
+        square.T[upper] = part
+        m[:, j, :, l] = m[:, l, :, j] = square
+    return m.reshape(9, 9)
 
 
 def near(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray:
@@ -258,63 +271,61 @@ def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 20
 
     The model of a group comes from its POOL pairs of lowest hash (see ``ransac``), or with ``quality``,
     a column of which more is better, of highest quality first. It then meets all pairs of the group
-    where they are, and only sums of its inliers meet, which give the least-squares model.
+    where they are, and only sums of its inliers meet, which give the least-squares model. Pairs with
+    a null or non-finite coordinate count for nothing.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
-    key = f"frame_id {kinds['frame_id']}, tile {kinds['tile']}"
     # null names are names too; joins are by text
-    by = ["_f", "_t"]
-    names = [F.to_json(F.struct(F.col(c).alias("k")), {"ignoreNullFields": "false"}).alias(a) for c, a in (("frame_id", "_f"), ("tile", "_t"))]
-    pairs = matches.select("frame_id", "tile", *[F.col(c).cast("double").alias(c) for c in "xyuv"], *names, (F.col(quality).cast("double") if quality else F.lit(0.0)).alias("_q"))
+    by, own = ["_f", "_t"], ["frame_id", "tile"]
+    names = [F.to_json(F.struct(F.col(c).alias("k")), {"ignoreNullFields": "false"}).alias(a) for c, a in zip(own, by, strict=True)]
+    pairs = matches.select(*own, *[F.col(c).cast("double").alias(c) for c in "xyuv"], *names, (F.col(quality).cast("double") if quality else F.lit(0.0)).alias("_q"))
+    pairs = pairs.where(" and ".join(f"abs({c}) < double('infinity')" for c in "xyuv"))
     drawn_by = [F.desc_nulls_last("_q"), F.xxhash64(F.lit(seed), *"xyuv"), *map(F.col, "xyuv")]
     pool = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*drawn_by))).where(F.col("_n") <= POOL)
-
-    def draw(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n")
-        src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
-        rng = np.random.default_rng([seed, *(zlib.crc32(str(pdf[c].iloc[0]).encode()) for c in ("frame_id", "tile"))])
-        h, inliers, _ = ransac(src, dst, threshold, trials, rng, quality is not None)
-        out = pdf[["frame_id", "tile", "_f", "_t"]].head(1)
-        if h is None or inliers < 4:
-            return out.head(0).assign(model=None, middle=None)
-        return out.assign(model=[h.ravel().tolist()], middle=[np.r_[src.mean(0), dst.mean(0)].tolist()])
-
-    # written, as the models meet the pairs twice
-    model = written(pool.groupBy(*by).applyInPandas(draw, f"{key}, _f string, _t string, model array<double>, middle array<double>"), "models")
-
-    def moments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for names, g in pdf.groupby(by, sort=False):
-                h, mid = np.asarray(g["model"].iloc[0], float).reshape(3, 3), np.asarray(g["middle"].iloc[0], float)
-                src, dst = g[["x", "y"]].to_numpy(float), g[["u", "v"]].to_numpy(float)
-                of = near(h, src, dst, threshold)
-                a = monomials(src[of] - mid[:2], dst[of] - mid[2:])
-                rows.append((*names, *(a.T @ a).ravel()))
-            yield pd.DataFrame(rows, columns=[*by, *[f"m{k}" for k in range(81)]])
-
-    met = pairs.select(*by, *"xyuv").join(model.select(*by, "model", "middle"), by)
-    sums = met.mapInPandas(moments, "_f string, _t string, " + ", ".join(f"m{k} double" for k in range(81))).groupBy(*by).agg(F.array(*[F.sum(f"m{k}") for k in range(81)]).alias("m"))
-
-    def solve(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            hs = []
-            for m, mid in zip(pdf["m"], pdf["middle"], strict=True):
-                h = solve_homography(np.asarray(m, float).reshape(9, 9))
+    # one row a group, of POOL pairs at most; its pairs are where the window has them
+    pool = pool.groupBy(*by).agg(*[F.any_value(c).alias(c) for c in own], F.array_sort(F.collect_list(F.struct("_n", *"xyuv"))).alias("_p"))
+    pool = pool.where(F.size("_p") >= 4).select(*own, *by, *[F.col("_p")[c].alias(c) for c in "xyuv"])
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which, models, middles = [], [], []
+            for i in range(b.num_rows):
+                x, y, u, v = (b.column(c)[i].values.to_numpy() for c in "xyuv")
+                src, dst = np.c_[x, y], np.c_[u, v]
+                rng = np.random.default_rng([seed, *(zlib.crc32(b.column(c)[i].as_py().encode()) for c in by)])
+                h, inliers, _ = ransac(src, dst, threshold, trials, rng, quality is not None)
+                if h is not None and inliers >= 4:
+                    which.append(i)
+                    models.append(h.ravel().tolist())
+                    middles.append(np.r_[src.mean(0), dst.mean(0)].tolist())
+            some = b.select([*own, *by]).take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(x, pa.list_(pa.float64())) for x in (models, middles))], [*own, *by, "h", "middle"])
+
+    no = F.array().cast("array<double>")
+    # written, as drawing is dear and the next join asks for its size
+    model = written(pool.mapInArrow(draw, pool.select(*own, *by, no.alias("h"), no.alias("middle")).schema), "models")
+
+    def hit(h: Column) -> Column:
+        w = h[6] * F.col("x") + h[7] * F.col("y") + h[8]
+        off = [F.try_divide(h[k] * F.col("x") + h[k + 1] * F.col("y") + h[k + 2], w) - F.col(c) for k, c in ((0, "u"), (3, "v"))]
+        return F.coalesce(F.hypot(*off) < threshold, F.lit(False))
+
+    places = pairs.select(*by, *"xyuv")
+    centred = [F.col(c) - F.col("middle")[k] for k, c in enumerate("xyuv")]
+    sums = places.join(model, by).groupBy(*by).agg(*[F.any_value(c).alias(c) for c in (*own, "middle")], F.array(*moment_sums(*centred, hit(F.col("h")))).alias("m"))
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs: list[list[float] | None] = []
+            for m, (x, y, u, v) in zip(b.column("m").to_pylist(), b.column("middle").to_pylist(), strict=True):
+                h = None if None in m else solve_homography(moment_matrix(np.array(m)))
                 if h is not None:
-                    x, y, u, v = mid
                     h = np.array([[1, 0, u], [0, 1, v], [0, 0, 1]]) @ h @ np.array([[1, 0, -x], [0, 1, -y], [0, 0, 1]])
                     h = h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
                 hs.append(None if h is None else h.ravel().tolist())
-            yield pdf[["frame_id", "tile", *by]].assign(h=hs)
-
-    solved = model.join(sums, by).select("frame_id", "tile", *by, "m", "middle").mapInPandas(solve, f"{key}, _f string, _t string, h array<double>").where("h is not null")
-    at = lambda k: F.get("h", F.lit(k))
-    w = at(6) * F.col("x") + at(7) * F.col("y") + at(8)
-    off = [F.try_divide(at(k) * F.col("x") + at(k + 1) * F.col("y") + at(k + 2), w) - F.col(c) for k, c in ((0, "u"), (3, "v"))]
-    hit = F.coalesce(F.hypot(*off) < threshold, F.lit(False))
-    inliers = pairs.select(*by, *"xyuv").join(solved.select(*by, "h"), by).groupBy(*by).agg(F.count_if(hit).alias("inliers"))
-    return solved.join(inliers, by).select("frame_id", "tile", "h", "inliers")
+            yield pa.RecordBatch.from_arrays([*b.select([*own, *by]).columns, pa.array(hs, pa.list_(pa.float64()))], [*own, *by, "h"])
+
+    solved = sums.mapInArrow(solve, sums.select(*own, *by, no.alias("h")).schema).where("h is not null")
+    return places.join(solved, by).groupBy(*by).agg(*[F.any_value(c).alias(c) for c in (*own, "h")], F.count_if(hit(F.col("h"))).alias("inliers")).select(*own, "h", "inliers")
 
 
 def epoch_summary(steps: DataFrame) -> DataFrame:

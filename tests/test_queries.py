@@ -180,6 +180,33 @@ def test_homography_of_a_large_group_is_fitted_in_parts(spark, monkeypatch):
     assert r.frame_id is None and r.inliers == 600 and np.allclose(np.reshape(r.h, (3, 3)), h, atol=1e-4)
 
 
+def test_homographies_leave_out_pairs_without_a_place(spark):
+    rng = np.random.default_rng(2)
+    src = rng.uniform(0, 200, (30, 2))
+    rows = [(k % 2 or None, None, *map(float, [*a, *(a * 1.5 + 7)])) for k, a in enumerate(src)]
+    rows += [(1, None, bad, 0.0, 0.0, 0.0) for bad in (None, float("nan"), float("inf"))]
+    rows += [(9, "line", float(k), float(k), float(k), float(k)) for k in range(9)] + [(8, "same", 1.0, 1.0, 1.0, 1.0)] * 9
+    df = spark.createDataFrame(rows, "frame_id long, tile string, x double, y double, u double, v double")
+    got = {(r.frame_id, r.tile): r for r in metrics.fit_homography(df, 3.0).collect()}
+    assert set(got) == {(None, None), (1, None)}
+    for r in got.values():
+        assert r.inliers == 15 and np.allclose(np.reshape(r.h, (3, 3)), [[1.5, 0, 7], [0, 1.5, 7], [0, 0, 1]], atol=1e-6)
+    assert metrics.fit_homography(df.limit(0)).count() == 0
+
+
+def test_sums_of_moments_equal_those_of_the_pairs(spark):
+    rng = np.random.default_rng(3)
+    p = rng.uniform(-5, 5, (20, 4))
+    df = spark.createDataFrame(p.tolist(), "x double, y double, u double, v double")
+    (r,) = df.agg(F.array(*metrics.moment_sums(*map(F.col, "xyuv"), F.col("x") > 0)).alias("m")).collect()
+    p = p[p[:, 0] > 0]
+    one = np.ones((len(p), 1))
+    a = (np.hstack([p[:, :2], one])[:, :, None] * np.hstack([p[:, 2:], one])[:, None, :]).reshape(len(p), 9)
+    want, got = a.T @ a, metrics.moment_matrix(np.array(r.m))
+    needed = [(i, k) for i in range(9) for k in range(9) if {i % 3, k % 3} != {0, 1}]
+    assert all(abs(want[i, k] - got[i, k]) < 1e-8 for i, k in needed)
+
+
 @pytest.mark.parametrize("ranked", [False, True])
 def test_trials_follow_the_share_of_inliers(ranked):
     h = np.array([[1.1, 0.05, 3], [-0.02, 0.95, -4], [1e-4, 2e-4, 1]])
