@@ -6,11 +6,14 @@ holds it. Tokens with equal vectors form a class; a class that is on most of the
 whose paths nest under one another is valid, and the valid classes, nested by path, are the host's
 template. A block of text that is on the very pages of a class of template elements, at least
 ``TEXT_PAGES`` different ones (a few alike may be copies), is template text of that class. What lies
-between template tokens are slots: extracted are, in the order of the page, all blocks outside side
-matter that are no template text, wherever they stand, and headings of template text right before
-one of them. A page of template text alone keeps it. The
-main element of the template serves pages that have no text outside elements named as side matter:
-an article or main is then read whatever its name.
+between template tokens are slots. Where the template has one article or main on each of its pages,
+that is the slot of the text, and the other slots of the elements around it, which are boxes
+(``BOXES``) of a steady count on their pages, go whatever their names and words: menus, adverts and
+comments in any language. A box stays where it holds a title, an article or a main. Extracted are, in the order of the page,
+all other blocks outside side matter that are no template text, and headings of template text right
+before one of them. A page of template text alone keeps it. The main element of the template serves
+pages that have no text outside elements named as side matter: an article or main is then read
+whatever its name.
 
 Side matter is known by tags and roles, and by classes and ids of which one word, parted by white
 space, is made of ``SIDE_WORDS`` and ``PLACES`` alone; inside an article or main only ``ASIDE_WORDS``
@@ -69,6 +72,7 @@ SIDE_WORDS = ASIDE_WORDS | frozenset("promotion banner notice notices notificati
 PLACES = frozenset("area bar block bottom box btn button buttons container form global group inner item items left link links list main outer page panel post posts primary right row secondary section site slot thread top wrap wrapper".split())
 WITHIN_PAGE = frozenset(["header"])
 ARTICLES = frozenset(["article", "main"])
+BOXES = frozenset("div section ul ol dl table details center".split())
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -119,21 +123,23 @@ def is_side(tag: str, attrs: dict[str, str], inside: bool = False) -> bool:
 class Node:
     """An element: what it inherits from the one above is settled when it opens."""
 
-    __slots__ = ("tag", "path", "depth", "side", "length", "up", "block", "article", "linked", "within")
+    __slots__ = ("tag", "path", "depth", "side", "length", "up", "block", "article", "linked", "within", "slot")
 
-    def __init__(self, tag: str, path: str, up: Node | None, side: bool = False, within: bool = False):
+    def __init__(self, tag: str, path: str, up: Node | None, side: bool = False, within: bool = False, slots: Set[str] = frozenset()):
         self.tag, self.path, self.side, self.length, self.up, self.within = tag, path, side, 0, up, within
         self.depth = up.depth + 1 if up else 0
         self.block = path if tag in BLOCK or not up else up.block
         self.article = (up.article if up else None) or (self if tag in ARTICLES else None)
         self.linked = tag == "a" or bool(up and up.linked)
+        self.slot = (up.slot if up else None) or (path if path in slots else None)
 
 
 class Block(NamedTuple):
-    """A block of text, and the path of its block element."""
+    """A block of text, the path of its block element, and that of the slot beside the main one that it stands in."""
 
     text: str
     path: str
+    slot: str | None = None
 
     def is_heading(self) -> bool:
         return re.match(r"h[1-6]\b", self.path.rpartition("/")[2]) is not None
@@ -168,7 +174,7 @@ class Stack:
                 self.fences.pop()
 
 
-def walk(page: str, main_path: str | None = None) -> tuple[list[Node], list[Block]]:
+def walk(page: str, main_path: str | None = None, slots: Set[str] = frozenset()) -> tuple[list[Node], list[Block]]:
     """All elements of a page, and its blocks of text outside side matter; an element whose path is
     ``main_path`` is not side matter, whatever its name, and then only blocks inside it are given."""
     root = Node("", "", None)
@@ -178,7 +184,7 @@ def walk(page: str, main_path: str | None = None) -> tuple[list[Node], list[Bloc
     def flush() -> None:
         text = " ".join(entities.unescape("".join(words)).split()) if words else ""
         if text:
-            blocks.append(Block(text, at.block))
+            blocks.append(Block(text, at.block, at.slot))
         words.clear()
 
     for kind, tag, what in events(page):
@@ -207,7 +213,7 @@ def walk(page: str, main_path: str | None = None) -> tuple[list[Node], list[Bloc
             path = f"{short(up.path)}/{tag}{'.' + first[0] if first else ''}"
             main = path == main_path and not up.within
             side = not main and (up.side or (tag not in ("html", "body") and is_side(tag, what, up.article is not None)) or (tag in WITHIN_PAGE and not up.article))
-            node = Node(tag, path, up, side, up.within or main)
+            node = Node(tag, path, up, side, up.within or main, slots)
             nodes.append(node)
             stack.push(node)
         else:
@@ -250,14 +256,15 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 def deduced(pages: DataFrame, support: float = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """Tokens of elements that are frequent on their host, and of each host main, the path of the
-    main slot, and texts, the text tokens of the template."""
+    main slot, texts, the text tokens of the template, anchor, the article or main that every page has
+    once, and slots, the paths of the slots beside it."""
     h, on = F.xxhash64("page", "n"), F.xxhash64("page", F.lit(1).cast("long"))
     low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     # sums of 32 bits each stay in a long; partial sums are made before the shuffle. v is the vector of
     # counts, p that of presence; bits set by pages never say more pages than there are different ones
     bit = lambda k: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(on, k).bitwiseAND(F.lit(63)).cast("int")))
     sums = [F.sum(F.shiftrightunsigned(h, 32)).alias("v1"), F.sum(low(h)).alias("v2"), F.sum(F.shiftrightunsigned(on, 32)).alias("p1"), F.sum(low(on)).alias("p2")]
-    t = tokens(pages).groupBy("host", "path", "key").agg(F.count("*").alias("pages"), *sums, F.sum("chars").alias("chars"), F.max("side").alias("side"), F.max("depth").alias("depth"), F.max("tag").alias("tag"), *[bit(k).alias(f"b{k}") for k in (0, 6, 12)])
+    t = tokens(pages).groupBy("host", "path", "key").agg(F.count("*").alias("pages"), *sums, F.sum("chars").alias("chars"), F.max("side").alias("side"), F.max("depth").alias("depth"), F.max("tag").alias("tag"), F.min("n").alias("fewest"), F.max("n").alias("most"), *[bit(k).alias(f"b{k}") for k in (0, 6, 12)])
     different = F.greatest(*[F.bit_count(f"b{k}") for k in (0, 6, 12)])
     # what is on one page only is no template; the rest is written, so that pages are read once
     t = written(t.where("pages >= 2").withColumn("different", different).drop("b0", "b6", "b12"), "tokens", compact=True)
@@ -271,7 +278,15 @@ def deduced(pages: DataFrame, support: float = SUPPORT) -> tuple[DataFrame, Data
     # an article or main, else the innermost element that holds all text outside links
     rank = F.struct(F.col("tag") == "article", F.col("tag") == "main", "chars", "depth", "path")
     mains = frequent.groupBy("host").agg(F.max_by("path", F.when(~F.col("side") & (F.col("chars") > 0), rank)).alias("main"))
-    return frequent, mains.join(texts, "host", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<long>")))
+    found = mains.join(texts, "host", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<long>")))
+    # the outermost one that is once on each of its pages, as its vector of counts is that of presence
+    once = F.col("tag").isin(*ARTICLES) & (F.col("v1") == F.col("p1")) & (F.col("v2") == F.col("p2")) & ~F.col("side") & (F.col("chars") > 0)
+    anchors = frequent.where(once).groupBy("host").agg(F.min_by("path", F.struct("depth", -F.col("chars"), "path")).alias("anchor"))
+    boxes = frequent.where(F.col("tag").isin(*BOXES) & (F.col("fewest") == F.col("most"))).join(anchors, "host")
+    # beside it: inside an element around the anchor, but not around it
+    beside = F.startswith("anchor", F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"))) & ~F.startswith("anchor", F.concat("path", F.lit("/")))
+    slots = boxes.where(beside).groupBy("host").agg(F.max("anchor").alias("anchor"), F.sort_array(F.collect_list("path")).alias("slots"))
+    return frequent, found.join(slots, "host", "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -288,10 +303,14 @@ def text_key(block: Block) -> int:
     return int.from_bytes(hashlib.blake2b(f"{block.path}\0{block.text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def text_of(page: str | None, main: str | None, texts: Set[int] = frozenset()) -> str:
-    """The blocks of a page but for template text (``texts``, as text_key)."""
+def text_of(page: str | None, main: str | None, texts: Set[int] = frozenset(), anchor: str | None = None, slots: Set[str] = frozenset()) -> str:
+    """The blocks of a page but for template text (``texts``, as text_key), and on a page with the
+    ``anchor`` but for those of ``slots``."""
     page = page or ""
-    nodes, blocks = walk(page)
+    nodes, blocks = walk(page, slots=slots)
+    if slots and any(x.path == anchor and x.length for x in nodes):
+        stay = {x.slot for x in nodes if x.tag == "h1" or x.tag in ARTICLES}
+        blocks = [x for x in blocks if x.slot is None or x.slot in stay]
     if not blocks:  # an article or main may itself have the name of side matter
         own = [x.path for x in nodes if x.tag in ARTICLES]
         if own:
@@ -312,17 +331,18 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     # one row a host: broadcast if its size, taken first, allows; else pages are shuffled, and Spark splits hot hosts
     hosts = written(deduced(pages, support)[1], "templates", compact=True)
-    size = hosts.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("main"), F.lit(0)) + 8 * F.size("texts") + 64), F.lit(0))).first()[0]
-    joined = own.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left").select("page_id", "url", "html", "host", "main", "texts")
+    size = hosts.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("main"), F.lit(0)) + 8 * F.size("texts") + F.length(F.concat_ws(" ", "slots")) + F.length(F.coalesce("anchor", F.lit(""))) + 64), F.lit(0))).first()[0]
+    joined = own.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left").select("page_id", "url", "html", "host", "main", "texts", "anchor", "slots")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[str, frozenset[int]] = {}
+            known: dict[str, tuple] = {}
             out: list[str] = []
-            for i, (host, page, main) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("main").to_pylist(), strict=True)):
+            for i, (host, page) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)):
                 if host not in known:
-                    known[host] = frozenset(b.column("texts")[i].as_py() or ())
-                out.append(text_of(page, main, known[host]))
+                    main, texts, anchor, slots = (b.column(c)[i].as_py() for c in ("main", "texts", "anchor", "slots"))
+                    known[host] = main, frozenset(texts or ()), anchor, frozenset(slots or ())
+                out.append(text_of(page, *known[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(np.fromiter(map(len, out), np.int64, len(out)))], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

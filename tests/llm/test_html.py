@@ -132,3 +132,67 @@ def test_deep_and_long_pages_take_time_in_proportion():
     tracemalloc.stop()
     assert len(h.text_of("<article>" + "<p>some words &amp; more\n" * 500_000, None)) > 9_000_000
     assert time.time() - began < 60
+
+
+def test_slots_beside_the_main_one_go_in_any_language(spark):
+    box = "<div class={}><p>{} {k}</p><p>mehr {k}</p></div>"
+    rows, want = [], {}
+    for k in range(6):
+        parts = {name: box.format(name, name, k=k) for name in ("werbung", "kommentare", "fusszeile", "inhalt")}
+        rows.append((k, "https://zeitung.example/", f"<html><body>{parts['werbung']}<div class=seite><div class=titel><h1>Titel {k}</h1></div><article><p>Anfang {k}</p>{parts['inhalt']}<p>Ende {k}</p></article><p>Nachsatz {k}</p>{parts['kommentare']}</div>{parts['fusszeile']}</body></html>"))
+        want[k] = f"Titel {k}\n\nAnfang {k}\n\ninhalt {k}\n\nmehr {k}\n\nEnde {k}\n\nNachsatz {k}"
+        # no article: nothing tells the boxes from the text; two of them: what lies between stays
+        rows.append((10 + k, "https://ohne.example/", f"<html><body>{parts['werbung']}{parts['inhalt']}</body></html>"))
+        want[10 + k] = f"werbung {k}\n\nmehr {k}\n\ninhalt {k}\n\nmehr {k}"
+        rows.append((20 + k, "https://zwei.example/", f"<html><body><article><p>Eins {k}</p></article>{parts['inhalt']}<article><p>Zwei {k}</p></article></body></html>"))
+        want[20 + k] = f"Eins {k}\n\ninhalt {k}\n\nmehr {k}\n\nZwei {k}"
+    # a page of the host without the article, and one whose box holds an article of its own
+    rows.append((30, "https://zeitung.example/", f"<html><body>{box.format('werbung', 'Preise', k=1)}</body></html>"))
+    want[30] = "Preise 1\n\nmehr 1"
+    rows.append((31, "https://zeitung.example/", "<html><body><div class=werbung><article><p>Eigenes</p></article></div><div class=seite><article><p>Text</p></article></div></body></html>"))
+    want[31] = "Eigenes\n\nText"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in h.extract(df).collect()} == want
+
+
+def test_slots_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    names = ["aa", "bb", "cc", "dd"]
+
+    def tree(depth, k):
+        tags = [(rng.choice(["div", "section", "ul"]), rng.choice(names)) for _ in range(rng.randint(1, 3))]
+        return "".join(f"<{t} class={c}><p>w{k}</p>{tree(depth - 1, k) if depth else ''}</{t}>" for t, c in tags for _ in range(rng.choice([1, 1, 1, 2])))
+
+    rows = []
+    for site in range(12):
+        frame = [tree(1, "x") for _ in range(3)]
+        for k in range(5):
+            own = [x if rng.random() < 0.8 else tree(0, k) for x in frame]
+            rows.append((len(rows), f"https://s{site}.example/{k}", f"<html><body>{own[0]}<div class=mid>{own[1]}<article><p>text {site} {k}</p></article>{'<article><p>more</p></article>' if site % 5 == 4 else ''}{own[2]}</div></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: (r.anchor, r.slots) for r in h.deduced(df)[1].collect()}
+    for site in range(12):
+        counts, tag = {}, {}
+        pages = [r[2] for r in rows if r[1].startswith(f"https://s{site}.example/")]
+        for k, p in enumerate(pages):
+            for x in h.walk(p)[0]:
+                counts.setdefault(x.path, [0] * len(pages))[k] += 1
+                tag[x.path] = x.tag
+        often = {p: [n for n in v if n] for p, v in counts.items() if sum(n > 0 for n in v) >= max(2, len(pages) / 2)}
+        main = "/html/body/div.mid/article"
+        around = {"/html", "/html/body", "/html/body/div.mid"}
+        slots = sorted(p for p, v in often.items() if tag[p] in h.BOXES and len(set(v)) == 1 and p not in around and p.rpartition("/")[0] in around)
+        one = often.get(main) and set(often[main]) == {1}
+        assert got[f"s{site}.example"] == ((main, slots) if one and slots else (None, [])), site
+
+
+def test_template_tells_side_matter_of_the_given_pages_without_names(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    named = {r.page_id: r.text for r in h.extract(pages).collect()}
+    hosts = {r.host: r for r in h.deduced(pages)[1].collect() if r.slots}
+    monkeypatch.setattr(h, "SIDE_WORDS", frozenset())
+    monkeypatch.setattr(h, "ASIDE_WORDS", frozenset())
+    seen = [(h.text_of(r.html, t.main), h.text_of(r.html, t.main, frozenset(t.texts), t.anchor, frozenset(t.slots)), named[r.page_id]) for r in pages.withColumn("host", h.host_of(pages["url"])).collect() if (t := hosts.get(r.host))]
+    assert len(seen) > 200 and all(plain != want and by_template == want for plain, by_template, want in seen)
