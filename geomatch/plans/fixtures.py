@@ -136,3 +136,40 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     point = F.struct((20 + F.col("event_id") % 30).alias("inliers"), zero.alias("pixel_x"), zero.alias("pixel_y"), F.col("p.x").alias("ecef_x"), F.col("p.y").alias("ecef_y"), F.col("p.z").alias("ecef_z"), "lat", "lon", F.lit(0.0).alias("yaw")).cast(POINT)
     error = F.col("event_type") == "error"
     return e.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.when(error, "error").otherwise("ok").alias("status"), F.when(error, F.array().cast(f"array<{POINT}>")).otherwise(F.array(point)).alias("points"))
+
+
+def lone_frames(spark: SparkSession, d: str) -> DataFrame:
+    """``frames`` with one thing to follow: sign-ups see nothing, errors fail, every other event sees
+    it k % 10 m further east than the last one did."""
+    w = Window.partitionBy("session_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    from geomatch.functions.geo import geodetic_to_ecef
+    from geomatch.streaming.tracker import POINT
+
+    sees = ~F.col("event_type").isin("error", "signup")
+    step = F.when(sees, F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) % 10).otherwise(0)
+    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "event_type", step.alias("step"))
+    e = e.withColumn("lon", 114.6 + F.sum("step").over(w) / (111000 * F.cos(F.radians(F.lit(37.9))))).withColumn("p", geodetic_to_ecef(F.lit(37.9), F.col("lon"), F.lit(0.0)))
+    zero = F.lit(0).cast("long")
+    point = F.struct((20 + F.col("seq") % 30).alias("inliers"), zero.alias("pixel_x"), zero.alias("pixel_y"), F.col("p.x").alias("ecef_x"), F.col("p.y").alias("ecef_y"), F.col("p.z").alias("ecef_z"), F.lit(37.9).alias("lat"), "lon", F.lit(0.0).alias("yaw")).cast(POINT)
+    status = F.when(F.col("event_type") == "error", "error").otherwise("ok")
+    return e.select("session_id", "ts", "seq", status.alias("status"), F.when(sees, F.array(point)).otherwise(F.array().cast(f"array<{POINT}>")).alias("points"))
+
+
+#: Frames of ``lone_frames`` with the state of their session's only track: 0 none, 1 initializing, 2
+#: tracking, 3 lost. Steps are whole metres, so that a step of 0 hovers and two metres are far enough.
+LONE_SQL = """recursive o as (
+    select *, row_number() over (partition by user_id order by ts, event_id) as n, sum(step) over (partition by user_id order by ts, event_id rows unbounded preceding) as east from (
+        select user_id, ts, event_id, case event_type when 'error' then 'error' when 'signup' then 'none' else 'seen' end as kind,
+            case when event_type in ('error', 'signup') then 0 else coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) % 10 end as step from events)),
+    f as (
+        select distinct user_id, cast(0 as bigint) as n, 0 as state, 0 as health, 0 as hits, 0 as failures, cast(0 as bigint) as span from o
+        union all
+        select o.user_id, o.n,
+            case when kind = 'error' or kind = 'none' and state = 0 then state when kind = 'none' then case when state = 2 then 3 when state = 1 or failures >= 5 or health <= 3 then 0 else state end
+                when state = 0 then 1 when state = 3 or state = 1 and hits >= 2 then 2 else state end,
+            case when kind = 'error' then health when kind = 'none' then health - 3 when state = 0 then 15 else least(health + 1, 20) end,
+            case when kind = 'error' then hits when kind = 'none' then 0 when state = 0 then 1 else hits + 1 end,
+            case when kind = 'error' then failures when kind = 'none' then failures + 1 else 0 end,
+            cast(case when kind = 'seen' and state = 0 then 0 else span + step end as bigint)
+        from f join o on o.user_id = f.user_id and o.n = f.n + 1),
+    told as (select o.*, f.state, case when kind = 'error' then 'error' when state = 2 and span >= 2 then 'location' else 'uncertain' end as status from f join o using (user_id, n))"""

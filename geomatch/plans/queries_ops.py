@@ -654,6 +654,19 @@ def k3_track(spark: SparkSession, d: str) -> DataFrame:
     return tracker.track(fx.frames(spark, d))
 
 
+@query(f"""with {fx.LONE_SQL}
+    select user_id as session_id, event_id as seq, status, case when status = 'error' then 'No tile with enough matches' when state = 0 then 'No active trajectories available in estimator'
+        when state in (1, 3) then 'No trajectories in Tracking state (Initializing: ' || cast(2 - (state + 1) // 2 as varchar) || ', Lost: ' || cast(state // 3 as varchar) || ')'
+        when status = 'uncertain' then 'Insufficient spatial span: max current span is , required ' end as reason,
+        case when status = 'location' then round(114.6 + east / (111000 * cos(radians(37.9))), 8) end as lon, cast(least(state, 1) as integer) as tracks,
+        case when last_value(case status when 'error' then 'retrieve' when 'location' then 'crop' end ignore nulls) over (partition by user_id order by n rows between unbounded preceding and 1 preceding) = 'crop' then 'crop' else 'retrieve' end as mode
+    from told""")
+def k4_lone_track(spark: SparkSession, d: str) -> DataFrame:
+    """States, health, reasons, bypass of failed frames and modes, where each session has one thing to follow."""
+    out = tracker.track(fx.lone_frames(spark, d), feedback=True)
+    return out.select("session_id", "seq", "status", F.regexp_replace("reason", r"[0-9.]+m", "").alias("reason"), F.round("lon", 8).alias("lon"), F.col("tracks").cast("int").alias("tracks"), "mode")
+
+
 @query()
 def k5_track_with_feedback(spark: SparkSession, d: str) -> DataFrame:
     return tracker.track(fx.frames(spark, d), feedback=True)
