@@ -350,6 +350,37 @@ def s11_calibration_manifest(spark: SparkSession, d: str) -> DataFrame:
     return io.calibration_manifest(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), (F.col("o_orderkey") % 700).alias("x"), (F.col("o_custkey") % 500).alias("y")))
 
 
+@query("""select 'f' || cast(user_id as varchar) as file, arg_max(value, event_id) as lat, cast(arg_max(event_id, event_id) as double) as lon, 1.5::double as alt, 0.0::double as yaw, -1.0::double as pitch, 1000.0::double as roll
+    from events where event_id % 13 <> 0 group by user_id""")
+def s4_flight_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as flight files in their order: padded names, every thirteenth row with a bad number."""
+    e = fx.table(spark, d, "events").orderBy("event_id")
+    rows = e.select(F.concat(F.lit(" f"), "user_id", F.lit(" ")).alias("file"), F.col("value").cast("string").alias("lat"), F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("lon"), F.lit(" 1.5 ").alias("alt"), F.lit("0").alias("yaw"), F.lit("-1").alias("pitch"), F.lit("1e3").alias("roll"))
+    path = scratch(spark, "flights")
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return io.read_flight_csv(spark, path)
+
+
+@query("""select 's' as stream_id, event_id * 1000 as ts_ns, event_id % 7 / 4.0::double as w_x, 0.5::double as w_y, -0.25::double as w_z, event_id % 3 / 2.0::double as a_x, 0.0::double as a_y, 9.75::double as a_z from events""")
+def s5_imu_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as sensor rows and read under the strict schema; numbers that single precision holds."""
+    numbers = {"w_x": F.col("event_id") % 7 / 4, "w_y": F.lit(0.5), "w_z": F.lit(-0.25), "a_x": F.col("event_id") % 3 / 2, "a_y": F.lit(0.0), "a_z": F.lit(9.75)}
+    path = scratch(spark, "sensors")
+    fx.table(spark, d, "events").select((F.col("event_id") * 1000).alias("timestamp"), *[v.alias(k) for k, v in numbers.items()]).write.option("header", True).csv(path)
+    return io.read_imu_csv(spark, path, "s").select("stream_id", "ts_ns", *[F.col(k).cast("double").alias(k) for k in numbers])
+
+
+@query("select event_type, 1::bigint as files from events group by event_type")
+def s6_list_assets(spark: SparkSession, d: str) -> DataFrame:
+    """One file for each type of event, beside files of another extension."""
+    e = fx.table(spark, d, "events").repartition("event_type")
+    path = scratch(spark, "assets")
+    e.write.partitionBy("event_type").csv(f"{path}/tables")
+    e.select("event_id", "event_type").write.partitionBy("event_type").json(f"{path}/others")
+    found = io.list_assets(spark, path, [".CSV"], ignore_case=True).where("length > 0")
+    return found.groupBy(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("event_type")).agg(F.count("*").alias("files"))
+
+
 @query("select user_id, max(ts) as ts, arg_max(event_id, ts) as event_id from events group by user_id")
 def s12_latest_frame(spark: SparkSession, d: str) -> DataFrame:
     return io.latest_frame(fx.table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomatch.sources.table import POINTS, VectorTable, check_dim, last_of_each
@@ -20,19 +20,20 @@ def upsert(points: DataFrame, batch: DataFrame, seq: str | None = None) -> DataF
 def read_flight_csv(spark: SparkSession, path: str) -> DataFrame:
     """file and six numbers; rows with a bad number go, of a file named twice the last row stays.
 
-    A missing path gives an empty table.
+    Of several files under the path those of a later name count as later. A missing path gives an empty table.
     """
     numbers = ["lat", "lon", "alt", "yaw", "pitch", "roll"]
     schema = "file string, " + ", ".join(f"{c} string" for c in numbers)
+    # inside a block the ids only rise with its rows, whichever task reads it
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     try:
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).withColumn("_n", place)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        raw = spark.createDataFrame([], schema)
-    rows = raw.select(F.trim("file").alias("file"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in numbers], F.monotonically_increasing_id().alias("_n")).dropna(subset=numbers)
-    w = Window.partitionBy("file").orderBy(F.desc("_n"))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_n")
+        raw = spark.createDataFrame([], f"{schema}, _n int")
+    rows = raw.select(F.trim("file").alias("file"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in numbers], "_n").dropna(subset=numbers)
+    return rows.groupBy("file").agg(F.max_by(F.struct(*numbers), "_n").alias("_l")).select("file", "_l.*")
 
 
 IMU = "timestamp long, w_x float, w_y float, w_z float, a_x float, a_y float, a_z float"
