@@ -11,6 +11,7 @@ from geomatch.functions import geo, tiles, urls, vectors
 from geomatch.plans import fixtures as fx
 from geomatch.sources import io, table
 from geomatch.sources.shared import scratch
+from geomatch.streaming import newest
 
 Q: dict = {}
 SQL: dict = {}
@@ -386,6 +387,33 @@ def s12_latest_frame(spark: SparkSession, d: str) -> DataFrame:
     return io.latest_frame(fx.table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type from events group by user_id")
+def s12_newest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of four files, each with frames of all times, so that older frames come late; the
+    last change of each source is its newest frame."""
+    e = fx.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    source, sink, progress = (scratch(spark, name) for name in ("frames", "newest", "progress"))
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(source)
+    # by the clock there is always another batch to run, but for the second setting
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        found = newest.newest_frames(stream, "user_id", ttl_seconds=86400)
+        found.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/batch={n}")).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    changes = spark.read.schema(e.schema.add("batch", "long")).parquet(sink)
+    last = changes.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type"), "batch").alias("f")).select("user_id", "f.*")
+    return last.withColumn("ts", F.col("ts").cast(fx.table(spark, d, "events").schema["ts"].dataType))
+
+
 @query(f"with {RESOURCES_SQL} select id, name, group_name, category from resources where {PROBLEM} is null and (id = 6 or group_name = 'g3' or category = 'terrain')")
 def u3_catalog_lookups(spark: SparkSession, d: str) -> DataFrame:
     none = resources(spark, d).limit(0)
