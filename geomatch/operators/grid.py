@@ -51,18 +51,29 @@ def crop_plan(crops: DataFrame, rasters: DataFrame) -> DataFrame:
     return j.select(*crops.drop("w", "h").columns, "w", "h", "error", "tx", "ty", F.when(ok, F.col("ty") * across + F.col("tx")).alias("chunk_index"), F.when(ok, left).alias("left"), F.when(ok, top).alias("top"), F.when(ok, right - left).alias("part_width"), F.when(ok, bottom - top).alias("part_height"), "tile_width", "tile_height")
 
 
+def rows_wanted(plan: DataFrame) -> DataFrame:
+    """(src, chunk_index, row) of the chunk rows that the crops of a plan hold, once each: what a reader has to fetch."""
+    top = F.col("top") - F.col("ty") * F.col("tile_height")
+    spans = plan.where("error is null").select("src", "chunk_index", F.struct(top.alias("a"), (top + F.col("part_height") - 1).alias("b")).alias("s"))
+    # a chunk has few different spans, however many crops meet it
+    spans = spans.groupBy("src", "chunk_index").agg(F.collect_set("s").alias("s"))
+    rows = F.array_distinct(F.flatten(F.transform("s", lambda s: F.sequence(s["a"], s["b"]))))
+    return spans.select("src", "chunk_index", F.explode(rows).alias("row"))
+
+
 def crop_assemble(plan: DataFrame, chunks: DataFrame, samples: int = 1) -> DataFrame:
     """(crop_id, data): bytes of a crop, rows from the top, put together from slices of chunk rows.
 
-    ``plan`` is that of crop_plan with a crop_id; ``chunks`` (src, chunk_index, row, data).
+    ``plan`` is that of crop_plan with a crop_id; ``chunks`` (src, chunk_index, row, data), of which
+    ``rows_wanted`` are enough. Chunk rows stream past the plan without a sort, and only the slices are
+    dealt once more, by crop.
     """
     p = plan.where("error is null").select("crop_id", "src", "chunk_index", "tx", "ty", "left", "top", "part_width", "part_height", "tile_width", "tile_height")
-    r = p.join(chunks, ["src", "chunk_index"]).withColumn("_y", F.col("ty") * F.col("tile_height") + F.col("row")).where((F.col("_y") >= F.col("top")) & (F.col("_y") < F.col("top") + F.col("part_height")))
+    r = p.hint("shuffle_hash").join(chunks, ["src", "chunk_index"]).withColumn("_y", F.col("ty") * F.col("tile_height") + F.col("row")).where((F.col("_y") >= F.col("top")) & (F.col("_y") < F.col("top") + F.col("part_height")))
     piece = F.substring("data", ((F.col("left") - F.col("tx") * F.col("tile_width")) * samples + 1).cast("int"), (F.col("part_width") * samples).cast("int"))
-    rows = r.groupBy("crop_id", "_y").agg(F.array_sort(F.collect_list(F.struct("tx", F.hex(piece).alias("b")))).alias("s"))
-    rows = rows.select("crop_id", "_y", F.array_join(F.transform("s", lambda x: x["b"]), "").alias("b"))
-    whole = rows.groupBy("crop_id").agg(F.array_sort(F.collect_list(F.struct("_y", "b"))).alias("s"))
-    return whole.select("crop_id", F.unhex(F.array_join(F.transform("s", lambda x: x["b"]), "")).alias("data"))
+    pieces = r.select("crop_id", F.struct("_y", "tx", piece.alias("b")).alias("s")).repartition("crop_id")
+    whole = pieces.groupBy("crop_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return whole.select("crop_id", F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["b"])), "")).alias("data"))
 
 
 def prior_crop(prior: DataFrame, size: int = 256) -> DataFrame:

@@ -93,9 +93,8 @@ def g5_crop_assemble(spark: SparkSession, d: str) -> DataFrame:
     r = fx.rasters(spark, d).withColumn("tile_width", F.lit(256))
     small = crops(spark, d).withColumns({"w": F.lit(256), "h": F.lit(8)})
     plan = grid.crop_plan(small, r)
-    used = plan.where("error is null").select("src", "chunk_index").distinct()
-    text = F.repeat(F.hex(F.concat(F.lit("k"), F.substring(F.hex(F.col("chunk_index")), -1, 1), F.lpad(F.col("row").cast("string"), 6, "0"))), 32)
-    chunks = used.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(255)))).withColumn("data", F.unhex(text))
+    text = F.repeat(F.concat(F.lit("k"), F.substring(F.hex(F.col("chunk_index")), -1, 1), F.lpad(F.col("row").cast("string"), 6, "0")), 32)
+    chunks = grid.rows_wanted(plan).withColumn("data", text.cast("binary"))
     return grid.crop_assemble(plan, chunks).select("crop_id", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
 
 

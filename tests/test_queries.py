@@ -141,6 +141,19 @@ def test_crop_assembly(spark):
     assert got == {1: img[10:70, 20:70].astype(np.uint8).tobytes(), 2: img[80:, 90:].astype(np.uint8).tobytes()}
 
 
+def test_crop_assembly_from_wanted_rows_only(spark):
+    r = spark.createDataFrame([("a", 64, 64, 32, 32)], "src string, width int, height int, tile_width int, tile_height int")
+    crops = spark.createDataFrame([(1, "a", 20, 30, 20, 4), (2, "a", 22, 31, 5, 3), (3, "a", 90, 0, 5, 5)], "crop_id long, src string, x int, y int, w int, h int")
+    plan = grid.crop_plan(crops, r)
+    wanted = grid.rows_wanted(plan)
+    # of each of the four chunks the two rows at the middle, not all 32, and none twice
+    assert sorted((x.chunk_index, x.row) for x in wanted.collect()) == [(0, 30), (0, 31), (1, 30), (1, 31), (2, 0), (2, 1), (3, 0), (3, 1)]
+    data = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: F.lpad(F.hex((F.col("chunk_index") * 64 + F.col("row") + x) % 251), 2, "0"))
+    got = {x.crop_id: bytes(x.data) for x in grid.crop_assemble(plan, wanted.withColumn("data", F.unhex(F.array_join(data, "")))).collect()}
+    at = lambda x, y: (((y // 32) * 2 + x // 32) * 64 + y % 32 + x % 32) % 251
+    assert got == {1: bytes(at(x, y) for y in range(30, 34) for x in range(20, 40)), 2: bytes(at(x, y) for y in range(31, 34) for x in range(22, 27))}
+
+
 def test_samples_stay_inside(spark, small):
     for r in registry.QUERIES["g9_g10_samples"](spark, small).collect():
         for c, p, n in ((r.cx, r.px, r.width), (r.cy, r.py, r.height)):
