@@ -121,7 +121,8 @@ class Fold:
 
 VECTORS, MATRICES = ("p", "v", "mean_acc", "mean_gyro"), ("r_bg", "v_bg", "v_ba", "p_bg", "p_ba")
 SCHEMA = "dt double, samples long, p array<double>, v array<double>, q array<double>, mean_acc array<double>, mean_gyro array<double>, r_bg array<double>, v_bg array<double>, v_ba array<double>, p_bg array<double>, p_ba array<double>, cov array<double>"
-CHUNK = 50_000
+#: Samples folded in step, so that a task holds a few MB of covariances and rows of results, however many it has.
+CHUNK = 8_192
 #: Neighbouring folds that become one in a round.
 FAN = 64
 

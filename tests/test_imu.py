@@ -89,3 +89,16 @@ def test_bias_correction_is_a_new_integration(spark):
         k = np.array([[0, -n[2], n[1]], [n[2], 0, -n[0]], [-n[1], n[0], 0]])
         r = r @ (np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k)
     assert np.allclose(got.p_corrected, p, atol=1e-7) and np.allclose(got.v_corrected, v, atol=1e-6)
+
+
+def test_a_chunk_of_short_windows_takes_little_memory():
+    import tracemalloc
+
+    fold = imu.Fold(imu.CHUNK // 2)
+    m = len(fold.dt)
+    tracemalloc.start()
+    try:
+        fold.add(np.ones((m, 3)), np.ones((m, 3)), np.full(m, 0.005))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
