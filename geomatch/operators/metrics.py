@@ -355,7 +355,8 @@ def mosaic_blocks(tiles: DataFrame, by: Sequence[str] = ("z",), block: int = 256
 
     ``tiles`` (*by, file, off_x, off_y, width, height, data) lie in their mosaic, see ``mosaic_plan``; data
     holds their rows. A tile is cut along the blocks' borders, so rows are as many as tiles and
-    borders, not pixels. The pieces of a block pass in order of their files, with one block in memory.
+    borders, not pixels. The pieces of a block pass in order of their files, with one
+    block in memory: first in ranges of files, then what each range left of the block.
     """
     c = F.col
     cells = lambda off, size: F.sequence(F.floor(c(off) / block), F.floor((c(off) + c(size) - 1) / block))
@@ -367,24 +368,34 @@ def mosaic_blocks(tiles: DataFrame, by: Sequence[str] = ("z",), block: int = 256
     place = {"left": c("off_x") + c("x0") - c("block_x") * block, "top": c("off_y") + c("y0") - c("block_y") * block, "wide": c("x1") - c("x0")}
     keys = [*by, "block_x", "block_y"]
     p = p.select(*keys, "file", *[v.cast("int").alias(k) for k, v in place.items()], F.flatten(rows).alias("piece"))
-    dealt = p.repartition(*keys).sortWithinPartitions(*keys, "file").select(*keys, "left", "top", "wide", "piece")
+    columns = [*keys, "left", "top", "wide", "piece"]
+    # ranges of files, so that a block of many tiles spreads over tasks; equal files stay together
+    dealt = p.repartitionByRange(*keys, "file").sortWithinPartitions(*keys, "file").select(*columns)
     schema = dealt.select(*keys, c("piece").alias("data")).schema
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def canvases(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray]]:
         key: tuple | None = None
         canvas = np.zeros((block, block))
         for pdf in frames:
-            out = []
             for *own, left, top, wide, piece in pdf.astype(object).itertuples(index=False, name=None):
                 if tuple(own) != key:
                     if key is not None:
-                        out.append((*key, canvas.ravel()))
+                        yield key, canvas
                     key, canvas = tuple(own), np.zeros((block, block), np.asarray(piece).dtype)
                 piece = np.asarray(piece).reshape(-1, wide)
                 under = canvas[top : top + len(piece), left : left + wide]
                 under[under == 0] = piece[under == 0]
-            yield pd.DataFrame(out, columns=schema.names)
         if key is not None:
+            yield key, canvas
+
+    def lines(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, canvas in canvases(frames):
+            yield pd.DataFrame([(*key, 0, y, block, line) for y, line in enumerate(canvas)], columns=columns)
+
+    def whole(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, canvas in canvases(frames):
             yield pd.DataFrame([(*key, canvas.ravel())], columns=schema.names)
 
-    return dealt.mapInPandas(run, schema)
+    # a canvas for each block and range, as pieces of one line; numbers of ranges are in the order of files
+    part = dealt.mapInPandas(lines, dealt.schema).withColumn("_part", F.spark_partition_id())
+    return part.repartition(*keys).sortWithinPartitions(*keys, "_part").select(*columns).mapInPandas(whole, schema)
