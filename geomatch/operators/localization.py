@@ -35,11 +35,19 @@ def frame_observations(frames: DataFrame, hits: DataFrame, matches: DataFrame, m
     return out.select("session_id", "ts", "seq", status.alias("status"), F.coalesce("points", F.array().cast(f"array<{POINT}>")).alias("points"))
 
 
+#: Patches, which may be large, that a task gets at a time.
+PATCHES = 256
+
+
 def embed(patches: DataFrame, load: Callable[[], Callable[[list], np.ndarray]], dim: int, data: str = "data") -> DataFrame:
     """patches with vector: ``load`` runs once a task and gives a function from a list of patches to rows.
 
-    The function's width must be ``dim``. The data column goes, the rest stays.
+    The function's width must be ``dim``. The data column goes, the rest stays. A task holds PATCHES
+    patches at a time; Spark reads that setting of the session when the query runs.
     """
+    conf, size = patches.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(size)) <= PATCHES:
+        conf.set(size, str(PATCHES))
     keep = [c for c in patches.columns if c != data]
     schema = patches.select(*keep).withColumn("raw", F.array().cast("array<double>")).schema
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from geomatch.operators import metrics
+from geomatch.operators import localization, metrics
 
 
 def test_a_mosaic_block_of_many_tiles_spreads_over_tasks(spark):
@@ -21,3 +21,13 @@ def test_a_mosaic_block_of_many_tiles_spreads_over_tasks(spark):
     # tiles are dealt by their files too, not by the block alone
     plan = blocks._jdf.queryExecution().optimizedPlan().toString()
     assert any("RepartitionByExpression" in line and "file" in line and "ASC" in line for line in plan.splitlines())
+
+
+def test_a_model_gets_few_patches_at_a_time(spark):
+    def load():
+        return lambda texts: np.full((len(texts), 1), float(len(texts)))
+
+    patches = spark.range(1000).coalesce(1).select("id", F.lit("x").alias("data"))
+    sizes = localization.embed(patches, load, 1).select("id").count()
+    raw = localization.embed(patches, lambda: lambda texts: np.array([[float(len(texts)), 1.0]] * len(texts)), 2)
+    assert sizes == 1000 and max(round(r.vector[0] / r.vector[1]) for r in raw.collect()) <= localization.PATCHES
