@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,17 +27,22 @@ class NewestProcessor(StatefulProcessor):
     def order(row: tuple) -> tuple:
         return tuple((v is not None, v) if v is not None else (False,) for v in row)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = tuple(self.newest.get()) if self.newest.exists() else None
-        before = best
-        for pdf in rows:
-            for r in pdf[self.columns].astype(object).itertuples(index=False, name=None):
-                r = tuple(None if v is pd.NaT or v is None or v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r)
-                if best is None or self.order(r) > self.order(best):
-                    best = r
+    @staticmethod
+    def plain(values) -> tuple:
+        """NaN counts as null."""
+        return tuple(None if v is not None and v != v else v for v in values)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        value = self.newest.get()
+        before = None if value is None else tuple(value)
+        best, highest = before, None if before is None else self.order(before)
+        for r in rows:
+            now = self.plain(r[c] for c in self.columns)
+            if highest is None or self.order(now) > highest:
+                best, highest = now, self.order(now)
         if best != before:
             self.newest.update(best)
-            yield pd.DataFrame([(*key, *best)], columns=["_key", *self.columns]).astype({"_key": object})
+            yield Row(**{"_key": key[0], **dict(zip(self.columns, best, strict=True))})
 
     def close(self) -> None:
         pass
@@ -49,8 +53,10 @@ def newest_frames(frames: DataFrame, key: str, ts: str = "ts", ttl_seconds: floa
     gives for all frames so far. Needs the RocksDB state store, and a trigger other than availableNow, as
     the time to live is measured by the clock and such a query never runs out of work. Columns hold plain values."""
     columns = [ts, *[c for c in frames.columns if c not in (key, ts)]]
-    rows = frames.select(F.col(key).alias("_key"), *columns)
+    # times pass as whole microseconds, which need no time zone
+    times = [f.name for f in frames.schema if f.name != key and isinstance(f.dataType, T.TimestampType)]
+    rows = frames.select(F.col(key).alias("_key"), *[F.unix_micros(c).alias(c) if c in times else c for c in columns])
     state = rows.select(*columns).schema
     out = T.StructType([rows.schema["_key"], *state.fields])
-    found = rows.groupBy("_key").transformWithStateInPandas(NewestProcessor(columns, state, None if ttl_seconds is None else int(1000 * ttl_seconds)), out, "Update", "ProcessingTime")
-    return found.withColumnRenamed("_key", key).select(*frames.columns)
+    found = rows.groupBy("_key").transformWithState(NewestProcessor(columns, state, None if ttl_seconds is None else int(1000 * ttl_seconds)), out, "Update", "ProcessingTime")
+    return found.withColumnRenamed("_key", key).select(*[F.timestamp_micros(c).alias(c) if c in times else c for c in frames.columns])

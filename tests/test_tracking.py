@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from geomatch.plans import fixtures as fx
@@ -232,3 +233,21 @@ def test_tracks_equal_a_plain_model(spark, small, feedback):
     want = sorted((s, *r) for s, fs in sessions.items() for r in plain_model(fs, feedback))
     got = sorted((r.session_id, r.seq, r.status, r.lat, r.mode, r.tracks) for r in tracker.track(fx.frames(spark, small), feedback=feedback).collect())
     assert got == want and {r[2] for r in got} == {"location", "uncertain", "error"}
+
+
+def test_newest_frame_is_kept_by_rows_without_a_frame_a_key():
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    p = newest.NewestProcessor(["ts", "seq"], None, None)
+    p.newest = State()
+    rows = lambda *pairs: iter([Row(_key=1, ts=t, seq=s) for t, s in pairs])
+    assert list(p.handleInputRows((1,), rows((5, 1), (None, 9), (5, 3)), None)) == [Row(_key=1, ts=5, seq=3)]
+    assert list(p.handleInputRows((1,), rows((5, 3), (4, 9), (5, None)), None)) == []
+    assert list(p.handleInputRows((1,), rows((6, float("nan"))), None)) == [Row(_key=1, ts=6, seq=None)]
