@@ -39,6 +39,8 @@ from geomatch.sources.shared import written
 
 MOST_LISTS, SAMPLE_A_LIST = 65_536, 64
 PART_ROWS, QUERY_ROWS, PROBES = 16_384, 2048, 4
+#: Rows of visits that leave a task at a time.
+VISITS = 4096
 SLACK = 1e-9
 
 
@@ -77,6 +79,21 @@ def coded(unit: DataFrame, centres: np.ndarray) -> DataFrame:
     return unit.withColumn("_c", code("v")).select("id", "v", "_c.*")
 
 
+def left_open(pdf: pd.DataFrame, centres: np.ndarray, radius: np.ndarray, names: np.ndarray, first: int, rest: bool) -> Iterator[pd.DataFrame]:
+    """The ``first`` nearest lists of queries (q_row, v, bar), or with ``rest`` the others that may hold a
+    score of the bar or more, in frames of at most VISITS rows: without clusters nearly all lists are left."""
+    for at in range(0, len(pdf), 256):
+        part = pdf.iloc[at : at + 256]
+        near = np.stack(part["v"].to_numpy()) @ centres.T
+        place = np.argsort(np.argsort(-near, 1, kind="stable"), 1, kind="stable")
+        bar = np.nan_to_num(part["bar"].to_numpy(float), nan=-2.0)[:, None]
+        take = (place >= first) & (near + radius + SLACK >= bar) if rest else place < first
+        i, j = np.nonzero(take)
+        for b in range(0, len(i), VISITS):
+            own, there = i[b : b + VISITS], j[b : b + VISITS]
+            yield pd.DataFrame({"q_row": part["q_row"].to_numpy()[own], "v": part["v"].to_numpy()[own], "bar": bar[own, 0], "list": names[there]})
+
+
 @dataclass
 class Found:
     """The hits, and what was read for them: visited lists (q_row, list, rows) and exact vectors (q_row, row)."""
@@ -134,16 +151,8 @@ class VectorIndex:
             """The nearest lists; with ``rest`` the others that may hold a score of the bar or more."""
 
             def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                centres, radius, names = sent.value
                 for pdf in frames:
-                    for at in range(0, len(pdf), 256):
-                        part = pdf.iloc[at : at + 256]
-                        near = np.stack(part["v"].to_numpy()) @ centres.T
-                        place = np.argsort(np.argsort(-near, 1, kind="stable"), 1, kind="stable")
-                        bar = np.nan_to_num(part["bar"].to_numpy(float), nan=-2.0)[:, None]
-                        take = (place >= first) & (near + radius + SLACK >= bar) if rest else place < first
-                        i, j = np.nonzero(take)
-                        yield pd.DataFrame({"q_row": part["q_row"].to_numpy()[i], "v": part["v"].to_numpy()[i], "bar": bar[i, 0], "list": names[j]})
+                    yield from left_open(pdf, *sent.value, first, rest)
 
             return written(rows.mapInPandas(run, "q_row long, v array<double>, bar double, list int"), "visits")
 

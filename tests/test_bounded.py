@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from geomatch.operators import localization, metrics
+from geomatch.operators import index, localization, metrics
 
 
 def test_a_mosaic_block_of_many_tiles_spreads_over_tasks(spark):
@@ -31,3 +32,15 @@ def test_a_model_gets_few_patches_at_a_time(spark):
     sizes = localization.embed(patches, load, 1).select("id").count()
     raw = localization.embed(patches, lambda: lambda texts: np.array([[float(len(texts)), 1.0]] * len(texts)), 2)
     assert sizes == 1000 and max(round(r.vector[0] / r.vector[1]) for r in raw.collect()) <= localization.PATCHES
+
+
+def test_visits_leave_a_task_in_small_frames():
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(300, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    pdf = pd.DataFrame({"q_row": np.arange(300), "v": list(v), "bar": np.full(300, np.nan)})
+    frames = list(index.left_open(pdf, v[:100], np.ones(100), np.arange(100), 4, True))
+    assert max(map(len, frames)) <= index.VISITS and sum(map(len, frames)) == 300 * 96
+    near = list(index.left_open(pdf, v[:100], np.ones(100), np.arange(100), 4, False))
+    both = pd.concat([*frames, *near])
+    assert len(both) == len(both.drop_duplicates(["q_row", "list"])) == 300 * 100
