@@ -15,8 +15,9 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    # bound once, as what a lambda holds is worked out for every element
+    bound = F.transform(F.array(v), lambda w: F.struct(w.alias("v"), F.greatest(norm(w), F.lit(eps)).alias("n")))
+    return F.transform(bound, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))[0]
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:

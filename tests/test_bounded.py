@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from geomatch.functions.vectors import l2_normalize
 from geomatch.operators import index, localization, metrics
 
 
@@ -44,3 +45,15 @@ def test_visits_leave_a_task_in_small_frames():
     near = list(index.left_open(pdf, v[:100], np.ones(100), np.arange(100), 4, False))
     both = pd.concat([*frames, *near])
     assert len(both) == len(both.drop_duplicates(["q_row", "list"])) == 300 * 100
+
+
+def test_a_norm_is_worked_out_once_a_vector(spark):
+    import time
+
+    v = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: (x % 5).cast("double"))
+    began = time.time()
+    # norm by norm for each element this would be 4 billion steps
+    rows = spark.range(10).select(l2_normalize(F.when(F.col("id") > 0, v)).alias("v")).collect()
+    assert time.time() - began < 20
+    assert rows[0].v is None and all(abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in rows[1:])
+    assert spark.range(1).select(l2_normalize(F.array(F.lit(0.0), F.lit(0.0))).alias("v")).first().v == [0.0, 0.0]
