@@ -11,7 +11,9 @@ A search visits the lists nearest to a query. A code gives its vector's score to
 the k-th best lower end is a bar that the true k-th score is not below. A list whose centre and
 radius put all its vectors under that bar is not visited, a code whose upper end is under it
 not looked up. An exact search then visits every list that the bar leaves open. A search of
-``probes`` lists does so only for queries with fewer than k hits.
+``probes`` lists does so only for queries with fewer than k hits; the others go on to as many of
+the nearest lists as hold the share ``least`` of the exact hits of a sample of TRIED queries,
+since what a fixed number of lists finds falls with the number of lists.
 
 Long lists are cut into parts of about PART_ROWS rows and many queries of a list into blocks, so
 that neither a hot list nor a hot query lands in one task. Lists come as partition filters, so
@@ -39,6 +41,8 @@ from geomatch.sources.shared import written
 
 MOST_LISTS, SAMPLE_A_LIST = 65_536, 64
 PART_ROWS, QUERY_ROWS, PROBES = 16_384, 2048, 4
+#: Of a search of some lists: the share of exact hits to reach, and the queries it is measured on.
+LEAST, TRIED = 0.95, 256
 #: Rows of visits that leave a task at a time.
 VISITS = 4096
 SLACK = 1e-9
@@ -79,15 +83,23 @@ def coded(unit: DataFrame, centres: np.ndarray) -> DataFrame:
     return unit.withColumn("_c", code("v")).select("id", "v", "_c.*")
 
 
-def left_open(pdf: pd.DataFrame, centres: np.ndarray, radius: np.ndarray, names: np.ndarray, first: int, rest: bool) -> Iterator[pd.DataFrame]:
+def places(near: np.ndarray) -> np.ndarray:
+    """For each query the places of all lists in the order of their nearness, from 0."""
+    return np.argsort(np.argsort(-near, 1, kind="stable"), 1, kind="stable")
+
+
+def left_open(pdf: pd.DataFrame, centres: np.ndarray, radius: np.ndarray, names: np.ndarray, first: int, rest: bool, upto: int | None = None) -> Iterator[pd.DataFrame]:
     """The ``first`` nearest lists of queries (q_row, v, bar), or with ``rest`` the others that may hold a
-    score of the bar or more, in frames of at most VISITS rows: without clusters nearly all lists are left."""
+    score of the bar or more, of the ``upto`` nearest only where there is a bar. They come in frames of at
+    most VISITS rows: without clusters nearly all lists are left."""
     for at in range(0, len(pdf), 256):
         part = pdf.iloc[at : at + 256]
         near = np.stack(part["v"].to_numpy()) @ centres.T
-        place = np.argsort(np.argsort(-near, 1, kind="stable"), 1, kind="stable")
+        place = places(near)
         bar = np.nan_to_num(part["bar"].to_numpy(float), nan=-2.0)[:, None]
         take = (place >= first) & (near + radius + SLACK >= bar) if rest else place < first
+        if rest and upto is not None:
+            take &= (place < upto) | part["bar"].isna().to_numpy()[:, None]
         i, j = np.nonzero(take)
         for b in range(0, len(i), VISITS):
             own, there = i[b : b + VISITS], j[b : b + VISITS]
@@ -140,19 +152,36 @@ class VectorIndex:
         df = self.table(name)
         return df if len(lists) == all_lists else df.where(F.col("list").isin(lists) if lists else F.lit(False))
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, eps: float = 1e-12) -> Found:
-        """query_id, id, score, rank of queries (query_id, vector), exact unless ``probes`` is given."""
+    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, eps: float = 1e-12, least: float = LEAST) -> Found:
+        """query_id, id, score, rank of queries (query_id, vector), exact unless ``probes`` is given: then of
+        so many lists, and of further ones as ``least`` asks for (0: none)."""
+        q = written(units(queries, "query_id", eps).withColumn("q_row", F.monotonically_increasing_id()), "queries")
+        upto = None if probes is None else max(probes, self.lists_for(q, k, least)) if least > 0 else probes
+        return self.found(q, k, probes or PROBES, upto)[0]
+
+    def lists_for(self, q: DataFrame, k: int, least: float) -> int:
+        """How many of its nearest lists a query visits for that share of the exact hits, by TRIED queries drawn by a hash."""
+        some = written(q.orderBy(F.xxhash64("v"), "q_row").limit(TRIED), "tried")
+        hits = self.found(some, k, PROBES, None)[1].select("q_row", "list").toPandas()
+        if not len(hits):
+            return 0
+        about, asked = self.table("lists").orderBy("list").toPandas(), some.toPandas()
+        place = places(np.stack(asked["v"].to_numpy()) @ np.stack(about["centre"].to_numpy()).T)
+        row = pd.Index(asked["q_row"]).get_indexer(hits["q_row"])
+        at = np.sort(place[row, np.searchsorted(about["list"].to_numpy(), hits["list"].to_numpy())])
+        return int(at[min(len(at), max(1, int(np.ceil(least * len(at))))) - 1]) + 1
+
+    def found(self, q: DataFrame, k: int, first: int, upto: int | None) -> tuple[Found, DataFrame]:
+        """What queries (query_id, v, q_row) find, and the lists (q_row, list) of the hits; exact if ``upto`` is None."""
         about = self.table("lists").orderBy("list").toPandas()
         sent = self.spark.sparkContext.broadcast((np.stack(about["centre"].to_numpy()), about["radius"].to_numpy(), about["list"].to_numpy(np.int64)))
-        q = written(units(queries, "query_id", eps).withColumn("q_row", F.monotonically_increasing_id()), "queries")
-        first = probes or PROBES
 
         def visits(rows: DataFrame, rest: bool) -> DataFrame:
             """The nearest lists; with ``rest`` the others that may hold a score of the bar or more."""
 
             def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for pdf in frames:
-                    yield from left_open(pdf, *sent.value, first, rest)
+                    yield from left_open(pdf, *sent.value, first, rest, upto)
 
             return written(rows.mapInPandas(run, "q_row long, v array<double>, bar double, list int"), "visits")
 
@@ -197,15 +226,16 @@ class VectorIndex:
         seen = visits(q.withColumn("bar", F.lit(None).cast("double")), False)
         found = scan(seen)
         more = q.join(bars(found), "q_row", "left").select("v", "q_row", "bar")
-        more = visits(more if probes is None else more.where("bar is null"), True)
+        more = visits(more, True)
         found = found.unionByName(scan(more))
         left = found.join(bars(found), "q_row").where((F.col("high") >= F.col("bar") - F.lit(10.0**-DECIMALS)) | F.col("bar").isNull()).select("q_row", "list", "part", "row")
         left = written(left, "left")
         lists = [r.list for r in left.select("list").distinct().collect()]
         exact = left.join(self.of_lists("vectors", lists, len(about)), ["list", "part", "row"]).join(q, "q_row")
         score = F.aggregate(F.zip_with("v", "vector", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        scored = exact.select("query_id", "q_row", "id", F.round(score, DECIMALS).alias("score"))
+        scored = exact.select("query_id", "q_row", "list", "id", F.round(score, DECIMALS).alias("score"))
         order = Window.partitionBy("query_id", "q_row").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-        hits = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        hits = best.select("query_id", "id", "score", "rank")
         sizes = self.table("lists").select("list", "rows")
-        return Found(hits, seen.unionByName(more).select("q_row", "list").join(sizes, "list"), left.select("q_row", "row"))
+        return Found(hits, seen.unionByName(more).select("q_row", "list").join(sizes, "list"), left.select("q_row", "row")), best.select("q_row", "list")

@@ -42,6 +42,17 @@ def test_exact_search_equals_a_scan(spark, tmp_path, monkeypatch, clusters):
         assert "PartitionFilters: [list" in plan and "(3,5)" in plan
 
 
+def test_probes_grow_with_the_lists_of_a_cluster(spark, tmp_path):
+    p = spark.createDataFrame(points(3, 1500, 4), "id long, vector array<double>")
+    q = p.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    built = index.VectorIndex.build(p, str(tmp_path / "i"), lists=80)
+    exact = search.knn(q, p, 5)
+    recall = lambda found: search.recall(found.hits, exact).first()[0]
+    four, more = built.search(q, 5, probes=4, least=0), built.search(q, 5, probes=4)
+    assert recall(four) < 0.9 <= recall(more)
+    assert four.reads(150, 1500)[0] < more.reads(150, 1500)[0] < 0.4
+
+
 def test_queries_of_few_hits_are_filled(spark, tmp_path):
     rows = [(i, [1.0, 0.01 * i]) for i in range(30)] + [(100, [-1.0, 0.0]), (None, [-1.0, 0.001])]
     p = spark.createDataFrame(rows, "id long, vector array<double>")
