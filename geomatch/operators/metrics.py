@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from geomatch.sources.shared import written
 
 #: Of fit_homography: pairs of a group that models are drawn from.
 POOL = 1000
+#: Groups of up to FEW pairs are fitted STACK at a time, those of one size together.
+FEW, STACK = 64, 256
 
 
 def cumulative_hits(first_hit: DataFrame, k: int = 5) -> DataFrame:
@@ -162,29 +165,39 @@ def count_inliers(matches: DataFrame, threshold: float = 10.0) -> DataFrame:
     return matches.groupBy("frame_id", "tile").agg(F.count_if(off < threshold).alias("inliers"), F.count("*").alias("matches"))
 
 
-def solve_homography(m: np.ndarray) -> np.ndarray | None:
-    """Least squares of the linear equations of point pairs, coordinates centred and scaled first.
+def solve_homographies(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares of the linear equations of point pairs, coordinates centred and scaled first, for a stack of
+    models, and which of them exist.
 
-    ``m`` is the sum over the pairs of the products of all two of their monomials, x, y and 1 times u, v and 1.
+    ``m`` are the sums over the pairs of the products of all two of their monomials, x, y and 1 times u, v and 1.
     """
 
     def scaled(first: int, second: int) -> np.ndarray:
-        n = m[8, 8]
-        mid = np.array([m[first, 8], m[second, 8]]) / n
-        every = mid.mean()
-        spread = max(np.sqrt(max((m[first, first] + m[second, second]) / (2 * n) - every**2, 0.0)), 1e-9)
-        return np.array([[1 / spread, 0, -mid[0] / spread], [0, 1 / spread, -mid[1] / spread], [0, 0, 1]])
+        n = m[:, 8, 8, None]
+        mid = m[:, [first, second], 8] / n
+        square = (m[:, first, first] + m[:, second, second]) / (2 * n[:, 0]) - mid.mean(1) ** 2
+        spread = np.maximum(np.sqrt(np.maximum(square, 0.0)), 1e-9)
+        s = np.zeros((len(m), 3, 3))
+        s[:, 0, 0] = s[:, 1, 1] = 1 / spread
+        s[:, :2, 2] = -mid / spread[:, None]
+        s[:, 2, 2] = 1
+        return s
 
     s, t = scaled(2, 5), scaled(6, 7)
-    both = np.kron(s, t)  # monomials of the scaled coordinates
-    m = both @ m @ both.T
-    at = lambda k: [k, 3 + k, 6 + k]
-    u, v, one = (m[np.ix_(at(0), at(0))], m[np.ix_(at(1), at(1))], m[np.ix_(at(2), at(2))])
-    a_u, a_v = m[np.ix_(at(2), at(0))], m[np.ix_(at(2), at(1))]
-    zero = np.zeros((3, 3))
-    normal = np.block([[one, zero, -a_u], [zero, one, -a_v], [-a_u.T, -a_v.T, u + v]])
-    h = np.linalg.inv(t) @ np.linalg.eigh(normal)[1][:, 0].reshape(3, 3) @ s
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+    both = np.einsum("gij,gkl->gikjl", s, t).reshape(-1, 9, 9)  # monomials of the scaled coordinates
+    m = both @ m @ np.swapaxes(both, 1, 2)
+    part = lambda k, l: m[:, k::3, l::3]
+    a_u, a_v, zero = part(2, 0), part(2, 1), np.zeros((len(m), 3, 3))
+    turned = lambda a: np.swapaxes(a, 1, 2)
+    normal = np.block([[part(2, 2), zero, -a_u], [zero, part(2, 2), -a_v], [-turned(a_u), -turned(a_v), part(0, 0) + part(1, 1)]])
+    h = np.linalg.inv(t) @ np.linalg.eigh(normal)[1][:, :, 0].reshape(-1, 3, 3) @ s
+    return over_last(h)
+
+
+def over_last(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Models with a last number of 1, and which of them exist."""
+    ok = np.abs(h[:, 2, 2]) > 1e-12
+    return h / np.where(ok, h[:, 2, 2], 1.0)[:, None, None], ok
 
 
 def moment_sums(x: Column, y: Column, u: Column, v: Column, of: Column) -> list[Column]:
@@ -194,7 +207,7 @@ def moment_sums(x: Column, y: Column, u: Column, v: Column, of: Column) -> list[
 
 
 def moment_matrix(sums: np.ndarray) -> np.ndarray:
-    """The matrix that ``solve_homography`` takes, from ``moment_sums``; products of u and v, which it does not need, are 0."""
+    """The matrix that ``solve_homographies`` takes, from ``moment_sums``; products of u and v, which it does not need, are 0."""
     m = np.zeros((3, 3, 3, 3))  # of x, y, 1 and u, v, 1, twice
     upper = np.triu_indices(3)
     for (j, l), part in zip(((2, 2), (0, 2), (0, 0), (1, 2), (1, 1)), sums.reshape(5, 6), strict=True):
@@ -266,66 +279,148 @@ def ransac(src: np.ndarray, dst: np.ndarray, threshold: float, trials: int, rng:
     return found, best, made
 
 
+def inside(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (group, pair) are inliers of each of their group's models (group, model)."""
+    h, (x, y), (u, v) = h[..., None], (src[:, None, :, k] for k in (0, 1)), (dst[:, None, :, k] for k in (0, 1))
+    with np.errstate(all="ignore"):
+        w = h[:, :, 2, 0] * x + h[:, :, 2, 1] * y + h[:, :, 2, 2]
+        return np.hypot((h[:, :, 0, 0] * x + h[:, :, 0, 1] * y + h[:, :, 0, 2]) / w - u, (h[:, :, 1, 0] * x + h[:, :, 1, 1] * y + h[:, :, 1, 2]) / w - v) < threshold
+
+
+def ransac_stacked(src: np.ndarray, dst: np.ndarray, threshold: float, trials: int, rngs: list[np.random.Generator], ranked: bool = False, sure: float = 0.999) -> tuple[np.ndarray, np.ndarray]:
+    """``ransac`` of groups of one size, of 4 to FEW pairs: (best models, their inliers), with the same draws.
+
+    So few pairs are tested in one step, so that no test stops early.
+    """
+    groups, n = src.shape[:2]
+    best, found, made = np.zeros(groups, np.int64), np.zeros((groups, 3, 3)), 0
+    for rng in rngs:
+        rng.permutation(n)  # the order of tests, which counts for larger groups only
+    going = np.arange(groups)
+    while made < trials and len(going):
+        batch = min(32, trials - made)
+        among = min(n, max(8, -(-n * (made + batch) // trials))) if ranked else n
+        draws = np.stack([rngs[g].random((batch, among)) for g in going])
+        pick = np.argpartition(draws, min(4, among - 1), axis=2)[..., :4]
+        made += batch
+        at = going[:, None, None], pick
+        h, ok = exact_homographies(src[at].reshape(-1, 4, 2), dst[at].reshape(-1, 4, 2))
+        h = h.reshape(-1, batch, 3, 3)
+        hits = np.where(ok.reshape(-1, batch), inside(h, src[going], dst[going], threshold).sum(-1), -1)
+        k = hits.argmax(1)
+        top = hits.max(1)
+        better = top > best[going]
+        best[going[better]] = top[better]
+        found[going[better]] = h[better, k[better]]
+        share = best[going] / n
+        with np.errstate(divide="ignore"):
+            enough = (best[going] >= 4) & (made >= np.log(1 - sure) / np.log(np.maximum(1 - share**4, 1e-12)))
+        going = going[~(enough | (best[going] == n))]
+    return found, best
+
+
+def refitted(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least-squares models of the inliers of models, for groups of one size: (models, their inliers, which exist)."""
+    hit = inside(h[:, None], src, dst, threshold)[:, 0]
+    a, b = src.mean(1, keepdims=True), dst.mean(1, keepdims=True)
+    one = np.ones((*hit.shape, 1))
+    x, u = np.concatenate([src - a, one], -1), np.concatenate([dst - b, one], -1)
+    each = np.where(hit[..., None], (x[..., :, None] * u[..., None, :]).reshape(*hit.shape, 9), 0.0)
+    h, ok = solve_homographies(np.swapaxes(each, 1, 2) @ each)
+    to, back = np.zeros_like(h) + np.eye(3), np.zeros_like(h) + np.eye(3)
+    to[:, :2, 2], back[:, :2, 2] = -a[:, 0], b[:, 0]
+    h, exists = over_last(back @ h @ to)
+    return h, inside(h[:, None], src, dst, threshold)[:, 0].sum(-1), ok & exists
+
+
 def fit_homography(matches: DataFrame, threshold: float = 10.0, trials: int = 200, seed: int = 0, quality: str | None = None) -> DataFrame:
     """(frame_id, tile, h, inliers) by seeded RANSAC; groups of under 4 pairs, or without a model, are left out.
 
     The model of a group comes from its POOL pairs of lowest hash (see ``ransac``), or with ``quality``,
-    a column of which more is better, of highest quality first. It then meets all pairs of the group
-    where they are, and only sums of its inliers meet, which give the least-squares model. Pairs with
+    a column of which more is better, of highest quality first. It then meets all pairs of the group: at
+    once where the pool holds them all, else where they are, and only sums of its inliers meet. These give
+    the least-squares model. Pairs with
     a null or non-finite coordinate count for nothing.
     """
     # null names are names too; joins are by text
     by, own = ["_f", "_t"], ["frame_id", "tile"]
     names = [F.to_json(F.struct(F.col(c).alias("k")), {"ignoreNullFields": "false"}).alias(a) for c, a in zip(own, by, strict=True)]
-    pairs = matches.select(*own, *[F.col(c).cast("double").alias(c) for c in "xyuv"], *names, (F.col(quality).cast("double") if quality else F.lit(0.0)).alias("_q"))
+    pairs = matches.select(*own, *[F.col(c).cast("double").alias(c) for c in "xyuv"], (F.col(quality).cast("double") if quality else F.lit(0.0)).alias("_q"))
     pairs = pairs.where(" and ".join(f"abs({c}) < double('infinity')" for c in "xyuv"))
     drawn_by = [F.desc_nulls_last("_q"), F.xxhash64(F.lit(seed), *"xyuv"), *map(F.col, "xyuv")]
-    pool = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*drawn_by))).where(F.col("_n") <= POOL)
+    # one pair more says that there are more
+    pool = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy(*drawn_by))).where(F.col("_n") <= POOL + 1)
     # one row a group, of POOL pairs at most; its pairs are where the window has them
-    pool = pool.groupBy(*by).agg(*[F.any_value(c).alias(c) for c in own], F.array_sort(F.collect_list(F.struct("_n", *"xyuv"))).alias("_p"))
-    pool = pool.where(F.size("_p") >= 4).select(*own, *by, *[F.col("_p")[c].alias(c) for c in "xyuv"])
+    pair = F.when(F.col("_n") <= POOL, F.struct("_n", *"xyuv"))
+    pool = pool.groupBy(*own).agg((F.max("_n") <= POOL).alias("_whole"), F.array_sort(F.collect_list(pair)).alias("_p"))
+    pool = pool.where(F.size("_p") >= 4).select(*own, *names, "_whole", *[F.col("_p")[c].alias(c) for c in "xyuv"])
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, models, middles = [], [], []
-            for i in range(b.num_rows):
-                x, y, u, v = (b.column(c)[i].values.to_numpy() for c in "xyuv")
-                src, dst = np.c_[x, y], np.c_[u, v]
-                rng = np.random.default_rng([seed, *(zlib.crc32(b.column(c)[i].as_py().encode()) for c in by)])
-                h, inliers, _ = ransac(src, dst, threshold, trials, rng, quality is not None)
-                if h is not None and inliers >= 4:
-                    which.append(i)
-                    models.append(h.ravel().tolist())
-                    middles.append(np.r_[src.mean(0), dst.mean(0)].tolist())
-            some = b.select([*own, *by]).take(pa.array(which, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(x, pa.list_(pa.float64())) for x in (models, middles))], [*own, *by, "h", "middle"])
+            ends = np.cumsum([0, *pc.list_value_length(b.column("x")).to_numpy()])
+            sizes, x, y, u, v = np.diff(ends), *(b.column(c).flatten().to_numpy() for c in "xyuv")
+            keys = [[zlib.crc32(k.encode()) for k in b.column(c).to_pylist()] for c in by]
+            whole = b.column("_whole").to_numpy(zero_copy_only=False)
+            models, inliers, is_model = np.zeros((b.num_rows, 3, 3)), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, bool)
+            middles = np.zeros((b.num_rows, 4))
+            for n in np.unique(sizes):
+                same = np.flatnonzero(sizes == n)
+                # groups of one size together, in blocks of bounded memory
+                block = STACK if n <= FEW else 1
+                for i in (same[k : k + block] for k in range(0, len(same), block)):
+                    at = ends[i][:, None] + np.arange(n)
+                    src, dst = np.stack([x[at], y[at]], -1), np.stack([u[at], v[at]], -1)
+                    rngs = [np.random.default_rng([seed, keys[0][k], keys[1][k]]) for k in i]
+                    if n <= FEW:
+                        h, some = ransac_stacked(src, dst, threshold, trials, rngs, quality is not None)
+                    else:
+                        one, found, _ = ransac(src[0], dst[0], threshold, trials, rngs[0], quality is not None)
+                        h, some = np.zeros((1, 3, 3)) if one is None else one[None], np.array([found])
+                    good, rest = i[some >= 4], some >= 4
+                    is_model[good], models[good] = True, h[rest]
+                    middles[good] = np.concatenate([src[rest].mean(1), dst[rest].mean(1)], 1)
+                    full = whole[good]
+                    if full.any():
+                        models[good[full]], inliers[good[full]], is_model[good[full]] = refitted(h[rest][full], src[rest][full], dst[rest][full], threshold)
+            which = np.flatnonzero(is_model)
+            numbers = (pa.array(list(a[which]), pa.list_(pa.float64())) for a in (models.reshape(-1, 9), middles))
+            counts = pa.array(inliers[which], pa.int64(), mask=~whole[which])
+            some = b.select([*own, *by]).take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([*some.columns, *numbers, counts], [*own, *by, "h", "middle", "inliers"])
 
     no = F.array().cast("array<double>")
-    # written, as drawing is dear and the next join asks for its size
-    model = written(pool.mapInArrow(draw, pool.select(*own, *by, no.alias("h"), no.alias("middle")).schema), "models")
+    # written, as drawing is dear; of a whole group the result is there
+    drawn = written(pool.mapInArrow(draw, pool.select(*own, *by, no.alias("h"), no.alias("middle"), F.lit(None).cast("long").alias("inliers")).schema), "models")
+    whole = drawn.where("inliers is not null").select(*own, "h", "inliers")
+    # of the others the next join asks for their size
+    model = written(drawn.where("inliers is null").drop("inliers"), "large")
+    if model.isEmpty():
+        return whole
 
     def hit(h: Column) -> Column:
         w = h[6] * F.col("x") + h[7] * F.col("y") + h[8]
         off = [F.try_divide(h[k] * F.col("x") + h[k + 1] * F.col("y") + h[k + 2], w) - F.col(c) for k, c in ((0, "u"), (3, "v"))]
         return F.coalesce(F.hypot(*off) < threshold, F.lit(False))
 
-    places = pairs.select(*by, *"xyuv")
+    places = pairs.select(*names, *"xyuv")
     centred = [F.col(c) - F.col("middle")[k] for k, c in enumerate("xyuv")]
     sums = places.join(model, by).groupBy(*by).agg(*[F.any_value(c).alias(c) for c in (*own, "middle")], F.array(*moment_sums(*centred, hit(F.col("h")))).alias("m"))
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs: list[list[float] | None] = []
+            hs: list[np.ndarray | None] = []
             for m, (x, y, u, v) in zip(b.column("m").to_pylist(), b.column("middle").to_pylist(), strict=True):
-                h = None if None in m else solve_homography(moment_matrix(np.array(m)))
-                if h is not None:
-                    h = np.array([[1, 0, u], [0, 1, v], [0, 0, 1]]) @ h @ np.array([[1, 0, -x], [0, 1, -y], [0, 0, 1]])
-                    h = h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
-                hs.append(None if h is None else h.ravel().tolist())
+                h, ok = np.zeros((1, 3, 3)), np.array([False])
+                if None not in m:
+                    h, ok = solve_homographies(moment_matrix(np.array(m))[None])
+                    h, exists = over_last(np.array([[1, 0, u], [0, 1, v], [0, 0, 1]]) @ h @ np.array([[1, 0, -x], [0, 1, -y], [0, 0, 1]]))
+                    ok &= exists
+                hs.append(h.ravel() if ok[0] else None)
             yield pa.RecordBatch.from_arrays([*b.select([*own, *by]).columns, pa.array(hs, pa.list_(pa.float64()))], [*own, *by, "h"])
 
     solved = sums.mapInArrow(solve, sums.select(*own, *by, no.alias("h")).schema).where("h is not null")
-    return places.join(solved, by).groupBy(*by).agg(*[F.any_value(c).alias(c) for c in (*own, "h")], F.count_if(hit(F.col("h"))).alias("inliers")).select(*own, "h", "inliers")
+    large = places.join(solved, by).groupBy(*by).agg(*[F.any_value(c).alias(c) for c in (*own, "h")], F.count_if(hit(F.col("h"))).alias("inliers")).select(*own, "h", "inliers")
+    return whole.unionByName(large)
 
 
 def epoch_summary(steps: DataFrame) -> DataFrame:

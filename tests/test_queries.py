@@ -193,6 +193,41 @@ def test_homography_of_a_large_group_is_fitted_in_parts(spark, monkeypatch):
     assert r.frame_id is None and r.inliers == 600 and np.allclose(np.reshape(r.h, (3, 3)), h, atol=1e-4)
 
 
+def test_homographies_of_small_groups_meet_their_pairs_once(spark):
+    rng = np.random.default_rng(5)
+    h = np.array([[0.9, 0.02, 5], [0.01, 1.05, -2], [1e-4, -1e-4, 1]])
+    rows, want = [], {}
+    for k, n in enumerate([3, 4, 12, 12, 40, 80] * 3):
+        src = rng.uniform(0, 200, (n, 2))
+        p = np.c_[src, np.ones(n)] @ h.T
+        dst = p[:, :2] / p[:, 2:]
+        dst[: n // 5] += rng.uniform(50, 100, (n // 5, 2))
+        rows += [(k, "t", *map(float, [*a, *b])) for a, b in zip(src, dst, strict=True)]
+        want[k] = n - n // 5
+    found = metrics.fit_homography(spark.createDataFrame(rows, "frame_id long, tile string, x double, y double, u double, v double"), 3.0)
+    # what is left is to read the results
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r.frame_id: r for r in found.collect()}
+    assert set(got) == {k for k, n in want.items() if n > 3}
+    for k, r in got.items():
+        assert r.inliers == want[k] and np.allclose(np.reshape(r.h, (3, 3)), h, atol=1e-4)
+
+
+@pytest.mark.parametrize("ranked", [False, True])
+def test_groups_fitted_together_have_the_models_of_each(ranked):
+    rng = np.random.default_rng(6)
+    for n in (4, 7, 30, 64):
+        src = rng.uniform(0, 200, (20, n, 2))
+        dst = src * 1.5 + 7 + rng.normal(0, 2, src.shape)
+        dst[:, ::3] += rng.uniform(50, 100, dst[:, ::3].shape)
+        src[0] = src[0, 0]
+        models, inliers = metrics.ransac_stacked(src, dst, 3.0, 200, [np.random.default_rng(k) for k in range(20)], ranked)
+        for k in range(20):
+            one, some, _ = metrics.ransac(src[k], dst[k], 3.0, 200, np.random.default_rng(k), ranked)
+            assert some == inliers[k] and (one is None or np.allclose(one, models[k]))
+
+
 def test_homographies_leave_out_pairs_without_a_place(spark):
     rng = np.random.default_rng(2)
     src = rng.uniform(0, 200, (30, 2))
