@@ -75,7 +75,10 @@ def zip_tiles(candidates: DataFrame, crops: DataFrame) -> DataFrame:
 
 
 def bilinear_sample(grid: DataFrame, points: DataFrame, width: int, height: int, grid_width: int, grid_height: int, eps: float = 1e-6) -> DataFrame:
-    """(point_id, vector): descriptors of a coarse grid (gx, gy, vector) at image points, corners aligned, then normalised."""
+    """(point_id, vector): descriptors of a coarse grid (gx, gy, vector) at image points, corners aligned, then normalised.
+
+    A point of which the grid lacks a corner gives no row.
+    """
     gx, gy = F.col("x") / (width - 1) * (grid_width - 1), F.col("y") / (height - 1) * (grid_height - 1)
     p = points.withColumns({"_x": F.least(F.greatest(gx, F.lit(0.0)), F.lit(grid_width - 1.0)), "_y": F.least(F.greatest(gy, F.lit(0.0)), F.lit(grid_height - 1.0))})
     p = p.withColumns({"_x0": F.floor("_x"), "_y0": F.floor("_y")})
@@ -83,6 +86,6 @@ def bilinear_sample(grid: DataFrame, points: DataFrame, width: int, height: int,
     corner = lambda k, dx, dy, w: F.struct(F.lit(k).alias("k"), F.least(F.col("_x0") + dx, F.lit(grid_width - 1)).alias("gx"), F.least(F.col("_y0") + dy, F.lit(grid_height - 1)).alias("gy"), w.alias("w"))
     c = p.withColumn("_c", F.explode(F.array(corner(0, 0, 0, (1 - fx) * (1 - fy)), corner(1, 1, 0, fx * (1 - fy)), corner(2, 0, 1, (1 - fx) * fy), corner(3, 1, 1, fx * fy)))).select("img_id", "point_id", "_c.*")
     parts = c.join(grid, ["img_id", "gx", "gy"]).withColumn("part", F.transform("vector", lambda v: v.cast("double") * F.col("w")))
-    four = parts.groupBy("img_id", "point_id").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("s"))
+    four = parts.groupBy("img_id", "point_id").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("s")).where(F.size("s") == 4)
     total = F.aggregate(F.slice("s", 2, 3), F.get("s", F.lit(0))["part"], lambda a, b: F.zip_with(a, b["part"], lambda x, y: x + y))
     return four.select("img_id", "point_id", l2_normalize(total, eps).alias("vector"))

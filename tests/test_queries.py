@@ -367,3 +367,13 @@ def test_config_errors(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": "x"}', '{"a": 2, "b": "x"}'), (2, '{"a": 1}', '{"a": 1}')], "id int, saved string, current string")
     rows = diffs.config_errors(diffs.config_diff(df, ["a", "b"])).collect()
     assert len(rows) == 1 and "a" in str(rows[0]) and "b:" not in str(rows[0])
+
+
+def test_bilinear_sample_needs_all_four_corners(spark):
+    places = [(x, y) for x in range(3) for y in range(3) if (x, y) != (2, 2)]
+    g = spark.createDataFrame([(1, x, y, [1.0 + x, 2.0 + y]) for x, y in places], "img_id long, gx long, gy long, vector array<double>")
+    # a corner that is missing counts where its weight is 0 too
+    p = spark.createDataFrame([(1, 10, 0.5, 0.5), (1, 11, 1.5, 1.5), (1, 12, 1.0, 1.0), (1, 13, 2.0, 0.0), (2, 14, 0.0, 0.0)], "img_id long, point_id long, x double, y double")
+    got = {r.point_id: r.vector for r in joins.bilinear_sample(g, p, 3, 3, 3, 3).collect()}
+    assert set(got) == {10, 13}
+    assert np.allclose(got[10], np.array([1.5, 2.5]) / np.hypot(1.5, 2.5)) and np.allclose(got[13], np.array([3, 2]) / np.hypot(3, 2))
