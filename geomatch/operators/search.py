@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from geomatch.functions.geo import MEAN_RADIUS, haversine
 from geomatch.functions.vectors import cosine, l2_normalize
+from geomatch.sources.shared import written
 
 #: Queries that go to all tasks whole; scores held at a time; rows of a block where neither side does.
 QUERY_BYTES, TILE_BYTES, BLOCK_ROWS = 64 << 20, 32 << 20, 16_384
 DECIMALS = 6
+#: Share of the exact hits of a sample of queries that an approximate search holds, and that sample's
+#: size; beyond so many bits more points are read, not more bits.
+LEAST, TRIED, MOST_BITS = 0.95, 256, 1024
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -151,9 +155,23 @@ def rough(queries: DataFrame, points: DataFrame, k: int, bits: int = 256, seed:
     return nearest(q, p, k, False, queries.count() * (bits // 8 + 64), sides(bits)).select("query_id", "id")
 
 
-def ann(queries: DataFrame, points: DataFrame, k: int, bits: int = 256, oversample: int = 40, seed: int = 42) -> DataFrame:
+def enough(queries: DataFrame, points: DataFrame, k: int, bits: int, oversample: int, seed: int, least: float) -> tuple[int, int]:
+    """bits and oversample, doubled until ``rough`` holds the share ``least`` of the exact hits of TRIED queries."""
+    some = written(queries.where("size(vector) > 0").orderBy(F.xxhash64("query_id", "vector")).limit(TRIED), "tried")
+    exact, n = written(knn(some, points, k).where("id is not null"), "tried-hits"), points.count()
+    while k * oversample < n:
+        share = recall(rough(some, points, k * oversample, bits, seed), exact).first()[0]
+        if share is None or share >= least:
+            break
+        bits, oversample = (2 * bits, oversample) if bits < MOST_BITS else (bits, 2 * oversample)
+    return bits, oversample
+
+
+def ann(queries: DataFrame, points: DataFrame, k: int, bits: int = 256, oversample: int = 40, seed: int = 42, least: float = LEAST) -> DataFrame:
     """Approximate top-k: all points are met as signatures of ``bits`` bits, and only the best
-    k * oversample of a query by exact cosine, which ranks them."""
+    k * oversample of a query by exact cosine, which ranks them. More points have more that come near
+    a query, so both are where it begins, see ``enough``."""
+    bits, oversample = enough(queries, points, k, bits, oversample, seed, least)
     found = rough(queries, points, k * oversample, bits, seed)
     pairs = found.join(points.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("q_vector")), "query_id")
     return ranked(pairs.select("query_id", "id", F.round(cosine(F.col("q_vector"), F.col("vector")), DECIMALS).alias("score")), k)

@@ -184,7 +184,7 @@ def j3_prior_or_global(spark: SparkSession, d: str) -> DataFrame:
 def t3_ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """The approximate hits against the exact ones of all queries."""
     q, p = fx.queries(spark, d).select("query_id", "vector"), fx.points(spark, d).select("id", "vector")
-    found, exact = search.ann(q, p, 5), search.knn(q, p, 5)
+    found, exact = written(search.ann(q, p, 5), "ann"), search.knn(q, p, 5)
     good = search.recall(found, exact).select((F.col("recall") >= 0.9).alias("recall_is_over_90_percent"))
     return found.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("hits")).crossJoin(good)
 

@@ -90,6 +90,17 @@ def test_ann_recall_and_share_of_pairs(spark):
     assert search.rough(q, p, 200).count() <= 0.1 * q.count() * p.count()
 
 
+def test_ann_takes_as_many_bits_as_its_recall_asks_for(spark):
+    v = np.random.default_rng(4).normal(size=(6000, 32))
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    q = p.where("id % 40 = 0").withColumnRenamed("id", "query_id")
+    exact = search.knn(q, p, 5)
+    recall = lambda found: search.recall(found, exact).first()[0]
+    assert recall(search.ann(q, p, 5, bits=64, oversample=8, least=0)) < 0.6 and recall(search.ann(q, p, 5, bits=64, oversample=8)) >= 0.9
+    # with all bits there are, more points are read
+    assert search.enough(q, p, 5, search.MOST_BITS, 1, 42, 0.95)[1] > 1
+
+
 def test_ann_gives_k_hits_to_isolated_queries(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(0, 0.05, (60, 8)) + np.eye(8)[0]
