@@ -20,6 +20,8 @@ from geomatch.sources.shared import written
 POOL = 1000
 #: Groups of up to FEW pairs are fitted STACK at a time, those of one size together.
 FEW, STACK = 64, 256
+#: Of mosaic_blocks: pixels of tiles that are held against each other at a time.
+ROUND_PIXELS = 1 << 19
 
 
 def cumulative_hits(first_hit: DataFrame, k: int = 5) -> DataFrame:
@@ -444,18 +446,78 @@ def mosaic_pixels(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("x", "y").agg(F.coalesce(first["value"], F.lit(0)).alias("value"))
 
 
+def first_of(place: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whichever of ``own`` come first at any place."""
+    span = int(place.max()) + 1
+    if span > 4 * len(place):
+        return np.unique(own[np.unique(place, return_index=True)[1]])
+    at = np.full(span, -1, np.int64)
+    at[place[::-1]] = own[::-1]
+    return np.unique(at[at >= 0])
+
+
+def rounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of tiles (data) put together or cut to about ROUND_PIXELS pixels, one tile at least."""
+    held, pixels = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch["data"]), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(sizes):
+            many = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), ROUND_PIXELS - pixels, "right")))
+            held.append(batch.slice(at, many))
+            pixels, at = pixels + int(sizes[at : at + many].sum()), at + many
+            if pixels >= ROUND_PIXELS or at < len(sizes):
+                yield pa.Table.from_batches(held)
+                held, pixels = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def seen(batches: Iterable[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Tiles without those that no pixel of a mosaic can come from, as others of their round lie over it.
+
+    At each pixel the first tile in order of files with a value other than 0 there stays, any if there
+    is none, so every pixel that was covered still is.
+    """
+    for t in rounds(batches):
+        number = lambda c: t[c].to_numpy().astype(np.int64)
+        width, height, size = number("width"), number("height"), pc.fill_null(pc.list_value_length(t["data"]), -1).to_numpy().astype(np.int64)
+        odd = size != width * height
+        order = pc.sort_indices(t["file"], null_placement="at_start").to_numpy().astype(np.int64)
+        order = order[~odd[order]]
+        if len(order):
+            group = np.zeros(len(order), np.int64)
+            some = t.select([*by, "off_x", "off_y", "width", "data"]).take(order)
+            for c in by:
+                own = pc.dictionary_encode(some[c].combine_chunks(), null_encoding="encode").indices.to_numpy().astype(np.int64)
+                group = np.unique(group * (own.max() + 1) + own, return_inverse=True)[1]
+            size, width = size[order], width[order]
+            tile = np.repeat(np.arange(len(order)), size)
+            k = np.arange(len(tile)) - np.repeat(np.cumsum(size) - size, size)
+            x, y = (some[c].to_numpy().astype(np.int64) for c in ("off_x", "off_y"))
+            x, y = (x - x.min())[tile] + k % width[tile], (y - y.min())[tile] + k // width[tile]
+            if (int(group.max()) + 1) * (int(y.max()) + 1) * (int(x.max()) + 1) < 1 << 63:
+                place = (group[tile] * (y.max() + 1) + y) * (x.max() + 1) + x
+                value = some["data"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                empty = np.argsort(value == 0, kind="stable")
+                order = order[first_of(place[empty], tile[empty])]
+        yield from t.take(np.sort(np.concatenate([order, np.flatnonzero(odd)]))).to_batches(max_chunksize=10_000)
+
+
 def mosaic_blocks(tiles: DataFrame, by: Sequence[str] = ("z",), block: int = 256) -> DataFrame:
     """(*by, block_x, block_y, data): blocks of a mosaic, row by row; each pixel is the first value other
     than 0 in file-name order, 0 if there is none.
 
     ``tiles`` (*by, file, off_x, off_y, width, height, data) lie in their mosaic, see ``mosaic_plan``; data
-    holds their rows. A tile is cut along the blocks' borders, so rows are as many as tiles and
-    borders, not pixels. The pieces of a block pass in order of their files, with one
-    block in memory: first in ranges of files, then what each range left of the block.
+    holds their rows. Tiles that others of their task hide go first, see ``seen``; the rest are cut along
+    the blocks' borders, so rows are as many as tiles and borders, not pixels. The pieces of a block
+    pass in order of their files, with one block in memory: first in ranges of files, then what each
+    range left of the block.
     """
     c = F.col
     cells = lambda off, size: F.sequence(F.floor(c(off) / block), F.floor((c(off) + c(size) - 1) / block))
-    p = tiles.where("width > 0 and height > 0").withColumn("block_x", F.explode(cells("off_x", "width"))).withColumn("block_y", F.explode(cells("off_y", "height")))
+    p = tiles.where("width > 0 and height > 0 and off_x is not null and off_y is not null").select(*by, "file", *[c(k).cast("long").alias(k) for k in ("off_x", "off_y", "width", "height")], "data")
+    p = p.mapInArrow(lambda batches: seen(batches, list(by)), p.schema).withColumn("block_x", F.explode(cells("off_x", "width"))).withColumn("block_y", F.explode(cells("off_y", "height")))
     # the piece inside the tile, from its first column and row to before its last
     p = p.withColumns({"x0": F.greatest(c("block_x") * block - c("off_x"), F.lit(0)), "x1": F.least((c("block_x") + 1) * block - c("off_x"), c("width"))})
     p = p.withColumns({"y0": F.greatest(c("block_y") * block - c("off_y"), F.lit(0)), "y1": F.least((c("block_y") + 1) * block - c("off_y"), c("height"))})

@@ -538,11 +538,15 @@ def a12_mosaic_pixels(spark: SparkSession, d: str) -> DataFrame:
 def a12_mosaic_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of 5 by 3 pixels into blocks of 16; their pixels, as a row a pixel gives them."""
     q = F.col("l_quantity").cast("long")
-    t = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("z"), ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + q).alias("file"), (F.col("l_partkey") % 50).alias("off_x"), (F.col("l_suppkey") % 20).alias("off_y"), F.lit(5).alias("width"), F.lit(3).alias("height"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long")), lambda k: (q + k) % 4).alias("data"))
+    # numbers of files outgrow a long from 9,223,372 orders on
+    file = F.col("l_orderkey").cast("decimal(38,0)")
+    for times, part in ((10, "l_linenumber"), (100000, "l_partkey"), (10000, "l_suppkey")):
+        file = file * times + F.col(part)
+    t = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("z"), (file * 100 + q).alias("file"), (F.col("l_partkey") % 50).alias("off_x"), (F.col("l_suppkey") % 20).alias("off_y"), F.lit(5).alias("width"), F.lit(3).alias("height"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long")), lambda k: (q + k) % 4).alias("data"))
     px = metrics.mosaic_blocks(t, ["z"], 16).select("z", "block_x", "block_y", F.posexplode("data").alias("k", "value"))
     px = px.select("z", (F.col("block_x") * 16 + F.col("k") % 16).alias("x"), (F.col("block_y") * 16 + F.floor(F.col("k") / 16)).alias("y"), "value")
     # pixels that no tile covers are 0 in a block and no row here
-    lit = t.select("z", F.explode(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.struct((F.col("off_x") + k % 5).alias("x"), (F.col("off_y") + F.floor(k / 5)).alias("y")))).alias("p")).select("z", "p.*").distinct()
+    lit = t.select("z", "off_x", "off_y").distinct().select("z", F.explode(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.struct((F.col("off_x") + k % 5).alias("x"), (F.col("off_y") + F.floor(k / 5)).alias("y")))).alias("p")).select("z", "p.*").distinct()
     return px.join(lit, ["z", "x", "y"]).select("z", "x", "y", "value")
 
 
