@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomatch.functions.vectors import l2_normalize
 from geomatch.operators.segments import cut
+from geomatch.sources.shared import written
 
 
 def attach_metadata(images: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -74,18 +77,37 @@ def zip_tiles(candidates: DataFrame, crops: DataFrame) -> DataFrame:
     return candidates.join(crops, ["frame_id", "rank"])
 
 
+def grid_cells(grid: DataFrame, grid_width: int, grid_height: int) -> DataFrame:
+    """(img_id, _cell, v00, v10, v01, v11): the vectors at the corners of each cell of a grid (gx, gy, vector).
+
+    Cells are numbered by row from their upper left corner; those of the last column and row end at
+    it. A cell that lacks a corner is none.
+    """
+    # the cells along one axis whose nearer (d = 0) or farther corner a vector is
+    along = lambda c, d, n: F.explode(F.array_compact(F.array_distinct(F.array(F.when(F.col(c) >= d, F.col(c) - d), F.when(F.col(c) == n - 1, F.col(c))))))
+    inside = grid.where(F.col("gx").between(0, grid_width - 1) & F.col("gy").between(0, grid_height - 1))
+
+    def corner(dx: int, dy: int) -> DataFrame:
+        at = inside.select("img_id", along("gx", dx, grid_width).alias("_x0"), "gy", "vector").select("img_id", "_x0", along("gy", dy, grid_height).alias("_y0"), "vector")
+        return at.select("img_id", (F.col("_y0") * grid_width + F.col("_x0")).cast("long").alias("_cell"), F.col("vector").alias(f"v{dx}{dy}"))
+
+    return reduce(lambda a, b: a.join(b, ["img_id", "_cell"]), [corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1)])
+
+
 def bilinear_sample(grid: DataFrame, points: DataFrame, width: int, height: int, grid_width: int, grid_height: int, eps: float = 1e-6) -> DataFrame:
-    """(point_id, vector): descriptors of a coarse grid (gx, gy, vector) at image points, corners aligned, then normalised.
+    """(img_id, point_id, vector): descriptors of a coarse grid (gx, gy, vector) at image points, corners aligned, then normalised.
 
-    A point of which the grid lacks a corner gives no row.
+    A point of which the grid lacks a corner gives no row. Points meet the cells of the grid, which
+    are no more than its vectors, so that no vector is dealt for a point.
     """
     gx, gy = F.col("x") / (width - 1) * (grid_width - 1), F.col("y") / (height - 1) * (grid_height - 1)
-    p = points.withColumns({"_x": F.least(F.greatest(gx, F.lit(0.0)), F.lit(grid_width - 1.0)), "_y": F.least(F.greatest(gy, F.lit(0.0)), F.lit(grid_height - 1.0))})
-    p = p.withColumns({"_x0": F.floor("_x"), "_y0": F.floor("_y")})
-    fx, fy = F.col("_x") - F.col("_x0"), F.col("_y") - F.col("_y0")
-    corner = lambda k, dx, dy, w: F.struct(F.lit(k).alias("k"), F.least(F.col("_x0") + dx, F.lit(grid_width - 1)).alias("gx"), F.least(F.col("_y0") + dy, F.lit(grid_height - 1)).alias("gy"), w.alias("w"))
-    c = p.withColumn("_c", F.explode(F.array(corner(0, 0, 0, (1 - fx) * (1 - fy)), corner(1, 1, 0, fx * (1 - fy)), corner(2, 0, 1, (1 - fx) * fy), corner(3, 1, 1, fx * fy)))).select("img_id", "point_id", "_c.*")
-    parts = c.join(grid, ["img_id", "gx", "gy"]).withColumn("part", F.transform("vector", lambda v: v.cast("double") * F.col("w")))
-    four = parts.groupBy("img_id", "point_id").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("s")).where(F.size("s") == 4)
-    total = F.aggregate(F.slice("s", 2, 3), F.get("s", F.lit(0))["part"], lambda a, b: F.zip_with(a, b["part"], lambda x, y: x + y))
-    return four.select("img_id", "point_id", l2_normalize(total, eps).alias("vector"))
+    p = points.select("img_id", "point_id", F.least(F.greatest(gx, F.lit(0.0)), F.lit(grid_width - 1.0)).alias("_x"), F.least(F.greatest(gy, F.lit(0.0)), F.lit(grid_height - 1.0)).alias("_y"))
+    p = p.withColumn("_cell", F.floor("_y") * grid_width + F.floor("_x"))
+    # points are dealt even if the cells are few: what a point becomes is much more than what is read of it
+    j = p.hint("merge").join(written(grid_cells(grid, grid_width, grid_height), "cells"), ["img_id", "_cell"])
+    fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
+    # bound once, as what a lambda holds is worked out for every element
+    weights = F.array(F.struct(((1 - fx) * (1 - fy)).alias("v00"), (fx * (1 - fy)).alias("v10"), ((1 - fx) * fy).alias("v01"), (fx * fy).alias("v11")))
+    part = lambda w, c, i: F.get(F.col(c), i).cast("double") * w[c]
+    total = F.transform(weights, lambda w: F.transform("v00", lambda v, i: v.cast("double") * w["v00"] + part(w, "v10", i) + part(w, "v01", i) + part(w, "v11", i)))[0]
+    return j.select("img_id", "point_id", l2_normalize(total, eps).alias("vector"))

@@ -388,3 +388,25 @@ def test_bilinear_sample_needs_all_four_corners(spark):
     got = {r.point_id: r.vector for r in joins.bilinear_sample(g, p, 3, 3, 3, 3).collect()}
     assert set(got) == {10, 13}
     assert np.allclose(got[10], np.array([1.5, 2.5]) / np.hypot(1.5, 2.5)) and np.allclose(got[13], np.array([3, 2]) / np.hypot(3, 2))
+
+
+def test_bilinear_sample_deals_no_vector_for_a_point(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(2, 3, 4, 5)).astype(np.float32)
+    g = spark.createDataFrame([(i, x, y, v[i, y, x].tolist()) for i in range(2) for y in range(3) for x in range(4)] + [(0, 4, 0, [1.0] * 5), (0, -1, 0, [1.0] * 5)], "img_id long, gx long, gy long, vector array<float>")
+    at = [(int(i), k, float(x), float(y)) for k, (i, x, y) in enumerate(zip(rng.integers(0, 2, 300), rng.uniform(-2, 12, 300), rng.uniform(-2, 8, 300)))]
+    at += [(0, 300, 9.0, 6.0), (1, 301, 3.0, 3.0), (1, 301, 3.0, 3.0)]
+    out = joins.bilinear_sample(g, spark.createDataFrame(at, "img_id long, point_id long, x double, y double"), 10, 7, 4, 3)
+    want = {}
+    for i, k, x, y in at:
+        x, y = np.clip(x / 9 * 3, 0, 3), np.clip(y / 6 * 2, 0, 2)
+        x0, y0 = int(x), int(y)
+        x1, y1, fx, fy = min(x0 + 1, 3), min(y0 + 1, 2), x - x0, y - y0
+        w = v[i, y0, x0].astype(float) * (1 - fx) * (1 - fy) + v[i, y0, x1] * fx * (1 - fy) + v[i, y1, x0] * (1 - fx) * fy + v[i, y1, x1] * fx * fy
+        want[k] = w / np.linalg.norm(w)
+    got = out.collect()
+    assert sorted(r.point_id for r in got) == sorted(k for _, k, _, _ in at)  # equal points too, each its row
+    assert all(np.allclose(r.vector, want[r.point_id]) for r in got)
+    # nothing is gathered by point: points meet cells, which hold all four corners, in one join
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan and "Generate" not in plan
